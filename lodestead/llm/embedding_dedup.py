@@ -3,12 +3,12 @@
 Unit vectors are projected at random to 8 dimensions a block, scaled, shifted and decoded to the nearest point of the E8
 lattice; a table's cell is the point of each of its blocks.  Every vector resides in its own cell and visits the nearest
 neighbouring cells (E8 has 240 minimal vectors; those along the residual come first) of every table.  Residents and
-visitors of a cell are candidates; a 64-bit sign sketch discards the hopeless ones inside the join, and the cosine of the
+visitors of a cell are candidates; a 128-bit sign sketch discards the hopeless ones inside the join, and the cosine of the
 others is verified exactly, in double precision, on the original components.
 
-The index is computed for every row.  The number of tables is calibrated on the driver by simulating pairs at the
-threshold (a fixed number of them, no data), so recall holds at the threshold itself and is higher above it; the number
-of blocks follows the logarithm of the row count, which keeps chance candidates per vector bounded.
+The index is computed for every row.  Scale, blocks and tables are calibrated on the driver by simulating pairs at the
+threshold (a fixed number of them, no data), so recall holds at the threshold itself and is higher above it; of the
+settings whose chance candidates per vector stay under ``CHANCE`` at the row count, the one with fewest postings is used.
 
 Identical vectors are collapsed before hashing and counted by multiplicity; links between different vectors are all
 counted.  Only keys, ids and sketches are shuffled for candidate search; vectors are fetched for surviving pairs.
@@ -32,9 +32,11 @@ from pyspark.sql import functions as F
 from lodestead.llm.common import attach, components, stage
 from lodestead.session import ship
 
-SCALE, PROBES, RECALL, SEED = 0.8, 4, 0.95, 20240611
-#: A sketch's expected distance at the threshold is 64 * angle / pi; this many standard deviations more are let pass.
-SKETCH_SIGMAS = 6.0
+SCALES, BLOCKS, PROBES, RECALL, SEED = (0.6, 0.7, 0.8, 0.9, 1.0), (1, 2, 3), 4, 0.95, 20240611
+#: Unrelated vectors that a vector may meet in all its cells, about; they are told apart inside the join.
+CHANCE = 1000.0
+#: A sketch's expected distance at the threshold is 128 * angle / pi; this many standard deviations more are let pass.
+SKETCH_SIGMAS = 5.0
 
 
 #: A vector that may link.
@@ -71,12 +73,12 @@ def decode_e8(x: np.ndarray) -> np.ndarray:
 class Lattice:
     """Hash tables over unit vectors of one dimension; the same everywhere for the same parameters."""
 
-    def __init__(self, dim: int, tables: int, blocks: int, scale: float = SCALE, probes: int = PROBES, seed: int = SEED):
+    def __init__(self, dim: int, tables: int, blocks: int, scale: float, probes: int = PROBES, seed: int = SEED):
         rng = np.random.default_rng([seed, dim, blocks])
         self.dim, self.tables, self.blocks, self.probes = dim, tables, blocks, probes
         self.projection = rng.standard_normal((tables, dim, 8 * blocks)) * scale
         self.shift = rng.uniform(-1, 1, (tables, 8 * blocks))
-        self.sketch_planes = np.random.default_rng([seed, dim, 64]).standard_normal((dim, 64))
+        self.sketch_planes = np.random.default_rng([seed, dim, 64]).standard_normal((dim, 128))
         self.near = minimal_vectors()
         self.mixer = np.random.default_rng([seed, 8, blocks]).integers(1, 2**62, 8 * blocks, dtype=np.uint64) | np.uint64(1)
 
@@ -105,27 +107,37 @@ class Lattice:
         return out
 
     def sketch(self, unit: np.ndarray) -> np.ndarray:
-        return np.packbits((unit @ self.sketch_planes > 0).astype(np.uint8), axis=1, bitorder="little").view(np.int64)[:, 0]
+        return np.packbits((unit @ self.sketch_planes > 0).astype(np.uint8), axis=1, bitorder="little").view(np.int64)
 
 
-def calibrate(dim: int, threshold: float, blocks: int, recall: float = RECALL, pairs: int = 4000, most: int = 64) -> int:
-    """Tables needed to find pairs at the threshold with the wanted probability, by simulation."""
+def calibrate(dim: int, threshold: float, blocks: int, scale: float, recall: float = RECALL, pairs: int = 1000) -> tuple[int, float]:
+    """(tables needed to find pairs at the threshold with probability ``recall``, the share of all vectors that an
+    unrelated vector meets by chance in those tables), by simulation."""
     rng = np.random.default_rng([SEED, dim, 1])
     a = rng.standard_normal((pairs, dim))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     b = rng.standard_normal((pairs, dim))
     b -= (a * b).sum(1, keepdims=True) * a
     b = threshold * a + math.sqrt(max(0.0, 1 - threshold**2)) * b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-12)
-    lattice = Lattice(dim, 4, blocks)
+    lattice = Lattice(dim, 2, blocks, scale)
     x, y = lattice.cells(a), lattice.cells(b)
     hit = float(((x[:, :, :1] == y).any(2) | (y[:, :, :1] == x).any(2)).mean())
-    return min(most, max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(max(hit, 1e-3), 0.999)))))
+    tables = max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(max(hit, 1e-3), 0.999))))
+    single = Lattice(dim, 2, 1, scale).cells(a)[:, :, 0]
+    alike = np.mean([(np.unique(single[:, t], return_counts=True)[1].astype(float) ** 2).sum() - pairs for t in range(2)]) / pairs**2
+    return tables, tables * max(alike, 1e-7) ** blocks * (1 + 2 * PROBES)
 
 
-def plan_index(rows: int, dim: int, threshold: float) -> tuple[int, int]:
-    """(tables, blocks) for a row count: one more block per factor of 4096 beyond the first 2**20 rows."""
-    blocks = 1 + max(0, math.ceil(math.log(max(rows, 1) / 2**20, 4096)))
-    return calibrate(dim, threshold, blocks), blocks
+def plan_index(rows: int, dim: int, threshold: float) -> tuple[int, int, float]:
+    """(tables, blocks, scale) for a row count."""
+    found = []
+    for blocks in BLOCKS:  # more blocks need more tables, so the first number of blocks that will do is the best
+        for scale in SCALES:
+            tables, chance = calibrate(dim, threshold, blocks, scale)
+            found.append((rows * chance > CHANCE, tables if rows * chance <= CHANCE else chance, tables, blocks, scale))
+        if not min(found)[0]:
+            break
+    return min(found)[2:]
 
 
 def valid_vectors(embeddings: DataFrame) -> DataFrame:
@@ -135,7 +147,7 @@ def valid_vectors(embeddings: DataFrame) -> DataFrame:
 
 
 def postings(vectors: DataFrame, lattices: dict[int, Lattice]) -> DataFrame:
-    """(key, id, sketch, home): a row for each vector, table and cell it resides in or visits."""
+    """(key, id, s0, s1, home): a row for each vector, table and cell it resides in or visits."""
     ship(vectors.sparkSession)
     held = vectors.sparkSession.sparkContext.broadcast(lattices)
 
@@ -155,10 +167,10 @@ def postings(vectors: DataFrame, lattices: dict[int, Lattice]) -> DataFrame:
                     home = np.zeros(cells.shape, bool)
                     home[:, :, 0] = True
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(cells.reshape(-1)), pa.array(np.repeat(part.column(0).to_numpy(), each)), pa.array(np.repeat(lattice.sketch(x), each)), pa.array(home.reshape(-1))],
-                        names=["key", "id", "sketch", "home"])
+                        [pa.array(cells.reshape(-1)), pa.array(np.repeat(part.column(0).to_numpy(), each)), *(pa.array(np.repeat(half, each)) for half in lattice.sketch(x).T), pa.array(home.reshape(-1))],
+                        names=["key", "id", "s0", "s1", "home"])
 
-    return vectors.select("id", "v", "dim").mapInArrow(run, "key bigint, id bigint, sketch bigint, home boolean")
+    return vectors.select("id", "v", "dim").mapInArrow(run, "key bigint, id bigint, s0 bigint, s1 bigint, home boolean")
 
 
 def similar_pairs(vectors: DataFrame, threshold: float, rows: int) -> DataFrame:
@@ -166,12 +178,12 @@ def similar_pairs(vectors: DataFrame, threshold: float, rows: int) -> DataFrame:
     dims = [r["dim"] for r in vectors.select("dim").distinct().collect()]
     lattices = {d: Lattice(d, *plan_index(rows, d, threshold)) for d in dims}
     angle = math.acos(threshold) / math.pi
-    far = min(64, math.ceil(64 * angle + SKETCH_SIGMAS * math.sqrt(64 * angle * (1 - angle))))
+    far = math.ceil(128 * angle + SKETCH_SIGMAS * math.sqrt(128 * angle * (1 - angle)))
     posts, _ = stage(postings(vectors, lattices), "postings")
-    home = posts.where("home").select("key", F.col("id").alias("x"), F.col("sketch").alias("s"))
-    there = posts.select("key", F.col("id").alias("y"), F.col("sketch").alias("r"), "home")
+    home = posts.where("home").select("key", F.col("id").alias("x"), F.col("s0").alias("x0"), F.col("s1").alias("x1"))
+    there = posts.select("key", F.col("id").alias("y"), "s0", "s1", "home")
     met = home.join(there, "key").where((F.col("x") < F.col("y")) | (~F.col("home") & (F.col("x") > F.col("y"))))
-    met = met.where(F.bit_count(F.col("s").bitwiseXOR(F.col("r"))) <= far)
+    met = met.where(F.bit_count(F.col("x0").bitwiseXOR(F.col("s0"))) + F.bit_count(F.col("x1").bitwiseXOR(F.col("s1"))) <= far)
     pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     norm = "sqrt(aggregate(v, 0D, (s, x) -> s + x * x))"
     unit = vectors.select("id", "v", "dim", F.expr(norm).alias("norm"))
