@@ -5,9 +5,9 @@ rebuilt as a tokenizers pipeline, which encodes batches on several threads.  Uni
 get the merges that their scores imply.  Where no piece carries the marker after another character, text is cut before
 each word first, which changes no result and makes long texts linear in time.
 
-Parity is verified, not assumed: one text in ``PARITY`` (1: each) is also encoded by the sentencepiece
-library.  The rebuilt BPE ranks the ways to merge one piece, where the original takes the leftmost; a text on which
-that shows is encoded by the original, and the row says so.
+Parity is verified, not assumed: every word that enters a worker's memory is encoded by the sentencepiece library too,
+and one whole text in ``PARITY`` besides.  The rebuilt BPE ranks the ways to merge one piece, where the original takes
+the leftmost; where that shows, the original's ids are taken, and the row says so.
 
 Defined results: a null or empty text has no tokens and decodes to itself (null: empty); line ends and control
 characters are kept as the model's normaliser keeps them; text that the vocabulary lacks becomes bytes; very long texts
@@ -18,11 +18,13 @@ none; further columns, whatever their names, are ignored.
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -35,8 +37,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Characters encoded at a time, and one text in how many is checked against the original library: every one.
-BATCH_BYTES, PARITY = 1 << 20, 1
+#: Characters encoded at a time, words remembered, and one text in how many is checked against the original library.
+BATCH_CHARS, MEMO, PARITY = 1 << 20, 400_000, 64
 
 
 @dataclass
@@ -152,7 +154,11 @@ def build(spec: Spec):
 
 
 class Codec:
-    """A model file ready to encode and decode; one to a Python worker."""
+    """A model file ready to encode and decode; one to a Python worker.
+
+    Where texts may be cut before each word, a batch's distinct new words are encoded together, on several threads, and
+    remembered as packed ids (at most ``MEMO`` words, emptied when full); a text is then a join of packed ids.
+    """
 
     def __init__(self, path: str, threads: int = 2):
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
@@ -163,27 +169,84 @@ class Codec:
         self.spec = parse_model(data)
         self.fast = build(self.spec)
         self.original = sentencepiece.SentencePieceProcessor(model_proto=data)
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        out: list[list[int]] = []
-        part: list[str] = []
-        size = 0
-        for text in texts:
-            if part and size + len(text) > BATCH_BYTES:
-                out += [e.ids for e in self.fast.encode_batch_fast(part, add_special_tokens=False)]
-                part, size = [], 0
-            part.append(text)
-            size += len(text)
-        if part:
-            out += [e.ids for e in self.fast.encode_batch_fast(part, add_special_tokens=False)]
+        self.by_word = self.fast.pre_tokenizer is not None and self.spec.escape
+        self.plain = not self.spec.charsmap and not self.spec.squeeze and self.spec.dummy_prefix
+        self.words = build(self.spec)
+        self.words.normalizer = self.words.pre_tokenizer = None
+        self.memo: dict[str, bytes] = {}
+        self.differ: set[str] = set()
+        self.said = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " \u2047 ".encode() if kind == UNKNOWN else p.replace(MARK, " ").encode() for p, _, kind in self.spec.pieces]
+
+    def normalise(self, text: str) -> str:
+        if self.plain:
+            return MARK + text.replace(" ", MARK) if text else text
+        return self.fast.normalizer.normalize_str(text)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as packed 32-bit integers."""
+        if not self.by_word:
+            return [struct.pack(f"={len(e.ids)}i", *e.ids) for part in batches_of(texts) for e in self.fast.encode_batch_fast(part, add_special_tokens=False)]
+        out = []
+        for part in batches_of(texts):
+            cut = [[_CHUNK.findall(w) for w in windows(self.normalise(t))] for t in part]
+            new = list({c for text in cut for window in text for c in window if c not in self.memo})
+            if len(self.memo) + len(new) > MEMO:
+                self.memo.clear()
+                new = list({c for text in cut for window in text for c in window})
+            self._remember(new)
+            out += [b"".join([b"".join([self.memo[c] for c in window]) for window in text]) for text in cut]
         return out
 
-    def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.fast.decode_batch(ids, skip_special_tokens=False)
+    def _remember(self, new: list[str]) -> None:
+        """Encode words by both libraries; where they differ the original's ids are kept."""
+        # a word's own marker is the space that the original puts in front; without that rule it stands as a space
+        lead = 1 if self.spec.dummy_prefix else 0
+        right = self.original.encode([w[lead:].replace(MARK, " ") if w[:1] == MARK else w for w in new], num_threads=1)
+        for word, e, ids in zip(new, self.words.encode_batch_fast(new, add_special_tokens=False), right):
+            if e.ids != ids and self.plain and word[:1] == MARK:
+                self.differ.add(word)
+                self.memo[word] = struct.pack(f"={len(ids)}i", *ids)
+            else:
+                self.memo[word] = struct.pack(f"={len(e.ids)}i", *e.ids)
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of ids: pieces with markers as spaces, bytes as they are, without the space put in front."""
+        text = b"".join([self.said[i] for i in ids]).decode("utf-8", "replace")
+        return text[1:] if self.spec.dummy_prefix and text.startswith(" ") else text
+
+
+_CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+_EDGE = re.compile(f"[^{MARK}](?={MARK})")
+
+
+def batches_of(texts: list[str]) -> Iterator[list[str]]:
+    """Consecutive texts of about BATCH_CHARS together; a longer one stands alone."""
+    part: list[str] = []
+    size = 0
+    for text in texts:
+        if part and size + len(text) > BATCH_CHARS:
+            yield part
+            part, size = [], 0
+        part.append(text)
+        size += len(text)
+    if part:
+        yield part
+
+
+def windows(text: str) -> Iterator[str]:
+    """Pieces of about BATCH_CHARS, cut where a word ends and the next marker begins."""
+    at = 0
+    while len(text) - at > BATCH_CHARS:
+        edge = _EDGE.search(text, at + BATCH_CHARS)
+        if not edge:
+            break
+        yield text[at : edge.end()]
+        at = edge.end()
+    yield text[at:] if at else text
 
 
 def encode_documents(docs: DataFrame, model: str = MODEL, threads: int = 2, parity: int = PARITY) -> DataFrame:
-    """doc_id, ids, decoded, n_tokens, round_trip (decoded equals the text), checked (parity was verified), original
+    """doc_id, ids, n_tokens, round_trip (decoded equals the text), checked (parity was verified), original
     (the original library's ids were taken)."""
     # the model travels with the job, as executors need not have it
     spark = docs.sparkSession
@@ -197,19 +260,22 @@ def encode_documents(docs: DataFrame, model: str = MODEL, threads: int = 2, pari
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 texts = [t.as_py() or "" for t in batch.column(1)]
-                ids = codec.encode(texts)
                 check = [bool(x.as_py()) for x in batch.column(2)]
-                own = [False] * len(texts)
-                for i, c in enumerate(check):
-                    if c and (right := codec.original.encode(texts[i])) != ids[i]:
-                        ids[i], own[i] = right, True
-                said = codec.decode(ids)
+                packed, own, same = codec.encode(texts), [False] * len(texts), []
+                for i, text in enumerate(texts):
+                    ids = np.frombuffer(packed[i], np.int32).tolist()
+                    own[i] = bool(codec.differ) and any(c in codec.differ for c in _CHUNK.findall(codec.normalise(text)))
+                    if check[i] and (right := codec.original.encode(text)) != ids:
+                        ids, own[i], packed[i] = right, True, np.array(right, np.int32).tobytes()
+                    same.append(codec.decode(ids) == text)
+                ends = np.cumsum([0] + [len(p) // 4 for p in packed])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(said, pa.string()), pa.array([len(x) for x in ids], pa.int64()), pa.array([a == b for a, b in zip(texts, said)]), pa.array(check), pa.array(own)],
-                    names=["doc_id", "ids", "decoded", "n_tokens", "round_trip", "checked", "original"])
+                    [batch.column(0), lists, pa.array(np.diff(ends), pa.int64()), pa.array(same), pa.array(check), pa.array(own)],
+                    names=["doc_id", "ids", "n_tokens", "round_trip", "checked", "original"])
 
     rows = docs.select(F.col("doc_id").cast("bigint"), "text", (F.pmod(F.xxhash64("text"), F.lit(parity)) == 0).alias("check"))
-    return rows.mapInArrow(run, "doc_id bigint, ids array<int>, decoded string, n_tokens bigint, round_trip boolean, checked boolean, original boolean")
+    return rows.mapInArrow(run, "doc_id bigint, ids array<int>, n_tokens bigint, round_trip boolean, checked boolean, original boolean")
 
 
 def token_digests(docs: DataFrame, **how) -> DataFrame:
