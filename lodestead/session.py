@@ -1,4 +1,5 @@
-"""Making a session ready: executors get this package, whatever their working folder holds."""
+"""Making a session ready: executors get this package, whatever their working folder holds, and Arrow batches a size
+that bounds a Python worker's memory even where texts are long."""
 
 from __future__ import annotations
 
@@ -9,10 +10,14 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SENT: set[str] = set()
+#: Rows and bytes that a Python worker gets at a time.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors of this application, once."""
+    """Send the package to the executors of this application, once, and bound the Arrow batches of the session."""
+    for key, value in ARROW.items():
+        spark.conf.set(key, value)
     app = spark.sparkContext.applicationId
     if app in _SENT:
         return
