@@ -17,6 +17,7 @@ none; further columns, whatever their names, are ignored.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import struct
@@ -37,8 +38,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Characters encoded at a time, words remembered, and one text in how many is checked against the original library.
-BATCH_CHARS, MEMO, PARITY = 1 << 20, 400_000, 64
+#: Characters cut at a time, new words encoded at a time, words remembered, and one text in how many is checked whole.
+BATCH_CHARS, WORDS, MEMO, PARITY = 1 << 18, 4096, 250_000, 64
 
 
 @dataclass
@@ -167,12 +168,13 @@ class Codec:
         import sentencepiece
 
         self.spec = parse_model(data)
-        self.fast = build(self.spec)
+        self.tokenizer = build(self.spec)
+        self.normaliser = self.tokenizer.normalizer
         self.original = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.by_word = self.fast.pre_tokenizer is not None and self.spec.escape
+        self.by_word = self.tokenizer.pre_tokenizer is not None and self.spec.escape
         self.plain = not self.spec.charsmap and not self.spec.squeeze and self.spec.dummy_prefix
-        self.words = build(self.spec)
-        self.words.normalizer = self.words.pre_tokenizer = None
+        if self.by_word:  # texts are normalised and cut here; the pipeline then sees single words
+            self.tokenizer.normalizer = self.tokenizer.pre_tokenizer = None
         self.memo: dict[str, bytes] = {}
         self.differ: set[str] = set()
         self.said = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " \u2047 ".encode() if kind == UNKNOWN else p.replace(MARK, " ").encode() for p, _, kind in self.spec.pieces]
@@ -180,12 +182,12 @@ class Codec:
     def normalise(self, text: str) -> str:
         if self.plain:
             return MARK + text.replace(" ", MARK) if text else text
-        return self.fast.normalizer.normalize_str(text)
+        return self.normaliser.normalize_str(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as packed 32-bit integers."""
         if not self.by_word:
-            return [struct.pack(f"={len(e.ids)}i", *e.ids) for part in batches_of(texts) for e in self.fast.encode_batch_fast(part, add_special_tokens=False)]
+            return [struct.pack(f"={len(e.ids)}i", *e.ids) for part in batches_of(texts) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
         out = []
         for part in batches_of(texts):
             cut = [[_CHUNK.findall(w) for w in windows(self.normalise(t))] for t in part]
@@ -193,7 +195,8 @@ class Codec:
             if len(self.memo) + len(new) > MEMO:
                 self.memo.clear()
                 new = list({c for text in cut for window in text for c in window})
-            self._remember(new)
+            for at in range(0, len(new), WORDS):
+                self._remember(new[at : at + WORDS])
             out += [b"".join([b"".join([self.memo[c] for c in window]) for window in text]) for text in cut]
         return out
 
@@ -202,7 +205,7 @@ class Codec:
         # a word's own marker is the space that the original puts in front; without that rule it stands as a space
         lead = 1 if self.spec.dummy_prefix else 0
         right = self.original.encode([w[lead:].replace(MARK, " ") if w[:1] == MARK else w for w in new], num_threads=1)
-        for word, e, ids in zip(new, self.words.encode_batch_fast(new, add_special_tokens=False), right):
+        for word, e, ids in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), right):
             if e.ids != ids and self.plain and word[:1] == MARK:
                 self.differ.add(word)
                 self.memo[word] = struct.pack(f"={len(ids)}i", *ids)
@@ -215,6 +218,12 @@ class Codec:
         return text[1:] if self.spec.dummy_prefix and text.startswith(" ") else text
 
 
+@functools.cache
+def codec_of(path: str, threads: int) -> Codec:
+    """One codec, and one memory, for all tasks of a worker."""
+    return Codec(path, threads)
+
+
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _EDGE = re.compile(f"[^{MARK}](?={MARK})")
 
@@ -255,7 +264,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL, threads: int = 2, pari
     name = os.path.basename(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(SparkFiles.get(name), threads)
+        codec = codec_of(SparkFiles.get(name), threads)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
