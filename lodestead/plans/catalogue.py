@@ -1,4 +1,435 @@
-"""The registered queries of the web-site feature engine and their oracles."""
+"""The registered queries of the site feature engine, each over whole tables, and their DuckDB oracles.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+The supplied pages have three registrable domains, so the host stands for the site.  Where a table is named for lack of
+crawl data (events, orders, ...), it plays the part of the crawl table with the same shape.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestead.config import FeatureConfig
+from lodestead.functions import patterns as R
+from lodestead.functions import text as T
+from lodestead.functions import urls as U
+from lodestead.operators import crawl, cross_site, html, matrix, pages, sitemap, sites
+from lodestead.session import ship
+from lodestead.sinks import todo
+from lodestead.sources import institutions
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    """Register a function under its name, with an oracle if SQL can express it."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def big(c) -> F.Column:
+    return c.cast("bigint")
+
+
+HOST = "lower(split_part(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1), ':', 1))"
+PATH = "regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1)"
+TAGS = "list_transform(regexp_extract_all(html, '<([a-zA-Z][^\\s/>]*)', 1), lambda t: lower(t))"
+HASHED = f"(SELECT {HOST} AS site, page_id, url, html, sha1(array_to_string({TAGS}, '|')) AS structure_hash FROM pages)"
+WORDS = "regexp_extract_all(text, '\\S+')"
+SHINGLES = f"""(SELECT doc_id, source, list_distinct(list_transform(range(1, len(w) - 3), lambda i: substr(md5(array_to_string(w[i:i+4], ' ')), 1, 12))) AS s
+FROM (SELECT doc_id, source, {WORDS} AS w FROM documents))"""
+
+
+def tags_of(page: DataFrame) -> DataFrame:
+    """site, page_id, url, html, structure_hash: the tag sequence by regex, without leaving the JVM."""
+    tags = F.transform(F.regexp_extract_all("html", F.lit(r"<([a-zA-Z][^\s/>]*)"), F.lit(1)), F.lower)
+    return page.select(U.host(F.col("url")).alias("site"), "page_id", "url", "html", F.sha1(F.array_join(tags, "|").cast("binary")).alias("structure_hash"))
+
+
+# URLs
+
+
+@query("SELECT page_id, CASE WHEN regexp_matches(u, '(?i)^https?://') THEN u ELSE 'https://' || u END AS normalized, rtrim(split_part(url, '#', 1), '/') AS canonical FROM (SELECT page_id, url, regexp_replace(url, '^\\s+|\\s+$', '', 'g') AS u FROM pages)")
+def url_normalize(spark, sf_dir):
+    u = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", U.normalize_url(u).alias("normalized"), U.canonical_url(u).alias("canonical"))
+
+
+@query(f"SELECT page_id, h AS host, CASE WHEN len(string_split(h, '.')) > 2 THEN array_to_string(string_split(h, '.')[-2:], '.') ELSE h END AS domain, CASE WHEN contains(h, '.') THEN string_split(h, '.')[-1] ELSE '' END AS tld FROM (SELECT page_id, {HOST} AS h FROM pages)")
+def url_host_tld(spark, sf_dir):
+    u = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", U.host(u).alias("host"), U.registered_domain(u).alias("domain"), U.tld(u).alias("tld"))
+
+
+@query(f"SELECT page_id, len(list_filter(string_split(p, '/'), lambda x: x <> ''))::BIGINT AS depth, nullif(lower(string_split(p, '/')[2]), '') AS top_dir, contains(url, '?') AS has_query FROM (SELECT page_id, url, {PATH} AS p FROM pages)")
+def url_path_depth(spark, sf_dir):
+    u = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", big(U.path_depth(u)).alias("depth"), U.top_directory(u).alias("top_dir"), U.has_query(u).alias("has_query"))
+
+
+@query(f"""SELECT site, count(*) AS url_count, max(depth) AS max_depth, round(avg(depth), 6) AS avg_depth, count(DISTINCT top) AS top_dirs, round(avg(q), 6) AS pct_query, count(*) FILTER (pdf) AS pdf_count
+FROM (SELECT site, len(list_filter(string_split(p, '/'), lambda x: x <> ''))::BIGINT AS depth, nullif(lower(string_split(p, '/')[2]), '') AS top, contains(url, '?')::INT AS q, ends_with(split_part(lower(url), '?', 1), '.pdf') AS pdf
+FROM (SELECT url, {HOST} AS site, {PATH} AS p FROM pages)) GROUP BY site""")
+def url_inventory_features(spark, sf_dir):
+    out = sitemap.inventory_urls(table(spark, sf_dir, "pages").select(U.host(F.col("url")).alias("site"), "url"), "site")
+    return out.select("site", F.col("sitemap_url_count").alias("url_count"), big(F.col("sitemap_max_depth")).alias("max_depth"), F.round("sitemap_avg_depth", 6).alias("avg_depth"), F.col("sitemap_n_top_dirs").alias("top_dirs"), F.round("sitemap_pct_query_urls", 6).alias("pct_query"), F.col("sitemap_pdf_count").alias("pdf_count"))
+
+
+SECTIONS = ("blog", "en", "fr")
+
+
+@query(f"SELECT site, concat_ws(',', {', '.join(f'''CASE WHEN bool_or(contains(lower(url), '{s}')) THEN '{s}' END''' for s in SECTIONS)}) AS sections FROM (SELECT url, {HOST} AS site FROM pages) GROUP BY site")
+def expected_sections(spark, sf_dir):
+    df = table(spark, sf_dir, "pages").select(U.host(F.col("url")).alias("site"), F.lower("url").alias("u"))
+    return df.groupBy("site").agg(F.concat_ws(",", *[F.when(F.bool_or(F.col("u").contains(s)), F.lit(s)) for s in SECTIONS]).alias("sections"))
+
+
+@query("SELECT page_id, split_part(url, '?', 1) AS plain, ends_with(split_part(lower(url), '?', 1), '.pdf') AS is_pdf FROM pages")
+def pdf_links(spark, sf_dir):
+    u = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", U.strip_query(u).alias("plain"), U.is_pdf(u).alias("is_pdf"))
+
+
+@query("SELECT url AS input_url, count(*) AS n_institutions, min(id) AS first_id FROM (SELECT s_suppkey::VARCHAR AS id, 'https://' || lower(n_name) || '.edu' AS url FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_acctbal > 0) GROUP BY url")
+def institution_scan_dedup(spark, sf_dir):
+    names = table(spark, sf_dir, "supplier").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))  # 25 nations
+    rows = names.select(F.col("s_suppkey").alias("UNITID"), F.when(F.col("s_acctbal") > 0, F.concat(F.lit("  "), F.lower("n_name"), F.lit(".edu "))).alias("school.school_url"))
+    listed = institutions.institutions(rows, "school.school_url", "UNITID")
+    found = institutions.unique_urls(listed)
+    return institutions.join_back(listed, found).groupBy("input_url").agg(F.count("*").alias("n_institutions"), F.min("UNITID").alias("first_id"))
+
+
+# Text
+
+
+@query(f"SELECT doc_id, len({WORDS})::BIGINT AS words FROM documents")
+def word_count(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.word_count(F.col("text")).alias("words"))
+
+
+@query("SELECT page_id, octet_length(encode(html))::BIGINT AS html_bytes, round(octet_length(encode(url))::DOUBLE / nullif(octet_length(encode(html)), 0), 6) AS ratio FROM pages")
+def byte_lengths(spark, sf_dir):
+    h, u = T.byte_length(F.col("html")), T.byte_length(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", h.alias("html_bytes"), F.round(sites.ratio(u, h), 6).alias("ratio"))
+
+
+@query(f"SELECT page_id, structure_hash FROM {HASHED}")
+def tag_sequence_hash(spark, sf_dir):
+    return tags_of(table(spark, sf_dir, "pages")).select("page_id", "structure_hash")
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, '<a\\s[^>]*href'))::BIGINT AS anchors FROM pages")
+def anchor_count(spark, sf_dir):
+    facts = html.html_facts(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return facts.select("page_id", big(F.size("facts.anchors")).alias("anchors"))
+
+
+TRACKERS = {"ga_ua": (R.GA_UA, "\\bUA-\\d{4,10}-\\d{1,4}\\b"), "ga4": (R.GA4, "\\bG-[A-Z0-9]{6,14}\\b"), "gtm": (R.GTM, "\\bGTM-[A-Z0-9]{4,10}\\b")}
+
+
+@query("SELECT source, " + ", ".join(f"array_to_string(list_sort(list_distinct(flatten(list(regexp_extract_all(text, '{p}'))))), ',') AS {n}" for n, (_, p) in TRACKERS.items()) + " FROM documents GROUP BY source")
+def tracker_ids(spark, sf_dir):
+    df = table(spark, sf_dir, "documents").select("source", *[R.found_set(F.col("text"), p).alias(n) for n, (p, _) in TRACKERS.items()])
+    return df.groupBy("source").agg(*[F.array_join(sites.union_of(n), ",").alias(n) for n in TRACKERS])
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, '(?:\\+?1[\\s.-]?)?\\(?\\d{3}\\)?[\\s.-]\\d{3}[\\s.-]\\d{4}'))::BIGINT AS phones FROM documents")
+def phone_hits(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", R.count(F.col("text"), R.PHONE).alias("phones"))
+
+
+SUFFIXES = "Street|St\\.?|Avenue|Ave\\.?|Boulevard|Blvd\\.?|Road|Rd\\.?|Drive|Dr\\.?|Lane|Ln\\.?|Way|Court|Ct\\.?|Place|Pl\\.?|Circle|Parkway|Pkwy\\.?"
+
+
+@query(f"SELECT doc_id, regexp_matches(t, '(?i)\\b\\d{{1,6}}\\s+\\w[\\w\\s.]{{0,40}}?(?:{SUFFIXES})\\b') AND regexp_matches(t, '\\b\\d{{5}}(?:-\\d{{4}})?\\b') AS has_address FROM (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g') AS t FROM documents)")
+def street_zip(spark, sf_dir):
+    plain = F.regexp_replace("text", r"[^\x00-\x7F]", "_")  # the oracle's classes are ASCII only
+    return table(spark, sf_dir, "documents").select("doc_id", R.has_street_address(plain).alias("has_address"))
+
+
+@query("SELECT source, min(y) AS min_year, max(y) AS max_year FROM (SELECT source, unnest(list_filter(list_transform(regexp_extract_all(text, '(?i)(?:©|&copy;|copyright|in)\\s*(?:\\d{4}\\s*[-–]\\s*)?(\\d{4})', 1), lambda x: x::INT), lambda x: x BETWEEN 1990 AND 2100)) AS y FROM documents) GROUP BY source")
+def copyright_years(spark, sf_dir):
+    wider = R.COPYRIGHT_YEAR.replace("|copyright", "|copyright|in")  # the supplied texts have no copyright lines
+    years = F.transform(R.found_all(F.col("text"), wider, 1), lambda y: y.cast("int"))
+    df = table(spark, sf_dir, "documents").select("source", F.explode(F.filter(years, lambda y: y.between(1990, 2100))).alias("y"))
+    return df.groupBy("source").agg(F.min("y").alias("min_year"), F.max("y").alias("max_year"))
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, '(?i)@(gmail|yahoo|hotmail|outlook|aol|protonmail|icloud|mail)\\.(com|ru|net)'))::BIGINT AS free_email FROM documents")
+def free_email_hits(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", R.count(F.col("text"), R.FREE_EMAIL).alias("free_email"))
+
+
+def _named(patterns: dict[str, str]) -> str:
+    return "concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(substr(html, 1, 200000), '(?i){p}') THEN '{n}' END" for n, p in patterns.items()) + ")"
+
+
+@query(f"SELECT page_id, {_named(R.CSS_FRAMEWORKS)} AS frameworks FROM pages")
+def css_frameworks(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(R.css_frameworks(F.col("html"), F.array().cast("array<string>"), FeatureConfig().prefix_chars), ",").alias("frameworks"))
+
+
+@query(f"SELECT page_id, {_named(R.SITE_BUILDERS)} AS builders FROM pages")
+def site_builders(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(R.site_builders(F.col("html"), FeatureConfig().prefix_chars), ",").alias("builders"))
+
+
+def shingled(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "source", T.shingles(F.col("text")).alias("s"))
+
+
+@query(f"SELECT doc_id, len(s)::BIGINT AS n, md5(array_to_string(list_sort(s), ',')) AS digest FROM {SHINGLES}")
+def page_shingles(spark, sf_dir):
+    return shingled(spark, sf_dir).select("doc_id", big(F.size("s")).alias("n"), F.md5(F.array_join(F.array_sort("s"), ",").cast("binary")).alias("digest"))
+
+
+@query(f"""WITH d AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS seq FROM {SHINGLES}), n AS (SELECT source, count(*) AS n FROM d GROUP BY source),
+e AS (SELECT source, seq, unnest(s) AS x FROM d), c AS (SELECT source, x, count(*) AS k, bool_or(seq = 0) AS landing FROM e GROUP BY source, x)
+SELECT c.source, round(avg((k >= greatest(2, n // 2))::INT), 6) AS ratio FROM c JOIN n USING (source) WHERE landing AND n >= 3 GROUP BY c.source""")
+def boilerplate_ratio(spark, sf_dir):
+    first = table(spark, sf_dir, "documents").groupBy("source").agg(F.min("doc_id").alias("first"))
+    df = shingled(spark, sf_dir).join(first, "source")  # the landing page is the first; other places do not matter
+    pages_ = df.select(F.col("source").alias("site_key"), F.when(F.col("doc_id") == F.col("first"), 0).otherwise(1).alias("page_seq"), F.col("s").alias("shingles"))
+    out = sites.boilerplate(pages_).where("boilerplate_ratio is not null")
+    return out.select(F.col("site_key").alias("source"), F.round("boilerplate_ratio", 6).alias("ratio"))
+
+
+# Sites
+
+
+@query(f"SELECT site, count(*) AS pages, count(DISTINCT structure_hash) AS structures, round(count(DISTINCT structure_hash)::DOUBLE / count(*), 6) AS diversity FROM {HASHED} GROUP BY site")
+def structure_diversity(spark, sf_dir):
+    n = F.count("*")
+    return tags_of(table(spark, sf_dir, "pages")).groupBy("site").agg(n.alias("pages"), F.count_distinct("structure_hash").alias("structures"), F.round(F.count_distinct("structure_hash") / n, 6).alias("diversity"))
+
+
+@query(f"SELECT site, arg_min(structure_hash, page_id) AS landing_hash, arg_min(octet_length(encode(html)), page_id)::BIGINT AS landing_bytes FROM {HASHED} GROUP BY site")
+def landing_page_attr(spark, sf_dir):
+    df = tags_of(table(spark, sf_dir, "pages")).withColumn("bytes", T.byte_length(F.col("html"))).drop("html")
+    return df.groupBy("site").agg(F.min_by("structure_hash", "page_id").alias("landing_hash"), F.min_by("bytes", "page_id").alias("landing_bytes"))
+
+
+@query(f"SELECT {HOST} AS site, count(*) AS pages, sum(octet_length(encode(html)))::BIGINT AS total_html_bytes, sum(len(regexp_extract_all(html, '<a\\s[^>]*href')))::BIGINT AS total_a_tags, round(avg(len(regexp_extract_all(html, '<li>'))), 6) AS avg_items FROM pages GROUP BY site")
+def site_volume_agg(spark, sf_dir):
+    df = table(spark, sf_dir, "pages").select(U.host(F.col("url")).alias("site"), T.byte_length(F.col("html")).alias("b"), R.count(F.col("html"), r"<a\s[^>]*href").alias("a"), R.count(F.col("html"), "<li>").alias("li"))
+    return df.groupBy("site").agg(F.count("*").alias("pages"), F.sum("b").alias("total_html_bytes"), F.sum("a").alias("total_a_tags"), F.round(F.avg("li"), 6).alias("avg_items"))
+
+
+@query("SELECT user_id, bool_or(event_type = 'purchase') AS any_purchase, round(avg((event_type = 'click')::INT), 6) AS pct_click, round(avg((value > 50)::INT), 6) AS pct_large FROM events GROUP BY user_id")
+def any_and_share_flags(spark, sf_dir):
+    e = F.col("event_type")
+    share = lambda c: F.round(F.avg(c.cast("double")), 6)
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.bool_or(e == "purchase").alias("any_purchase"), share(e == "click").alias("pct_click"), share(F.col("value") > 50).alias("pct_large"))
+
+
+@query(f"""WITH s AS (SELECT DISTINCT site, structure_hash AS t FROM {HASHED}), n AS (SELECT site, count(*) AS n FROM s GROUP BY site),
+p AS (SELECT a.site AS i, b.site AS j, count(*) AS k FROM s a JOIN s b ON a.t = b.t AND a.site <> b.site GROUP BY 1, 2)
+SELECT n.site, round(coalesce(max(k::DOUBLE / (n.n + m.n - k)), 0.0), 6) AS similarity FROM n LEFT JOIN p ON p.i = n.site LEFT JOIN n m ON m.site = p.j GROUP BY n.site""")
+def max_structure_similarity(spark, sf_dir):
+    per = tags_of(table(spark, sf_dir, "pages")).groupBy("site").agg(F.collect_set("structure_hash").alias("tokens"))
+    return cross_site.max_similarity(per, "site", "tokens", "similarity").select("site", F.round("similarity", 6).alias("similarity"))
+
+
+@query("""WITH t AS (SELECT DISTINCT l_suppkey AS site, l_partkey AS t FROM lineitem WHERE l_quantity = 50 AND l_discount > 0.08)
+SELECT s_suppkey AS site, coalesce(k, 0)::BIGINT AS sharing FROM supplier LEFT JOIN (SELECT a.site, count(DISTINCT b.site) AS k FROM t a JOIN t b ON a.t = b.t AND a.site <> b.site GROUP BY a.site) x ON x.site = s_suppkey""")
+def shared_token_count(spark, sf_dir):
+    sold = table(spark, sf_dir, "lineitem").where("l_quantity = 50 and l_discount > 0.08").groupBy("l_suppkey").agg(F.collect_set(F.col("l_partkey").cast("string")).alias("tokens"))
+    all_ = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("site")).join(sold, F.col("site") == F.col("l_suppkey"), "left")
+    return cross_site.sharing_sites(all_.select("site", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens")), "site", "tokens", "sharing")
+
+
+@query("""WITH t AS (SELECT DISTINCT user_id AS site, event_type || ':' || floor(value)::BIGINT AS t FROM events UNION SELECT DISTINCT user_id, 'v' || floor(value * 10)::BIGINT FROM events WHERE value > 95)
+SELECT u.site, coalesce(k, 0)::BIGINT AS sharing FROM (SELECT DISTINCT user_id AS site FROM events) u LEFT JOIN (SELECT a.site, count(DISTINCT b.site) AS k FROM t a JOIN t b ON a.t = b.t AND a.site <> b.site GROUP BY a.site) x USING (site)""")
+def shared_tracker_union(spark, sf_dir):
+    v = F.col("value")
+    kinds = table(spark, sf_dir, "events").select("user_id", F.concat("event_type", F.lit(":"), F.floor(v).cast("string")).alias("a"), F.when(v > 95, F.concat(F.lit("v"), F.floor(v * 10).cast("string"))).alias("b"))
+    per = kinds.groupBy(F.col("user_id").alias("site")).agg(F.array_union(F.collect_set("a"), F.collect_set("b")).alias("tokens"))
+    return cross_site.sharing_sites(per, "site", "tokens", "sharing")
+
+
+@query(f"""WITH b AS (SELECT DISTINCT unnest(list_transform(range(1, len(w) - 3), lambda i: substr(md5(array_to_string(w[i:i+4], ' ')), 1, 12))) AS x FROM (SELECT {WORDS} AS w FROM benchmark)),
+d AS (SELECT doc_id, unnest(s) AS x FROM {SHINGLES}) SELECT doc_id, count(*) AS common FROM d JOIN b USING (x) GROUP BY doc_id""")
+def benchmark_shingle_overlap(spark, sf_dir):
+    bench = table(spark, sf_dir, "benchmark").select(F.explode(T.shingles(F.col("text"))).alias("x")).distinct()
+    return shingled(spark, sf_dir).select("doc_id", F.explode("s").alias("x")).join(bench, "x").groupBy("doc_id").agg(F.count("*").alias("common"))
+
+
+# Joins
+
+
+@query("SELECT c_custkey, c_name, orders, total FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey")
+def left_join_features_back(spark, sf_dir):
+    per = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return table(spark, sf_dir, "customer").join(per, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "c_name", "orders", "total")
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def resume_anti_join(spark, sf_dir):
+    return todo(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "source")
+
+
+@query(f"""WITH a AS (SELECT DISTINCT {HOST} AS site, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages), v AS (SELECT DISTINCT {HOST} AS site, {PATH} AS href FROM pages)
+SELECT site, count(*) AS unvisited FROM a WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.site = a.site AND v.href = a.href) GROUP BY site""")
+def unvisited_links(spark, sf_dir):
+    df = table(spark, sf_dir, "pages").select(U.host(F.col("url")).alias("site"), U.path(F.col("url")).alias("seen"), R.found_set(F.col("html"), '<a href="([^"]*)"', 1).alias("hrefs"))
+    links, seen = df.select("site", F.explode("hrefs").alias("href")).distinct(), df.select("site", F.col("seen").alias("href")).distinct()
+    return links.join(seen, ["site", "href"], "left_anti").groupBy("site").agg(F.count("*").alias("unvisited"))
+
+
+@query(f"SELECT page_id, site, (r - 1)::BIGINT AS page_seq FROM (SELECT page_id, {HOST} AS site, row_number() OVER (PARTITION BY {HOST} ORDER BY page_id) AS r FROM pages) WHERE r <= 3")
+def page_cap(spark, sf_dir):
+    df = table(spark, sf_dir, "pages").select("page_id", U.host(F.col("url")).alias("site_key"), F.col("page_id").alias("page_seq"))
+    return crawl.page_cap(df, FeatureConfig(max_pages_per_site=3)).select("page_id", F.col("site_key").alias("site"), big(F.col("page_seq")).alias("page_seq"))
+
+
+# Dates, rates, matrix steps
+
+
+@query("SELECT o_custkey, count(*) AS n_dates, date_diff('day', max(o_orderdate)::DATE, DATE '2000-01-01')::INT AS days_since, date_diff('day', min(o_orderdate)::DATE, max(o_orderdate)::DATE)::INT AS span FROM orders GROUP BY o_custkey")
+def lastmod_features(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select("o_custkey", F.date_format("o_orderdate", "yyyy-M-d").alias("lastmod"))
+    out = sitemap.lastmod_features(df, F.lit("2000-01-01").cast("date"), "o_custkey")
+    return out.select("o_custkey", "n_dates", F.col("sitemap_days_since_last_update").alias("days_since"), F.col("sitemap_lastmod_span_days").alias("span"))
+
+
+@query("SELECT user_id, count(*) AS sample_n, round(avg((event_type = 'error')::INT), 6) AS rate FROM events GROUP BY user_id")
+def broken_link_rate(spark, sf_dir):
+    checks = table(spark, sf_dir, "events").select(F.col("user_id").alias("site_key"), F.col("event_id").cast("string").alias("url"), F.when(F.col("event_type") == "error", 404).otherwise(200).alias("head_status"), F.lit(None).cast("int").alias("get_status"), F.lit(None).cast("string").alias("error"))
+    out = sites.broken_links(checks.select("site_key", "url"), checks)
+    return out.select(F.col("site_key").alias("user_id"), F.col("broken_link_sample_n").alias("sample_n"), F.round("broken_link_rate_sampled", 6).alias("rate"))
+
+
+def hosts(spark, sf_dir) -> DataFrame:
+    """A raw site table from pages: one row per host."""
+    df = tags_of(table(spark, sf_dir, "pages")).withColumns({"b": T.byte_length(F.col("html")), "a": R.count(F.col("html"), r"<a\s[^>]*href"), "tld": U.tld(F.col("url")), "q": U.has_query(F.col("url"))}).drop("html")
+    n = F.count("*")
+    return df.groupBy(F.col("site").alias("input_url")).agg(
+        F.min("tld").alias("tld"), n.alias("pages_crawled"), F.sum("a").alias("total_a_tags"), F.sum("b").alias("total_html_bytes"), (F.count_distinct("structure_hash") / n).alias("dom_structure_diversity"),
+        F.bool_or("q").alias("https_redirect"), F.when(n > 3, F.sum("a")).alias("total_internal_links"), F.when(n > 2, F.sum(F.col("q").cast("int"))).cast("bigint").alias("total_external_links"))
+
+
+HOSTS = f"""(SELECT site AS input_url, min(string_split(site, '.')[-1]) AS tld, count(*) AS pages_crawled, sum(len(regexp_extract_all(html, '<a\\s[^>]*href')))::BIGINT AS total_a_tags, sum(octet_length(encode(html)))::BIGINT AS total_html_bytes,
+count(DISTINCT structure_hash)::DOUBLE / count(*) AS dom_structure_diversity, bool_or(contains(url, '?')) AS https_redirect, CASE WHEN count(*) > 3 THEN sum(len(regexp_extract_all(html, '<a\\s[^>]*href')))::BIGINT END AS total_internal_links,
+CASE WHEN count(*) > 2 THEN sum(contains(url, '?')::INT)::BIGINT END AS total_external_links FROM {HASHED} GROUP BY site)"""
+
+
+@query(f"SELECT input_url, (pages_crawled >= m AND m > 1)::INT AS pages_hit_cap, (pages_crawled >= 25 AND total_a_tags > 25) AS crawl_censored FROM {HOSTS}, (SELECT max(pages_crawled) AS m FROM {HOSTS})")
+def crawl_flags(spark, sf_dir):
+    df = hosts(spark, sf_dir)
+    most = df.agg(F.max("pages_crawled")).first()[0]
+    hit = F.coalesce((F.col("pages_crawled") >= F.lit(most)) & F.lit((most or 0) > 1), F.lit(False)).cast("int")
+    return df.select("input_url", hit.alias("pages_hit_cap"), sites.crawl_censored(F.col("pages_crawled"), F.col("total_a_tags"), 25).alias("crawl_censored"))
+
+
+@query(f"SELECT page_id, (t = 'edu')::INT AS is_edu_tld, (t LIKE '%gov' OR t LIKE '%us')::INT AS is_gov_or_state_tld, (t = 'org')::INT AS is_org_tld, (t IN ('com', 'net'))::INT AS is_com_net_tld, (t NOT IN ('edu', 'org', 'com', 'net', '') AND t NOT LIKE '%gov' AND t NOT LIKE '%us')::INT AS is_foreign_or_other_tld FROM (SELECT page_id, string_split({HOST}, '.')[-1] AS t FROM pages)")
+def tld_flags(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", *[c.alias(n) for n, c in matrix.tld_flags(U.tld(F.col("url"))).items()])
+
+
+@query(f"SELECT input_url, round(total_internal_links / nullif(pages_crawled, 0)::DOUBLE, 6) AS internal_per_page, round(total_external_links / nullif(total_external_links + total_internal_links, 0)::DOUBLE, 6) AS external_share, round(least(1.0, pages_crawled / nullif(total_external_links, 0)::DOUBLE), 6) AS coverage FROM (SELECT input_url, pages_crawled::DOUBLE AS pages_crawled, total_internal_links::DOUBLE AS total_internal_links, total_external_links::DOUBLE AS total_external_links FROM {HOSTS}) WHERE total_external_links > 0")
+def per_page_rates(spark, sf_dir):
+    df = hosts(spark, sf_dir).withColumn("sitemap_url_count", F.col("total_external_links")).where("total_external_links > 0")
+    out = matrix.features(df, None, 2024)
+    return out.select("input_url", F.round("internal_links_per_page", 6).alias("internal_per_page"), F.round("external_link_share", 6).alias("external_share"), F.round("crawl_coverage_ratio", 6).alias("coverage"))
+
+
+@query("SELECT o_custkey, round(ln(1 + sum(o_totalprice)), 6) AS log_total, round(ln(1 + count(*)), 6) AS log_n FROM orders GROUP BY o_custkey")
+def log1p_volumes(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.round(F.log1p(F.sum("o_totalprice")), 6).alias("log_total"), F.round(F.log1p(F.count("*")), 6).alias("log_n"))
+
+
+@query("SELECT event_id, CASE WHEN v IN ('true', 'True', '1') THEN 1.0::DOUBLE WHEN v IN ('false', 'False', '0') THEN 0.0::DOUBLE END AS b FROM (SELECT event_id, ['True', 'true', '1', 'False', 'FALSE', 'yes', '2', '0', NULL][(event_id % 9)::INT + 1] AS v FROM events)")
+def bool_mapping(spark, sf_dir):
+    words = F.array(*[F.lit(x) for x in ("True", "true", "1", "False", "FALSE", "yes", "2", "0", None)])
+    return table(spark, sf_dir, "events").select("event_id", matrix.to_bool(F.get(words, (F.col("event_id") % 9).cast("int"))).alias("b"))
+
+
+@query("SELECT event_id, try_cast(CASE event_id % 4 WHEN 0 THEN value::VARCHAR WHEN 1 THEN event_type WHEN 2 THEN event_id::VARCHAR END AS DOUBLE) AS x FROM events")
+def numeric_coerce(spark, sf_dir):
+    k = F.col("event_id") % 4
+    v = F.when(k == 0, F.col("value").cast("string")).when(k == 1, F.col("event_type")).when(k == 2, F.col("event_id").cast("string"))
+    return table(spark, sf_dir, "events").select("event_id", matrix.number(v).alias("x"))
+
+
+@query("SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN n_name || ',b' WHEN 1 THEN n_name ELSE '' END AS parsed FROM nation")
+def listlike_parse(spark, sf_dir):
+    n, k = F.col("n_name"), F.col("n_nationkey") % 4
+    text = F.when(k == 0, F.concat(F.lit("['"), n, F.lit("', 'b']"))).when(k == 1, F.concat(F.lit('["'), n, F.lit('"]'))).when(k == 2, F.lit("[]")).otherwise(n)
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.array_join(matrix.parse_list(text), ",").alias("parsed"))
+
+
+@query(f"SELECT input_url, CASE WHEN pages_crawled < 4 THEN NULL ELSE round(dom_structure_diversity, 6) END AS diversity FROM {HOSTS}")
+def tiny_crawl_mask(spark, sf_dir):
+    return matrix.features(hosts(spark, sf_dir), None, 2024, 4).select("input_url", F.round("dom_structure_diversity", 6).alias("diversity"))
+
+
+@query("SELECT doc_id, coalesce(quality::DOUBLE, (SELECT median(quality) FROM documents LEFT JOIN labels USING (doc_id))) AS quality, coalesce(toxic::DOUBLE, (SELECT median(toxic) FROM documents LEFT JOIN labels USING (doc_id))) AS toxic, (quality IS NULL)::INT AS quality_missing, (toxic IS NULL)::INT AS toxic_missing FROM documents LEFT JOIN labels USING (doc_id)")
+def missing_indicators_impute(spark, sf_dir):
+    df = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left").select("doc_id", "quality", "toxic")
+    return matrix.complete(df, ["quality", "toxic"], matrix.profile(df, ["quality", "toxic"]), drop_constant=False)[0]
+
+
+@query(f"SELECT input_url, pages_crawled, total_a_tags FROM {HOSTS}")
+def drop_constants(spark, sf_dir):
+    df = hosts(spark, sf_dir).select("input_url", "pages_crawled", "total_a_tags", F.lit(1).alias("always"))
+    columns = ["pages_crawled", "total_a_tags", "always"]
+    return matrix.complete(df, columns, matrix.profile(df, columns))[0]
+
+
+@query()
+def model_matrix(spark, sf_dir):
+    return matrix.build_model_matrix(hosts(spark, sf_dir), 2024)[0]
+
+
+@query(f"SELECT count(*) AS n_rows_in, 0::BIGINT AS n_failed_crawls, count(*) FILTER (pages_crawled < 3) AS n_tiny_crawls, round(CASE WHEN count(*) > count(total_internal_links) THEN median(ln(1 + total_internal_links::DOUBLE)) END, 6) AS median_log_internal FROM {HOSTS}")
+def matrix_report(spark, sf_dir):
+    report = matrix.build_model_matrix(hosts(spark, sf_dir), 2024, drop_constant_columns=False)[1]
+    median = F.round(F.try_element_at("imputation_medians", F.lit("log1p_total_internal_links")), 6).alias("median_log_internal")
+    return matrix.report_table(spark, report).select("n_rows_in", "n_failed_crawls", "n_tiny_crawls", median)
+
+
+# Pages by their tree
+
+
+def page_table(spark, sf_dir) -> DataFrame:
+    df = table(spark, sf_dir, "pages")
+    u = F.col("url")
+    return pages.page_features(df.select(U.host(u).alias("site_key"), F.col("page_id").alias("page_seq"), "url", U.registered_domain(u).alias("site_domain"), "html"))
+
+
+@query()
+def html_visible_text(spark, sf_dir):
+    facts = html.html_facts(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return facts.select("page_id", T.word_count(F.col("facts.visible_text")).alias("words"), F.sha1(F.col("facts.visible_text").cast("binary")).alias("digest"))
+
+
+@query()
+def html_meta_flags(spark, sf_dir):
+    return page_table(spark, sf_dir).select("page_seq", "meta_generator", "has_meta_description", "has_og_tags", "has_canonical", "has_favicon", "has_edu_schema", "img_count", "img_alt_count", "inline_style_count")
+
+
+@query("SELECT page_id AS page_seq, len(regexp_extract_all(html, '<a\\s[^>]*href'))::BIGINT AS a_tag_count, len(regexp_extract_all(html, '<a\\s[^>]*href'))::BIGINT AS internal, 0::BIGINT AS external_link_count, 0::BIGINT AS trusted_link_count, 0::BIGINT AS pdf_link_count FROM pages")
+def html_link_classification(spark, sf_dir):
+    return page_table(spark, sf_dir).select("page_seq", "a_tag_count", big(F.size("internal_links")).alias("internal"), "external_link_count", "trusted_link_count", "pdf_link_count")
+
+
+@query()
+def site_features(spark, sf_dir):
+    page = page_table(spark, sf_dir)
+    domain = page.withColumn("site_domain", U.registered_domain(F.col("url")))
+    return sites.aggregate_sites(domain).drop("structure_hashes")
