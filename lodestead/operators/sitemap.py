@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lodestead.config import DEFAULT_SITEMAPS, EXPECTED_SECTIONS, FeatureConfig
 from lodestead.functions import patterns as R
 from lodestead.functions import urls as U
-from lodestead.session import ship
+from lodestead.session import ship, stage
 
 
 def decode(content: bytes | None, url: str) -> str | None:
@@ -52,31 +52,33 @@ def collect_inventory(sites: DataFrame, robots: DataFrame, docs: DataFrame, conf
     """sites(site_key, base_url) -> one row per site with urls, lastmods and what was fetched.
 
     The walk takes at most ``max_sitemap_files`` steps and is the same for every site, so it is a loop of as many joins
-    on (site_key, next url); each takes the head of every site's queue.  Queues and lists are bounded by the two caps.
+    on (site_key, next url); each takes the head of every site's queue.  Documents are parsed once and staged; the loop
+    carries queues, what was seen and a count, and the URLs are fetched after it.
     """
+    parsed, _ = stage(parse_documents(docs).withColumnRenamed("url", "head"), "sitemaps")
     # a missing document counts as fetched and is skipped, like an error of the reference's fetch
-    there = parse_documents(docs).withColumnsRenamed({"url": "head", "lastmods": "mods"})
-    empty = F.array().cast("array<string>")
-    state = candidates(sites, robots).select("site_key", "source", "queue", empty.alias("seen"), empty.alias("urls"), empty.alias("lastmods"), F.lit(0).cast("bigint").alias("fetched"), F.lit(False).alias("found"))
+    there = parsed.select("site_key", "head", "is_index", F.size("locs").alias("n_locs"), F.when(F.col("is_index"), F.col("locs")).alias("more"))
+    state = candidates(sites, robots).select("site_key", "source", "queue", F.array().cast("array<string>").alias("seen"), F.lit(0).alias("n_urls"), F.lit(False).alias("found"))
     for _ in range(config.max_sitemap_files):
-        # heads that were seen before cost nothing: drop them, and repetitions within the queue, before taking one
+        # heads that were seen before cost nothing: they go before one is taken
         state = state.withColumn("queue", F.filter("queue", lambda u: ~F.array_contains(F.col("seen"), u)))
-        live = (F.size("queue") > 0) & (F.size("urls") < config.max_sitemap_urls)
-        state = state.withColumn("head", F.when(live, F.get("queue", F.lit(0)))).join(there, ["site_key", "head"], "left")
-        good = F.coalesce(F.size("locs") > 0, F.lit(False))
+        head = F.when((F.size("queue") > 0) & (F.col("n_urls") < config.max_sitemap_urls), F.get("queue", F.lit(0)))
+        state = state.withColumn("head", head).join(there, ["site_key", "head"], "left")
+        good, stays = F.coalesce(F.col("n_locs") > 0, F.lit(False)), F.col("head").isNull()
         rest = F.slice("queue", F.lit(2), F.greatest(F.size("queue") - 1, F.lit(0)))
-        pages = good & ~F.col("is_index")
         state = state.select(
-            "site_key", "source",
-            F.when(F.col("head").isNull(), F.col("queue")).when(good & F.col("is_index"), F.concat(rest, "locs")).otherwise(rest).alias("queue"),
-            F.when(F.col("head").isNull(), F.col("seen")).otherwise(F.concat("seen", F.array("head"))).alias("seen"),
-            F.when(pages, F.concat("urls", "locs")).otherwise(F.col("urls")).alias("urls"),
-            F.when(pages, F.concat("lastmods", "mods")).otherwise(F.col("lastmods")).alias("lastmods"),
-            (F.col("fetched") + F.col("head").isNotNull().cast("bigint")).alias("fetched"), (F.col("found") | good).alias("found"))
-    many, files = F.size("urls") > config.max_sitemap_urls, (F.size("queue") > 0) & (F.col("fetched") >= config.max_sitemap_files)
-    return state.select(
-        "site_key", F.slice("urls", 1, config.max_sitemap_urls).alias("urls"), "lastmods", F.col("found").alias("sitemap_found"), F.when(F.col("found"), F.col("source")).alias("sitemap_source"),
-        F.col("fetched").alias("sitemap_files_fetched"), (many | files).alias("sitemap_truncated"))
+            "site_key", "source", F.when(stays, F.col("queue")).when(good & F.col("is_index"), F.concat(rest, "more")).otherwise(rest).alias("queue"),
+            F.when(stays, F.col("seen")).otherwise(F.concat("seen", F.array("head"))).alias("seen"),
+            (F.col("n_urls") + F.when(good & ~F.col("is_index"), F.col("n_locs")).otherwise(0)).alias("n_urls"), (F.col("found") | good).alias("found"))
+        state, _ = stage(state, "walk")
+    visited = state.select("site_key", F.posexplode("seen").alias("pos", "head")).join(parsed.where("not is_index"), ["site_key", "head"])
+    lists = visited.groupBy("site_key").agg(F.array_sort(F.collect_list(F.struct("pos", "locs", "lastmods"))).alias("x"))
+    lists = lists.select("site_key", F.flatten(F.transform("x", lambda d: d["locs"])).alias("urls"), F.flatten(F.transform("x", lambda d: d["lastmods"])).alias("lastmods"))
+    none, fetched = F.array().cast("array<string>"), F.size("seen")
+    many, files = F.col("n_urls") > config.max_sitemap_urls, (F.size("queue") > 0) & (fetched >= config.max_sitemap_files)
+    return state.join(lists, "site_key", "left").select(
+        "site_key", F.slice(F.coalesce("urls", none), 1, config.max_sitemap_urls).alias("urls"), F.coalesce("lastmods", none).alias("lastmods"), F.col("found").alias("sitemap_found"),
+        F.when(F.col("found"), F.col("source")).alias("sitemap_source"), fetched.cast("bigint").alias("sitemap_files_fetched"), (many | files).alias("sitemap_truncated"))
 
 
 def lastmod_date(text: Column) -> Column:

@@ -1,13 +1,15 @@
 """Making a session ready: executors get this package, whatever their working folder holds, and Arrow batches a size
-that bounds a Python worker's memory even where texts are long."""
+that bounds a Python worker's memory even where texts are long.  And staged tables: what is read more than once is
+written as Parquet into the folder that all executors share, so a lost executor costs a re-read only."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SENT: set[str] = set()
 #: Rows and bytes that a Python worker gets at a time.
@@ -28,3 +30,23 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(home.parent))
     spark.sparkContext.addPyFile(str(to))
     _SENT.add(app)
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder of the session; a temporary one is set only where the session names none (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    held = spark.sparkContext.getCheckpointDir()
+    if not held:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestead-"))
+        held = spark.sparkContext.getCheckpointDir()
+    return held.rstrip("/")
+
+
+def stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write ``df`` to the shared folder and return (the table read back, its path)."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/lodestead-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
