@@ -6,13 +6,12 @@ folder that all executors share, so a lost executor costs a re-read and never a
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestead.session import ship
+from lodestead.session import scratch_dir, ship, stage
+
+__all__ = ["attach", "broadcast_if_small", "components", "lower_ascii", "read_table", "scratch_dir", "stage", "unstage"]
 
 #: A side is broadcast only if its counted rows times its row width stay below this.
 BROADCAST_BYTES = 16 << 20
@@ -25,26 +24,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one is set only where the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    held = spark.sparkContext.getCheckpointDir()
-    if not held:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestead-"))
-        held = spark.sparkContext.getCheckpointDir()
-    return held.rstrip("/")
-
-
-def stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` to the shared folder and return (the table read back, its path)."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/lodestead-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
 def unstage(spark: SparkSession, path: str) -> None:
     """Delete a staged table that nothing reads any more."""
     jvm = spark.sparkContext._jvm
