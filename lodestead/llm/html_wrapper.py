@@ -21,7 +21,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from collections import OrderedDict
+from collections import Counter, OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,6 +35,8 @@ from lodestead.session import ship
 
 SAMPLES = 8
 PERIOD = 4
+#: Elements nested deeper melt into the element around them; their text stays, unless they are dropped.
+DEPTH = 100
 ROOT = "#page"
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -99,6 +101,7 @@ def parse(html: str) -> Node:
     """The page as a tree of block elements and text; inline markup melts into the text."""
     root = Node(ROOT)
     stack, text, at, end = [root], [], 0, len(html)
+    melted: Counter[str] = Counter()
 
     def flush() -> None:
         if text:
@@ -118,7 +121,10 @@ def parse(html: str) -> Node:
             continue
         name = name.lower()
         if m["close"] or m["close2"]:
-            if any(x.tag == name for x in stack[1:]):
+            if melted[name]:
+                flush()
+                melted[name] -= 1
+            elif any(x.tag == name for x in stack[1:]):
                 flush()
                 while stack.pop().tag != name:
                     pass
@@ -131,14 +137,18 @@ def parse(html: str) -> Node:
                 text.append(" ")
             continue
         flush()
+        node = None
         while len(stack) > 1 and name in ENDS.get(stack[-1].tag, ()):
             stack.pop()
-        node = Node(sig)
-        stack[-1].kids.append(node)
+        if len(stack) > DEPTH + 1 or len(stack) > DEPTH and not dropped(sig, True):
+            melted[name] += name not in VOID and name not in RAW
+        else:
+            node = Node(sig)
+            stack[-1].kids.append(node)
         if name in RAW:
             stop = _RAW_END[name].search(html, at)
             at = stop.end() if stop else end
-        elif name not in VOID:
+        elif name not in VOID and stack[-1].kids and stack[-1].kids[-1] is node:
             stack.append(node)
     flush()
     return root

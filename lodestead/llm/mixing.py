@@ -59,7 +59,7 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_words:
     order = np.argsort(-lengths, kind="stable")
     size, there = lengths[order].astype(np.int64), counts[order].astype(np.int64)
     take, rest = np.zeros_like(there), int(budget)
-    spare = min(rest, dp_words, max(4 * int(size[0]), rest // 10))  # left for the programme, which needs documents to choose from
+    spare = min(rest, dp_words)  # left for the programme, which needs documents to choose from
     whole, cum, spent = int((size * there).sum()), 0, 0
     for i in range(len(size)):  # longest first, the words taken keep step with the words passed
         w, n = int(size[i]), int(there[i])

@@ -206,7 +206,7 @@ class Codec:
         lead = 1 if self.spec.dummy_prefix else 0
         right = self.original.encode([w[lead:].replace(MARK, " ") if w[:1] == MARK else w for w in new], num_threads=1)
         for word, e, ids in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), right):
-            if e.ids != ids and self.plain and word[:1] == MARK:
+            if e.ids != ids and self.plain and word[:1] == MARK and word != MARK:  # nothing is put in front of an empty text
                 self.differ.add(word)
                 self.memo[word] = struct.pack(f"={len(ids)}i", *ids)
             else:

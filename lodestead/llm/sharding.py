@@ -43,7 +43,7 @@ class Permutation:
         self.n, self.seed = n, seed
         self.a = max(1, math.isqrt(max(n - 1, 0)) + 1)
         self.b = max(1, -(-n // self.a))
-        self.steps = 1 + max((self._walk(x) for x in range(n, self.a * self.b)), default=0)
+        self.steps = 1 + max((self._walk(x) for x in range(n, self.a * self.b if n else 0)), default=0)
 
     def _walk(self, x: int) -> int:
         """Steps from a point outside until inside."""
