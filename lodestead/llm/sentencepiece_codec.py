@@ -18,6 +18,7 @@ none; further columns, whatever their names, are ignored.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 import struct
@@ -177,7 +178,7 @@ class Codec:
             self.tokenizer.normalizer = self.tokenizer.pre_tokenizer = None
         self.memo: dict[str, bytes] = {}
         self.differ: set[str] = set()
-        self.said = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " \u2047 ".encode() if kind == UNKNOWN else p.replace(MARK, " ").encode() for p, _, kind in self.spec.pieces]
+        self.said = pa.array([bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " \u2047 ".encode() if kind == UNKNOWN else p.replace(MARK, " ").encode() for p, _, kind in self.spec.pieces], pa.binary())
 
     def normalise(self, text: str) -> str:
         if self.plain:
@@ -186,35 +187,50 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as packed 32-bit integers."""
+        return self.encode_told(texts)[0]
+
+    def encode_told(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
+        """Ids of each text as packed 32-bit integers, and whether the original library's ids are among them."""
         if not self.by_word:
-            return [struct.pack(f"={len(e.ids)}i", *e.ids) for part in batches_of(texts) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-        out = []
+            out = [struct.pack(f"={len(e.ids)}i", *e.ids) for part in batches_of(texts) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            return out, [False] * len(out)
+        out, own = [], []
         for part in batches_of(texts):
             cut = [[_CHUNK.findall(w) for w in windows(self.normalise(t))] for t in part]
-            new = list({c for text in cut for window in text for c in window if c not in self.memo})
+            words = set().union(*(window for text in cut for window in text))
+            new = list(words.difference(self.memo))
             if len(self.memo) + len(new) > MEMO:
                 self.memo.clear()
-                new = list({c for text in cut for window in text for c in window})
+                new = list(words)
             for at in range(0, len(new), WORDS):
                 self._remember(new[at : at + WORDS])
-            out += [b"".join([b"".join([self.memo[c] for c in window]) for window in text]) for text in cut]
-        return out
+            known = self.memo.__getitem__
+            out += [b"".join([b"".join(map(known, window)) for window in text]) for text in cut]
+            own += [not all(map(self.differ.isdisjoint, text)) for text in cut] if self.differ else [False] * len(cut)
+        return out, own
 
     def _remember(self, new: list[str]) -> None:
         """Encode words by both libraries; where they differ the original's ids are kept."""
         # a word's own marker is the space that the original puts in front; without that rule it stands as a space
         lead = 1 if self.spec.dummy_prefix else 0
         right = self.original.encode([w[lead:].replace(MARK, " ") if w[:1] == MARK else w for w in new], num_threads=1)
-        for word, e, ids in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), right):
-            if e.ids != ids and self.plain and word[:1] == MARK and word != MARK:  # nothing is put in front of an empty text
-                self.differ.add(word)
-                self.memo[word] = struct.pack(f"={len(ids)}i", *ids)
-            else:
-                self.memo[word] = struct.pack(f"={len(e.ids)}i", *e.ids)
-
-    def decode(self, ids: list[int]) -> str:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        if found != right:
+            for i, word in enumerate(new):
+                if found[i] != right[i] and self.plain and word[:1] == MARK and word != MARK:  # nothing is put in front of an empty text
+                    self.differ.add(word)
+                    found[i] = right[i]
+        flat, at = np.fromiter(itertools.chain.from_iterable(found), np.int32).tobytes(), 0
+        for word, ids in zip(new, found):
+            end = at + 4 * len(ids)
+            self.memo[word] = flat[at:end]
+            at = end
+
+    def decode(self, ids: np.ndarray | list[int]) -> str:
         """The text of ids: pieces with markers as spaces, bytes as they are, without the space put in front."""
-        text = b"".join([self.said[i] for i in ids]).decode("utf-8", "replace")
+        # the pieces that are taken lie one after the other in the result's data
+        said = self.said.take(pa.array(ids, pa.int32())).buffers()[2]
+        text = said.to_pybytes().decode("utf-8", "replace") if said else ""
         return text[1:] if self.spec.dummy_prefix and text.startswith(" ") else text
 
 
@@ -270,13 +286,11 @@ def encode_documents(docs: DataFrame, model: str = MODEL, threads: int = 2, pari
                 batch = whole.slice(at, 256)
                 texts = [t.as_py() or "" for t in batch.column(1)]
                 check = [bool(x.as_py()) for x in batch.column(2)]
-                packed, own, same = codec.encode(texts), [False] * len(texts), []
+                (packed, own), same = codec.encode_told(texts), []
                 for i, text in enumerate(texts):
-                    ids = np.frombuffer(packed[i], np.int32).tolist()
-                    own[i] = bool(codec.differ) and any(c in codec.differ for c in _CHUNK.findall(codec.normalise(text)))
-                    if check[i] and (right := codec.original.encode(text)) != ids:
-                        ids, own[i], packed[i] = right, True, np.array(right, np.int32).tobytes()
-                    same.append(codec.decode(ids) == text)
+                    if check[i] and (right := np.array(codec.original.encode(text), np.int32).tobytes()) != packed[i]:
+                        packed[i], own[i] = right, True
+                    same.append(codec.decode(np.frombuffer(packed[i], np.int32)) == text)
                 ends = np.cumsum([0] + [len(p) // 4 for p in packed])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
                 yield pa.RecordBatch.from_arrays(
