@@ -79,12 +79,12 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "mark")
 
 
-def drop_near_copies(docs: DataFrame, width: int = 3) -> DataFrame:
+def drop_near_copies(docs: DataFrame, width: int = 3, found: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs``, all columns kept, less all but one document of each component: the one with the smallest doc_id.
 
-    What is dropped is a narrow list (doc_id, mark); texts move only if it is too long to broadcast.
+    ``found`` (doc_id, mark, component_id) may come from another method.  What is dropped is a narrow list (doc_id, mark); texts move only if it is too long to broadcast.
     """
-    judged, _ = stage(near_duplicates(docs, width).groupBy("doc_id", "mark").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")), "judged")
+    judged, _ = stage((near_duplicates(docs, width) if found is None else found).groupBy("doc_id", "mark").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")), "judged")
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     lost, again = judged.agg(F.count_if(~stays), F.count_if(stays & (F.col("n") > 1))).first()
     if not lost and not again:
