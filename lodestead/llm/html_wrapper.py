@@ -4,10 +4,11 @@ A wrapper is a union-free regular expression over a page's tokens, written as a
 items, each once, optional (?), or repeated (+), each an element, a repeated group of items, or a text slot.  It is
 inferred from a bounded sample of a host's pages (``SAMPLES``, drawn by hash): a page's own repetitions are folded
 first, then the wrapper is aligned with one page after the other; a mismatch becomes a repetition where it repeats its
-neighbour and an optional group otherwise; text always becomes a slot.  The wrapper decides where the host's main text
+neighbour and an optional group otherwise; text becomes a slot, and strings that stand in a slot on every sampled page (of
+two or more) are template there.  The wrapper decides where the host's main text
 lies: its article or main element, else the element that holds most of the sampled text.
 
-Every page is then aligned with its host's wrapper and gives the slots of the main region.  What a page has and the
+Every page is then aligned with its host's wrapper and gives the slots of the main region, without the template.  What a page has and the
 wrapper lacks is resolved on the spot as an optional group of the region around it, so no page is left out.
 
 Defined results: null or empty html gives an empty text; a null or malformed url belongs to the host ''; unclosed and
@@ -154,13 +155,18 @@ def parse(html: str) -> Node:
     return root
 
 
-# A wrapper's item: [quantifier, what]; quantifier "", "?", "+" or "*"; what: "#" (a text slot), ["e", sig, items] or
-# ["g", items] (a repeated group).
+# A wrapper's item: [quantifier, what]; quantifier "", "?", "+" or "*"; what: "#" (a text slot), ["t", strings] (a text slot
+# in which these strings are template), ["e", sig, items] or ["g", items] (a repeated group).  While a wrapper is inferred,
+# strings is a dict from each text met there to the set of pages, as bits, that have it.
 
 
 def _name(item: list):
     what = item[1]
-    return "#" if what == "#" else what[1] if what[0] == "e" else tuple(_name(x) for x in what[1])
+    return "#" if _text(what) else what[1] if what[0] == "e" else tuple(_name(x) for x in what[1])
+
+
+def _text(what) -> bool:
+    return what == "#" or what[0] == "t"
 
 
 def _joined(a: str, b: str, again: bool = False) -> str:
@@ -172,6 +178,11 @@ def _joined(a: str, b: str, again: bool = False) -> str:
 def _merge(a, b):
     if a == "#" or b == "#":
         return "#"
+    if a[0] == "t":
+        a, b = (b, a) if len(a[1]) < len(b[1]) else (a, b)
+        for said, pages in b[1].items():
+            a[1][said] = a[1].get(said, 0) | pages
+        return a
     return ["e", a[1], align(a[2], b[2])] if a[0] == "e" else ["g", align(a[1], b[1])]
 
 
@@ -198,9 +209,9 @@ def fold(items: list) -> list:
     return items
 
 
-def generalise(node: Node) -> list:
-    """A page's own expression."""
-    items = [["", "#"] if isinstance(k, str) else ["", ["e", k.sig, generalise(k)]] for k in node.kids]
+def generalise(node: Node, page: int = 0) -> list:
+    """A page's own expression; ``page`` is its bit."""
+    items = [["", ["t", {k: page}] if page else "#"] if isinstance(k, str) else ["", ["e", k.sig, generalise(k, page)]] for k in node.kids]
     return fold(items)
 
 
@@ -231,7 +242,7 @@ def expression(items: list) -> str:
     """The wrapper as readable text."""
     out = []
     for quantifier, what in items:
-        if what == "#":
+        if _text(what):
             out.append("#TEXT" + quantifier)
         elif what[0] == "g":
             out.append(f"({expression(what[1])}){quantifier}")
@@ -271,24 +282,37 @@ def main_path(pages: list[Node]) -> tuple[str, ...]:
         at = heavy
 
 
+def _settled(items: list, every: int) -> list:
+    """The wrapper with only those strings as template that stand in their slot on all pages, if there are two at least."""
+    out = []
+    for quantifier, what in items:
+        if _text(what):
+            fixed = [said for said, pages in what[1].items() if pages == every] if what != "#" and every > 1 else []
+            out.append([quantifier, ["t", sorted(fixed)] if fixed else "#"])
+        else:
+            out.append([quantifier, [*what[:-1], _settled(what[-1], every)]])
+    return out
+
+
 def infer(pages: list[str]) -> dict:
     """The wrapper of pages of one host: {"items", "main"}."""
     trees = [parse(p) for p in pages if p]
     items: list | None = None
     for _ in range(2):  # a second pass settles what early pages could not know
-        for tree in trees:
-            own = generalise(tree)
+        for at, tree in enumerate(trees):
+            own = generalise(tree, 1 << at)
             items = own if items is None else align(items, own)
-    return {"items": items or [], "main": list(main_path(trees))}
+    return {"items": _settled(items or [], (1 << len(trees)) - 1), "main": list(main_path(trees))}
 
 
 def _match(items: list, name, at: int) -> tuple[int, list | None]:
-    """The next item of that name at or after ``at``, else before it (a repetition of a group), with its inner items."""
+    """The next item of that name at or after ``at``, else before it (a repetition of a group), with its inner items or,
+    for a text, its template strings."""
     for i in [*range(at, len(items)), *range(min(at, len(items)))]:
         what = items[i][1]
-        if what == "#":
+        if _text(what):
             if name == "#":
-                return i, []
+                return i, [] if what == "#" else what[1]
         elif what[0] == "g":
             inner = _match(what[1], name, 0)[1]
             if inner is not None:
@@ -325,7 +349,8 @@ def extract(html: str | None, wrapper: dict) -> tuple[str, int]:
             else:
                 at = found
             if isinstance(kid, str):
-                kids.append((kid, [], path, inside, False))
+                if not inner or kid not in inner:
+                    kids.append((kid, [], path, inside, False))
             elif not dropped(kid.sig, inside or article and kid.tag in ("article", "main")):
                 below = (*path, kid.sig) if not inside else path
                 kids.append((kid, inner or [], below, inside or below == main, lost or inner is None))
