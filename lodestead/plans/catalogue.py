@@ -262,6 +262,25 @@ def shared_tracker_union(spark, sf_dir):
     return cross_site.sharing_sites(per, "site", "tokens", "sharing")
 
 
+@query("""WITH t AS (SELECT DISTINCT l_suppkey AS site, l_partkey AS t FROM lineitem)
+SELECT s_suppkey AS site, coalesce(k, 0)::BIGINT AS sharing FROM supplier LEFT JOIN (SELECT a.site, count(DISTINCT b.site) AS k FROM t a JOIN t b ON a.t = b.t AND a.site <> b.site GROUP BY a.site) x ON x.site = s_suppkey""")
+def shared_token_count_all(spark, sf_dir):
+    """As shared_token_count, over every row: common tokens too."""
+    sold = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.collect_set(F.col("l_partkey").cast("string")).alias("tokens"))
+    all_ = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("site")).join(sold, F.col("site") == F.col("l_suppkey"), "left")
+    return cross_site.sharing_sites(all_.select("site", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens")), "site", "tokens", "sharing")
+
+
+@query("""WITH t AS (SELECT DISTINCT user_id AS site, event_type || ':' || floor(value)::BIGINT AS t FROM events UNION SELECT DISTINCT user_id, 'v' || floor(value * 10)::BIGINT FROM events)
+SELECT u.site, coalesce(k, 0)::BIGINT AS sharing FROM (SELECT DISTINCT user_id AS site FROM events) u LEFT JOIN (SELECT a.site, count(DISTINCT b.site) AS k FROM t a JOIN t b ON a.t = b.t AND a.site <> b.site GROUP BY a.site) x USING (site)""")
+def shared_tracker_union_all(spark, sf_dir):
+    """As shared_tracker_union, with both kinds from every row."""
+    v = F.col("value")
+    kinds = table(spark, sf_dir, "events").select("user_id", F.concat("event_type", F.lit(":"), F.floor(v).cast("string")).alias("a"), F.concat(F.lit("v"), F.floor(v * 10).cast("string")).alias("b"))
+    per = kinds.groupBy(F.col("user_id").alias("site")).agg(F.array_union(F.collect_set("a"), F.collect_set("b")).alias("tokens"))
+    return cross_site.sharing_sites(per, "site", "tokens", "sharing")
+
+
 @query(f"""WITH b AS (SELECT DISTINCT unnest(list_transform(range(1, len(w) - 3), lambda i: substr(md5(array_to_string(w[i:i+4], ' ')), 1, 12))) AS x FROM (SELECT {WORDS} AS w FROM benchmark)),
 d AS (SELECT doc_id, unnest(s) AS x FROM {SHINGLES}) SELECT doc_id, count(*) AS common FROM d JOIN b USING (x) GROUP BY doc_id""")
 def benchmark_shingle_overlap(spark, sf_dir):
@@ -348,6 +367,13 @@ def per_page_rates(spark, sf_dir):
     return out.select("input_url", F.round("internal_links_per_page", 6).alias("internal_per_page"), F.round("external_link_share", 6).alias("external_share"), F.round("crawl_coverage_ratio", 6).alias("coverage"))
 
 
+@query(f"SELECT input_url, round(total_internal_links / nullif(pages_crawled, 0)::DOUBLE, 6) AS internal_per_page, round(total_external_links / nullif(total_external_links + total_internal_links, 0)::DOUBLE, 6) AS external_share, CASE WHEN total_external_links > 0 THEN round(least(1.0, pages_crawled / total_external_links::DOUBLE), 6) END AS coverage FROM (SELECT input_url, pages_crawled::DOUBLE AS pages_crawled, total_internal_links::DOUBLE AS total_internal_links, total_external_links::DOUBLE AS total_external_links FROM {HOSTS})")
+def per_page_rates_all(spark, sf_dir):
+    """As per_page_rates, with the hosts whose denominators are null or zero."""
+    out = matrix.features(hosts(spark, sf_dir).withColumn("sitemap_url_count", F.col("total_external_links")), None, 2024)
+    return out.select("input_url", F.round("internal_links_per_page", 6).alias("internal_per_page"), F.round("external_link_share", 6).alias("external_share"), F.round("crawl_coverage_ratio", 6).alias("coverage"))
+
+
 @query("SELECT o_custkey, round(ln(1 + sum(o_totalprice)), 6) AS log_total, round(ln(1 + count(*)), 6) AS log_n FROM orders GROUP BY o_custkey")
 def log1p_volumes(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.round(F.log1p(F.sum("o_totalprice")), 6).alias("log_total"), F.round(F.log1p(F.count("*")), 6).alias("log_n"))

@@ -206,3 +206,21 @@ def test_stream(spark, tmp_path):
     for _ in range(2):  # a second run finds nothing new
         stream_pages(stream, str(tmp_path / "pages"), str(tmp_path / "at")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "pages")).count() == 1
+
+
+def test_sharing_over_all_rows_and_common_tokens(spark):
+    rng = random.Random(5)
+    sites = {i: {"common"} | {f"t{rng.randrange(40)}" for _ in range(rng.randrange(4))} if i % 5 else set() for i in range(80)}
+    df = spark.createDataFrame([(i, sorted(t)) for i, t in sites.items()], "site bigint, tokens array<string>")
+    got = {r.site: r.sharing for r in cross_site.sharing_sites(df, "site", "tokens", "sharing").collect()}
+    assert got == {i: sum(1 for j in sites if j != i and sites[i] & sites[j]) for i in sites}
+
+
+def test_whole_tables_are_registered(spark, sf):
+    from lodestead.plans import catalogue
+
+    assert {"shared_token_count_all", "shared_tracker_union_all", "per_page_rates_all"} <= set(catalogue.QUERIES)
+    few, every = (catalogue.QUERIES[n](spark, sf).agg({"sharing": "sum"}).first()[0] for n in ("shared_token_count", "shared_token_count_all"))
+    assert every > few
+    hosts = catalogue.hosts(spark, sf)
+    assert catalogue.QUERIES["per_page_rates_all"](spark, sf).count() == hosts.count()
