@@ -6,6 +6,7 @@ breadth-first search in rounds of left anti joins; page and frontier caps are pe
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from urllib.robotparser import RobotFileParser
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lodestead.config import FeatureConfig
 from lodestead.functions import urls as U
-from lodestead.session import ship
+from lodestead.session import ship, stage
 
 
 def allowed(urls: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
@@ -53,21 +54,25 @@ def page_cap(pages: DataFrame, config: FeatureConfig = FeatureConfig(), order: s
     return pages.withColumn("_place", place).where(F.col("_place") <= config.max_pages_per_site).withColumn(order, F.col("_place") - 1).drop("_place")
 
 
-def crawl_order(starts: DataFrame, links: DataFrame, config: FeatureConfig = FeatureConfig(), rounds: int = 8) -> DataFrame:
+def crawl_order(starts: DataFrame, links: DataFrame, config: FeatureConfig = FeatureConfig()) -> DataFrame:
     """starts(site_key, url), links(site_key, url, pos, target) -> site_key, canon, depth, seq: breadth first, each page
-    once, at most the frontier cap of a site."""
+    once, at most the frontier cap of a site.  Ends with the first empty layer; each layer but the last adds a page under the
+    cap, so there are never more layers than the cap."""
     cap = config.max_pages_per_site * 8
     canon = links.select("site_key", U.canonical_url(F.col("url")).alias("canon"), "pos", U.canonical_url(F.col("target")).alias("target"))
     seen = starts.select("site_key", U.canonical_url(F.col("url")).alias("canon"), F.lit(0).alias("depth"), F.lit(1).cast("bigint").alias("seq"))
-    layer = seen
-    for depth in range(1, rounds + 1):
+    canon, _ = stage(canon, "links")
+    spark, schema = seen.sparkSession, seen.schema
+    layer, path = stage(seen, "layer")
+    paths = [path]
+    for depth in itertools.count(1):
+        seen = spark.read.schema(schema).parquet(*paths)
         new = layer.join(canon, ["site_key", "canon"]).groupBy("site_key", F.col("target").alias("next")).agg(F.min(F.struct("seq", "pos")).alias("at"))
         new = new.join(seen.select("site_key", F.col("canon").alias("next")), ["site_key", "next"], "left_anti")
         base = seen.groupBy("site_key").agg(F.max("seq").alias("base"))
         rank = F.row_number().over(Window.partitionBy("site_key").orderBy("at", "next"))
         layer = new.join(base, "site_key").select("site_key", F.col("next").alias("canon"), F.lit(depth).alias("depth"), (F.col("base") + rank).alias("seq")).where(F.col("seq") <= cap)
-        layer = layer.checkpoint() if layer.sparkSession.sparkContext.getCheckpointDir() else layer
+        layer, path = stage(layer, "layer")
         if layer.isEmpty():
-            break
-        seen = seen.unionByName(layer)
-    return seen
+            return seen
+        paths.append(path)

@@ -224,3 +224,10 @@ def test_whole_tables_are_registered(spark, sf):
     assert every > few
     hosts = catalogue.hosts(spark, sf)
     assert catalogue.QUERIES["per_page_rates_all"](spark, sf).count() == hosts.count()
+
+
+def test_crawl_order_follows_a_chain_to_the_cap(spark):
+    links = spark.createDataFrame([(s, f"u{k}", 0, f"u{k + 1}") for s, n in (("a", 12), ("b", 30)) for k in range(n)], "site_key string, url string, pos int, target string")
+    starts = spark.createDataFrame([("a", "u0"), ("b", "u0")], "site_key string, url string")
+    got = sorted((r.site_key, r.depth, r.seq) for r in crawl.crawl_order(starts, links, FeatureConfig(max_pages_per_site=2)).collect())
+    assert got == [("a", k, k + 1) for k in range(13)] + [("b", k, k + 1) for k in range(16)]
