@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestead.session import scratch_dir, ship, stage
+from lodestead.session import scratch_dir, ship, stage, unstage
 
-__all__ = ["attach", "broadcast_if_small", "components", "lower_ascii", "read_table", "scratch_dir", "stage", "unstage"]
+__all__ = ["attach", "broadcast_if_small", "components", "free_names", "lower_ascii", "one_of_each", "read_table", "scratch_dir", "stage", "unstage"]
 
 #: A side is broadcast only if its counted rows times its row width stay below this.
 BROADCAST_BYTES = 16 << 20
@@ -24,11 +24,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def unstage(spark: SparkSession, path: str) -> None:
-    """Delete a staged table that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores put behind it as make it differ from all columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def one_of_each(df: DataFrame, keys: list, columns: list[str]) -> DataFrame:
+    """One row of ``columns`` for each value of ``keys``: the one first in the order of a hash of the whole row, so that
+    reruns agree.  Groups are reduced where they lie, whatever their size."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in columns])
+    first = df.groupBy(*keys).agg(F.min_by(whole, F.struct(F.xxhash64(F.to_json(whole)), F.to_json(whole))).alias("row"))
+    return first.select("row.*")
 
 
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
@@ -41,7 +53,7 @@ def attach(rows: DataFrame, keyed: DataFrame, key: str, weight: str, total: int)
 
     Keys holding at least 1/HOT_SHARE of all rows are at most HOT_SHARE many: they are broadcast, so their rows are
     joined where they lie.  The rest is a plain shuffle join in which no key is large.  Both inputs should be staged,
-    as both are read twice.
+    as both are read twice.  ``rows`` without the key (null) are left out.
     """
     heavy = F.col(weight) >= max(2, total // HOT_SHARE)
     hot, rest = keyed.where(heavy), keyed.where(~heavy)
@@ -53,8 +65,8 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """Connected components of ``edges(a, b)`` (longs) by alternating large-star and small-star steps.
 
     Returns (node, root), one row per node that has an edge to another; root is the smallest node reachable.  Every
-    round is two aggregations and two joins over the edges, staged in the shared folder; only a row count and a
-    checksum reach the driver.
+    round is two aggregations and two joins over the edges, staged in the shared folder; hubs are joined where their
+    edges lie (``attach``); only a row count and a checksum reach the driver.
     """
     spark = edges.sparkSession
     now, path = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
@@ -63,13 +75,14 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         if not seal[0]:
             break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        then, then_path = stage(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        least, least_path = stage(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("held")).select("a", F.least("a", "m").alias("m"), "held"), "least")
+        large, large_path = stage(attach(both, least, "a", "held", 2 * seal[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        low, low_path = stage(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("held")), "least")
+        small = attach(large, low, "a", "held", seal[0]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        then, then_path = stage(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
         was, seal = seal, _seal(then)
-        unstage(spark, path)
+        for done in (path, least_path, large_path, low_path):
+            unstage(spark, done)
         now, path = then, then_path
         if was == seal:
             break

@@ -28,7 +28,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(read_table(spark, sf_dir, "documents")).drop("mark")
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents")).drop("mark", "kept")
 
 
 def op6_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

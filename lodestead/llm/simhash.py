@@ -1,10 +1,15 @@
 """SimHash near-duplicates by multi-index hashing (operator 5).
 
-Fingerprints are split into two 32-bit segments.  Within 2 differing bits there is always a fingerprint-sized key that
-both sides reach by changing at most one bit in one segment: each side enumerates the Hamming ball of radius one inside
-either segment (the other segment exact) and looks the 65 keys up in one table.  A key is reached by at most 65 distinct
-fingerprints, so no bucket grows with a group of copies, and everything met there lies within 2 bits; the complete
-distance is verified all the same.  Equal fingerprints are collapsed before, so copies cost one row.
+A fingerprint of 64 bits is cut into segments, each with a table of its own from segment value to fingerprints.  Of two
+fingerprints within ``radius`` bits some segment differs in few: with r = m * a + rest bits over m segments either one of
+the first rest + 1 segments differs in at most a bits or one of the others in at most a - 1.  So every fingerprint
+enumerates the Hamming balls of these radii around its segments' values, fetches what the tables hold there, and the
+complete distance is verified.  For 2 bits and two segments these are 33 + 1 look-ups.
+
+A segment value that many fingerprints share would make a bucket whose pairs grow with its square.  Fingerprints that
+reside in such a bucket or look into it are looked up by the ball around the whole fingerprint instead (half the radius
+on either side), in which no key can hold more of them than the ball has points: every link is found there as well, in
+rows proportional to the fingerprints.  Equal fingerprints are collapsed before, so copies cost one row.
 
 Defined results: null, empty and blank texts have fingerprint zero and link like any other; fewer words than a shingle
 make one shingle of the whole sequence; repeated rows get equal rows; an empty table gives none; component_id is the
@@ -13,6 +18,7 @@ smallest non-null doc_id of the component; further columns, whatever their names
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestead.llm.common import attach, broadcast_if_small, components, stage
+from lodestead.llm.common import attach, broadcast_if_small, components, free_names, one_of_each, stage
 from lodestead.session import ship
 
 CHUNK = 1 << 15
+BITS = 64
+#: Fingerprints that share a segment's value and are still compared one by one.
+BUCKET = 64
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -57,42 +66,111 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("mark")).mapInArrow(run, "doc_id bigint, mark bigint, fp bigint")
 
 
-def ball_links(fps: DataFrame) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints within 2 bits that connect all such pairs; at most 65 per row."""
-    keys = fps.select("fp", F.explode(F.expr("concat(array(0L), transform(sequence(0, 63), i -> shiftleft(1L, i)))")).alias("flip"))
-    keys = keys.select(F.col("fp").bitwiseXOR(F.col("flip")).alias("key"), "fp")
-    before = F.expr("lag(fp) over (partition by key order by fp)")
-    met = keys.withColumn("other", before).where("other is not null").select(F.col("fp").alias("a"), F.col("other").alias("b")).distinct()
-    return met.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)
+def ball(width: int, radius: int) -> list[int]:
+    """All numbers of ``width`` bits with at most ``radius`` bits set, as signed longs."""
+    sums = (sum(1 << i for i in some) for n in range(radius + 1) for some in itertools.combinations(range(width), n))
+    return [x - (1 << BITS) if x >> (BITS - 1) else x for x in sums]
+
+
+def cuts(segments: int, radius: int) -> list[tuple[int, int, int]]:
+    """(first bit, width, look-up radius) of each segment that must be looked into, so that no pair is missed."""
+    at = [BITS * i // segments for i in range(segments + 1)]
+    deep, rest = divmod(radius, segments)
+    found = [(a, b - a, deep if i <= rest else deep - 1) for i, (a, b) in enumerate(zip(at, at[1:]))]
+    return [x for x in found if x[2] >= 0]
+
+
+def segment_rows(fps: DataFrame, segments: int, radius: int, around: bool) -> DataFrame:
+    """(segment, value, fp): the tables' rows, or with ``around`` all look-ups."""
+    each = []
+    for i, (first, width, deep) in enumerate(cuts(segments, radius)):
+        value = f"shiftrightunsigned(fp, {first}) & {(1 << width) - 1 if width < BITS else -1}L"
+        points = ", ".join(f"{x}L" for x in ball(width, deep if around else 0))
+        each.append(f"transform(array({points}), x -> named_struct('segment', {i}, 'value', ({value}) ^ x))")
+    return fps.select("fp", F.expr(f"explode(concat({', '.join(each)}))").alias("at")).select("at.segment", "at.value", "fp")
+
+
+def whole_ball_links(fps: DataFrame, radius: int) -> DataFrame:
+    """Edges (a, b) within ``radius`` bits that connect all such pairs, by balls of half the radius around whole
+    fingerprints.  A key is in the balls of as many fingerprints at most as a ball has points."""
+    half, distance = radius // 2, F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+
+    def keys(deep: int) -> DataFrame:
+        flips = F.array(*[F.lit(x).cast("bigint") for x in ball(BITS, deep)])
+        return fps.select("fp", F.explode(flips).alias("flip")).select(F.col("fp").bitwiseXOR(F.col("flip")).alias("key"), "fp")
+
+    if radius % 2:
+        met = keys(half + 1).withColumnRenamed("fp", "a").join(keys(half).withColumnRenamed("fp", "b"), "key").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    else:  # all that meet under a key are within the radius of each other, so neighbours connect them
+        before = F.expr("lag(fp) over (partition by key order by fp)")
+        met = keys(half).withColumn("other", before).where("other is not null").select(F.col("fp").alias("a"), F.col("other").alias("b"))
+    return met.where(distance <= radius).distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id, mark."""
+def ball_links(fps: DataFrame, radius: int = 2, segments: int = 2, bucket: int = BUCKET) -> DataFrame:
+    """Edges (a, b), a > b, between distinct fingerprints within ``radius`` bits that connect all such pairs."""
+    table, looks = segment_rows(fps, segments, radius, False), segment_rows(fps, segments, radius, True)
+    hot, _ = stage(table.groupBy("segment", "value").agg(F.count("*").alias("n")).where(F.col("n") > bucket).drop("n"), "hot")
+    n = hot.count()
+    distance = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+    crowded = None
+    if n:
+        few = broadcast_if_small(hot, n, 32)
+        crowded = table.join(few, ["segment", "value"], "left_semi").select("fp").unionByName(looks.join(few, ["segment", "value"], "left_semi").select("fp")).distinct()
+        table, looks = (x.join(few, ["segment", "value"], "left_anti") for x in (table, looks))
+    met = looks.withColumnRenamed("fp", "a").join(table.withColumnRenamed("fp", "b"), ["segment", "value"]).where("a > b").select("a", "b")
+    met = met.where(distance <= radius).distinct()
+    return met if crowded is None else met.unionByName(whole_ball_links(crowded, radius)).distinct()
+
+
+def first_row() -> F.Column:
+    """The row that stands for its group: smallest doc_id, null last, then the smallest mark."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", "mark"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, segments: int = 2) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id, mark, kept (the row stands for its component)."""
     rows, _ = stage(fingerprints(docs, width), "fingerprints")
-    total = rows.count()
-    groups, _ = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("held")), "groups")
-    roots, _ = stage(components(ball_links(groups.select("fp"))), "roots")
-    linked = groups.join(roots, groups.fp == roots.node, "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
-    named = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    table, _ = stage(linked.join(named, "root").select("fp", "component_id", "held"), "named")
-    return attach(rows, table, "fp", "held", total).select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "mark")
+    groups, _ = stage(rows.groupBy("fp").agg(first_row().alias("first"), F.count("*").alias("held")), "groups")
+    links, _ = stage(ball_links(groups.select("fp"), radius, segments), "links")
+    table = with_components(groups.withColumnRenamed("fp", "key"), components(links)).withColumnRenamed("key", "fp")
+    return judged(attach(rows, table, "fp", "held", rows.count()), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"))
+
+
+def with_components(groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """groups(key, first, held) with ``first`` of the whole component, staged; roots(node, root) lacks lone keys."""
+    roots, _ = stage(roots, "roots")
+    linked = groups.join(roots, groups.key == roots.node, "left").withColumn("root", F.coalesce("root", "key")).drop("node")
+    linked, _ = stage(linked, "linked")
+    named, _ = stage(linked.groupBy("root").agg(F.min("first").alias("first"), F.count("*").alias("keys")), "named")
+    table, _ = stage(attach(linked.drop("first"), named, "root", "keys", linked.count()).select("key", "first", "held"), "table")
+    return table
+
+
+def judged(rows: DataFrame, *more: F.Column) -> DataFrame:
+    """doc_id, further columns, component_id, mark, kept."""
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))
+    return rows.select("doc_id", *more, F.col("first.doc_id").alias("component_id"), "mark", kept.alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, width: int = 3, found: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs``, all columns kept, less all but one document of each component: the one with the smallest doc_id.
 
-    ``found`` (doc_id, mark, component_id) may come from another method.  What is dropped is a narrow list (doc_id, mark); texts move only if it is too long to broadcast.
+    ``found`` (doc_id, mark, kept) may come from another method.  What is dropped is a narrow list (doc_id, mark); texts
+    move only if it is too long to broadcast.  Null doc_ids come last, then the smallest hash of the text; of rows that
+    repeat doc_id and text the first by a hash of the whole row stays; an empty table stays empty; columns of any name
+    pass through, as added names give way to them.
     """
-    judged, _ = stage((near_duplicates(docs, width) if found is None else found).groupBy("doc_id", "mark").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")), "judged")
-    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    lost, again = judged.agg(F.count_if(~stays), F.count_if(stays & (F.col("n") > 1))).first()
+    found = near_duplicates(docs, width) if found is None else found
+    rows, _ = stage(found.groupBy("doc_id", "mark").agg(F.max("kept").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1"), "judged")
+    lost, again = rows.agg(F.count_if(~F.col("stays")), F.count_if("stays")).first()
     if not lost and not again:
         return docs
-    ids = judged.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_of"), stays.alias("_stays"), (stays & (F.col("n") > 1)).alias("_again"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_of"))
-    left = docs.join(broadcast_if_small(ids.where("not _stays"), lost, 24), same, "left_anti")
+    gone_id, of, stays = free_names(docs, "id_of_gone", "mark_of_gone", "gone_stays")
+    gone = rows.select(F.col("doc_id").alias(gone_id), F.col("mark").alias(of), F.col("stays").alias(stays))
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(gone_id)) & (F.xxhash64("text") == F.col(of))
+    left = docs.join(broadcast_if_small(gone, lost + again, 24), same, "left_anti")
     if not again:
         return left
-    twice = broadcast_if_small(ids.where("_again"), again, 24)
-    return left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    twice = docs.join(broadcast_if_small(gone.where(stays), again, 24), same, "left_semi")
+    return left.unionByName(one_of_each(twice, ["doc_id", "text"], docs.columns))

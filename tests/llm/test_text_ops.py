@@ -1,5 +1,6 @@
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -95,6 +96,21 @@ def test_mix_hot_length(make_docs):
     assert mixing.mix(docs.where("false")).count() == 0
 
 
+def test_mixed_documents_keep_to_their_sources(make_docs):
+    """Equal ids and texts in two sources, rows alike that differ in another column: totals do not depend on the order."""
+    rows = [(7, "one two three", None, "x")] * 3 + [(7, "one two three", None, "y")] * 5 + [(8, "a b", "en", "x"), (8, "a b", "fr", "x"), (8, "a b", None, "x"), (9, "c", None, "y")]
+    results = []
+    for order in (rows, rows[::-1], rows[5:] + rows[:5]):
+        docs = make_docs(*order).repartition(4)
+        plan = defaultdict(int)
+        for r in mixing.mix(docs).join(docs.select("doc_id", "source").distinct().where("doc_id <> 7"), "doc_id", "left").collect():
+            plan[r.doc_id] += r.copies
+        got = Counter((r.doc_id, r.source, r.lang) for r in mixing.mixed_documents(docs).collect())
+        assert all(sum(n for k, n in got.items() if k[0] == i) == plan[i] for i in plan)
+        results.append(got)
+    assert results[0] == results[1] == results[2]
+
+
 def test_mix_odd(make_docs, odd_docs):
     assert mixing.mix(make_docs(*odd_docs)).count() == len(odd_docs)
 
@@ -247,3 +263,82 @@ def test_main_text(spark):
 def test_long_page_is_linear():
     page = page_of("<article>" + "<div>" * 3000 + "x" + "<p>y" * 20_000 + "</article>")
     assert H.extract(page, H.infer([page]))[0].startswith("x y y")
+
+
+# cases of the operators above
+
+
+def brute_predict(counts, text):
+    """Language by the definition, from counts(lang -> name -> n) of words and of n-grams by length."""
+    words = Counter(w for w in re.findall(r"[^\W\d_]+", (text or "").lower()))
+    langs = sorted(counts)
+    if not langs or not any(c.isalpha() for w in words for c in w):
+        return "und"
+
+    def logs(kind, name, lang):
+        names = {x for k in langs for x in counts[k][kind]}
+        return math.log(counts[lang][kind].get(name, 0) + 0.5) - math.log(sum(counts[lang][kind].values()) + 0.5 * len(names) + 1)
+
+    score = dict.fromkeys(langs, 0.0)
+    for w, n in words.items():
+        if any(w in counts[k][0] for k in langs):
+            for k in langs:
+                score[k] += n * logs(0, w, k)
+            continue
+        marked = f"\x02{w}\x03"
+        for size in L.GRAMS:
+            hits = [g for g in (marked[i : i + size] for i in range(len(marked) - size + 1)) if any(g in counts[k][size] for k in langs)]
+            if hits:
+                for k in langs:
+                    score[k] += n * sum(logs(size, g, k) for g in hits) / len(hits)
+                break
+    return max(langs, key=lambda k: (score[k], [-ord(c) for c in k]))
+
+
+def test_prediction_against_brute_force(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()
+    docs = spark.createDataFrame(rows)
+    counts = {}
+    for r in rows:
+        if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            mine = counts.setdefault(r.lang, {k: Counter() for k in (0, *L.GRAMS)})
+            mine[0].update(re.findall(r"[^\W\d_]+", (r.text or "").lower()))
+    for mine in counts.values():
+        for w, n in mine[0].items():
+            m = f"\x02{w}\x03"
+            for size in L.GRAMS:
+                for i in range(len(m) - size + 1):
+                    mine[size][m[i : i + size]] += n
+    got = {r.doc_id: r.lang_pred for r in L.identify_languages(docs).collect()}
+    assert got == {r.doc_id: brute_predict(counts, r.text) for r in rows}
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = L.identify_languages(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'").collect()
+    assert sum(r.lang == r.lang_pred for r in out) >= 0.97 * len(out) and len(out) > 100
+
+
+def test_text_without_spaces(make_docs):
+    """A long run counts with all its letters; training takes it whole, too."""
+    rng = np.random.default_rng(3)
+    said = ["".join(rng.choice(list(letters), 40_000)) for letters in ("abcdefg", "mnopqrs")]
+    rows = [(i, said[i % 2], "xy"[i % 2], None) for i in range(12)]
+    model = L.train(make_docs(*rows))
+    assert model.grams.keys() >= {said[0][30_000:30_004], said[1][-4:], said[0][-3:] + "\x03", "\x02" + said[1][:3]}
+    assert L.Scorer(model).predict("m" * 70 + said[0][100:5000])[0] == "x"
+    assert sum(len(p) for p in L.pieces("a" * 3_000_000)) == 3_000_000 and len(list(L.pieces("a" * 3_000_000))) == 1
+
+
+def test_many_languages_keep_the_model_small():
+    name = lambda k, i: chr(0x4E00 + k) + chr(0x5E00 + i)
+    words = L.pd.DataFrame([(f"l{k}", name(k, i), 3) for k in range(200) for i in range(100)], columns=["lang", "name", "n"])
+    model = L.build(words, words.iloc[:0])
+    assert len(model.above) == 20_000 and L.Scorer(model).predict(f"{name(7, 1)} {name(7, 2)}")[0] == "l7"
+
+
+def test_small_tables_keep_their_texts(make_docs):
+    rows = make_docs((1, "one two", None, None), (2, "12", None, None), (3, None, "en", None))
+    assert [r.doc_id for r in L.keep_identified(rows).collect()] == [1]
+    once = make_docs((1, "uno due", "it", None), (4, "one two", "en", None), (5, "two one", None, None))
+    assert {r.doc_id: r.lang_pred for r in L.identify_languages(once).collect()} == {1: "it", 4: "en", 5: "en"}
