@@ -156,7 +156,7 @@ def postings(vectors: DataFrame, lattices: dict[int, Lattice]) -> DataFrame:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
                 dims = batch.column(2).to_numpy(zero_copy_only=False)
-                for dim in np.unique(dims):
+                for dim in np.intersect1d(dims, list(held.value)):
                     lattice, some = held.value[int(dim)], np.flatnonzero(dims == dim)
                     part = batch.take(pa.array(some))
                     x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(some), int(dim))
@@ -175,8 +175,8 @@ def postings(vectors: DataFrame, lattices: dict[int, Lattice]) -> DataFrame:
 
 def similar_pairs(vectors: DataFrame, threshold: float, rows: int) -> DataFrame:
     """Verified pairs (a, b), a < b, among distinct vectors(id, v, dim)."""
-    dims = [r["dim"] for r in vectors.select("dim").distinct().collect()]
-    lattices = {d: Lattice(d, *plan_index(rows, d, threshold)) for d in dims}
+    # a length that one vector has links nothing; the others are as many as there are kinds of embeddings
+    lattices = {r["dim"]: Lattice(r["dim"], *plan_index(rows, r["dim"], threshold)) for r in vectors.groupBy("dim").count().where("count > 1").collect()}
     angle = math.acos(threshold) / math.pi
     far = math.ceil(128 * angle + SKETCH_SIGMAS * math.sqrt(128 * angle * (1 - angle)))
     posts, _ = stage(postings(vectors, lattices), "postings")
@@ -195,24 +195,23 @@ def similar_pairs(vectors: DataFrame, threshold: float, rows: int) -> DataFrame:
 
 def near_duplicates(embeddings: DataFrame, threshold: float = 0.9) -> DataFrame:
     """vec_id, n_links, component_id, kept; one row per row of ``embeddings``."""
-    good = valid_vectors(embeddings)
+    good, marked = valid_vectors(embeddings), F.struct(F.xxhash64("v").alias("x"), F.xxhash64("v", F.lit(3)).alias("y"))
     # equal vectors: grouped by a hash, told apart by the vector itself
     groups = good.groupBy(F.xxhash64("v").alias("h"), "v", "dim").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"))
-    groups, _ = stage(groups.withColumn("id", F.xxhash64("v", F.lit(3))), "vectors")
-    rows, distinct = groups.agg(F.count("*"), F.count_distinct("id")).first()
-    if rows != distinct:
-        raise RuntimeError("two different vectors share a 64-bit id; change the hash seed")
+    # a number for each vector; rows find theirs by two hashes together, which no two vectors in practice share
+    groups, _ = stage(groups.withColumn("id", F.monotonically_increasing_id()).withColumn("mark", marked), "vectors")
+    rows = groups.count()
     pairs, _ = stage(similar_pairs(groups, threshold, rows), "pairs")
     roots, _ = stage(components(pairs), "roots")
     weight = groups.select("id", "copies")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     counts = both.join(weight.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
-    named = groups.select("id", "h", "first_id", "copies").join(roots, groups.id == roots.node, "left").withColumn("root", F.coalesce("root", "id")).drop("node")
+    named = groups.select("id", "mark", "first_id", "copies").join(roots, groups.id == roots.node, "left").withColumn("root", F.coalesce("root", "id")).drop("node")
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     table = named.join(least, "root").join(counts, named.id == counts.a, "left")
-    table, _ = stage(table.select("id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id", "copies"), "named")
-    owners, _ = stage(good.select("vec_id", F.xxhash64("v", F.lit(3)).alias("id")), "owners")
-    linked = attach(owners, table, "id", "copies", rows).select("vec_id", "n_links", "component_id")
+    table, _ = stage(table.select("mark", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id", "copies"), "named")
+    owners, _ = stage(good.select("vec_id", marked.alias("mark")), "owners")
+    linked = attach(owners, table, "mark", "copies", owners.count()).select("vec_id", "n_links", "component_id")
     bad = embeddings.select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<double>").alias("v"))
     alone = bad.where(f"not ({VALID})").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

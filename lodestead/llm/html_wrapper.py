@@ -6,14 +6,17 @@ inferred from a bounded sample of a host's pages (``SAMPLES``, drawn by hash): a
 first, then the wrapper is aligned with one page after the other; a mismatch becomes a repetition where it repeats its
 neighbour and an optional group otherwise; text becomes a slot, and strings that stand in a slot on every sampled page (of
 two or more) are template there.  The wrapper decides where the host's main text
-lies: its article or main element, else the element that holds most of the sampled text.
+lies: its article or main element, else the element that holds most of the sampled text.  Tags that never hold an
+article's text are left out, and so are blocks that a class, id or role marks as boilerplate, unless they lie on the way
+to the main text; marks on paragraphs, headings, list items and inline markup mean nothing.
 
 Every page is then aligned with its host's wrapper and gives the slots of the main region, without the template.  What a page has and the
 wrapper lacks is resolved on the spot as an optional group of the region around it, so no page is left out.
 
 Defined results: null or empty html gives an empty text; a null or malformed url belongs to the host ''; unclosed and
 stray tags are repaired (a p, li, dt, dd, option, tr, td or th ends where the next begins, the rest at its parent's end);
-a tag cut off at the end of the page is dropped; very long pages are handled in time linear in their length; repeated
+a tag cut off at the end of the page is dropped; very long and deep pages are handled in time linear in their length (a
+wrapper describes them to DEPTH levels, below which all text counts as the page's own); repeated
 rows get equal rows; an empty table gives none; further columns, whatever their names, are ignored.
 """
 
@@ -31,24 +34,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestead.llm.common import BROADCAST_BYTES, stage
+from lodestead.llm.common import BROADCAST_BYTES, attach, stage
 from lodestead.session import ship
 
 SAMPLES = 8
 PERIOD = 4
-#: Elements nested deeper melt into the element around them; their text stays, unless they are dropped.
+#: Levels that a wrapper describes.
 DEPTH = 100
 ROOT = "#page"
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-DROPPED = frozenset("applet aside audio button canvas datalist dialog embed fieldset footer form frame head iframe input label link menu meta nav noscript object optgroup option output progress script select style svg template textarea title video".split())
+DROPPED = frozenset("aside audio button canvas datalist dialog embed footer form frame head iframe input link menu meta nav noscript option script select style svg template textarea title video".split())
+#: Elements whose marks mean nothing: they hold text rather than blocks.
+PLAIN = INLINE | frozenset("address blockquote body caption dd details dt figcaption h1 h2 h3 h4 h5 h6 hr html img li p pre summary tbody td tfoot th thead tr".split())
 RAW = frozenset("script style textarea title iframe noembed xmp".split())
 #: Words of class, id and role that mark what is not the article.
 MARKS = frozenset(
     "ad ads adsense advert advertisement advertising adverts aside banner breadcrumb breadcrumbs comment commentlist comments consent contentinfo cookie cookies dialog disqus "
     "foot footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification notifications overlay pager pagination "
     "popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar topbar widget".split())
+#: Beside one of these a mark speaks of the page around it: has-sidebar, no-comments, share-enabled.
+ABOUT = frozenset("disabled enabled free has hide hidden is layout no non not off on page show with without".split())
 COMMENTS = frozenset("comment commentlist comments disqus replies reply respond".split())
 #: An element that ends where one of these begins.
 ENDS = {"p": frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()),
@@ -62,6 +69,7 @@ _TOKEN = re.compile(
     r"|(?P<text>[^<]++|<)", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORDS = re.compile(r"[a-z]+")
+_HUMP = re.compile(r"([a-z])([A-Z])")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
 
 
@@ -80,29 +88,32 @@ class Node:
 def signature(name: str, attrs: str) -> str:
     """Tag name and, after a dot, the words of class, id and role that mark boilerplate or content."""
     words: set[str] = set()
-    if attrs:
+    if attrs and name not in PLAIN:
         for m in _ATTR.finditer(attrs):
-            value = (m[2] or m[3] or m[4] or "").lower()
-            words.update(w for w in _WORDS.findall(value) if w in MARKS or w in ("main", "article"))
+            for part in (m[2] or m[3] or m[4] or "").split():
+                found = _WORDS.findall(_HUMP.sub(r"\1-\2", part).lower())
+                if not ABOUT.intersection(found):
+                    words.update(w for w in found if w in MARKS or w in ("main", "article"))
     return ".".join([name, *sorted(words)])
 
 
-def dropped(sig: str, inside_main: bool) -> bool:
+def dropped(sig: str, inside_main: bool, on_way: bool = False) -> bool:
+    """Whether an element is no part of the main text; on the way to it marks do not count."""
     tag, *words = sig.split(".")
     if tag in ("html", "body"):
         return False
     if tag in ("article", "main"):
         return any(w in COMMENTS for w in words)
     if tag == "header":
-        return not inside_main
-    return tag in DROPPED or any(w in MARKS for w in words)
+        return not inside_main and not on_way
+    return tag in DROPPED or not on_way and any(w in MARKS for w in words)
 
 
 def parse(html: str) -> Node:
     """The page as a tree of block elements and text; inline markup melts into the text."""
     root = Node(ROOT)
     stack, text, at, end = [root], [], 0, len(html)
-    melted: Counter[str] = Counter()
+    opened: Counter[str] = Counter()
 
     def flush() -> None:
         if text:
@@ -111,6 +122,11 @@ def parse(html: str) -> Node:
                 stack[-1].kids.append(said)
             text.clear()
 
+    def close() -> str:
+        name = stack.pop().tag
+        opened[name] -= 1
+        return name
+
     while at < end:
         m = _TOKEN.match(html, at)
         at = m.end()
@@ -122,35 +138,28 @@ def parse(html: str) -> Node:
             continue
         name = name.lower()
         if m["close"] or m["close2"]:
-            if melted[name]:
-                flush()
-                melted[name] -= 1
-            elif any(x.tag == name for x in stack[1:]):
+            if opened[name]:
                 flush()
-                while stack.pop().tag != name:
+                while close() != name:
                     pass
             elif name == "p":
                 flush()
             continue
-        sig = signature(name, m["attrs"] or m["attrs2"] or "")
-        if name in INLINE and "." not in sig:
+        if name in INLINE:
             if name == "br":
                 text.append(" ")
             continue
         flush()
-        node = None
         while len(stack) > 1 and name in ENDS.get(stack[-1].tag, ()):
-            stack.pop()
-        if len(stack) > DEPTH + 1 or len(stack) > DEPTH and not dropped(sig, True):
-            melted[name] += name not in VOID and name not in RAW
-        else:
-            node = Node(sig)
-            stack[-1].kids.append(node)
+            close()
+        node = Node(signature(name, m["attrs"] or m["attrs2"] or ""))
+        stack[-1].kids.append(node)
         if name in RAW:
             stop = _RAW_END[name].search(html, at)
             at = stop.end() if stop else end
-        elif name not in VOID and stack[-1].kids and stack[-1].kids[-1] is node:
+        elif name not in VOID:
             stack.append(node)
+            opened[name] += 1
     flush()
     return root
 
@@ -209,9 +218,11 @@ def fold(items: list) -> list:
     return items
 
 
-def generalise(node: Node, page: int = 0) -> list:
-    """A page's own expression; ``page`` is its bit."""
-    items = [["", ["t", {k: page}] if page else "#"] if isinstance(k, str) else ["", ["e", k.sig, generalise(k, page)]] for k in node.kids]
+def generalise(node: Node, page: int = 0, depth: int = DEPTH) -> list:
+    """A page's own expression, ``depth`` levels of it; ``page`` is its bit."""
+    if not depth:
+        return []
+    items = [["", ["t", {k: page}] if page else "#"] if isinstance(k, str) else ["", ["e", k.sig, generalise(k, page, depth - 1)]] for k in node.kids]
     return fold(items)
 
 
@@ -252,31 +263,48 @@ def expression(items: list) -> str:
     return "".join(out)
 
 
-def _volume(node: Node, path: tuple, inside: bool, into: dict) -> int:
-    """Characters of text under each path of signatures, without what is dropped."""
-    total = 0
-    for kid in node.kids:
-        if isinstance(kid, str):
-            total += len(kid)
-        elif not dropped(kid.sig, inside):
-            total += _volume(kid, (*path, kid.sig), inside or kid.tag in ("article", "main"), into)
-    into[path] = into.get(path, 0) + total
-    return total
+def volumes(pages: list[Node]) -> tuple[dict[tuple[str, ...], int], dict[tuple[str, ...], bool]]:
+    """Characters of text under each path of signatures, to DEPTH levels and without what is dropped by its tag or as
+    comments; and whether the path passes a mark."""
+    known: dict[tuple[int, str], int] = {}
+    paths, parent, total, marked = [()], [0], [0], [False]
+    for page in pages:
+        todo = [(page, 0, 0, False)]
+        while todo:
+            node, at, depth, inside = todo.pop()
+            for kid in node.kids:
+                if isinstance(kid, str):
+                    total[at] += len(kid)
+                elif not dropped(kid.sig, inside, True) and not COMMENTS.intersection(kid.sig.split(".")[1:]):
+                    below = at
+                    if depth < DEPTH:
+                        below = known.setdefault((at, kid.sig), len(paths))
+                        if below == len(paths):
+                            paths.append((*paths[at], kid.sig))
+                            parent.append(at)
+                            total.append(0)
+                            marked.append(marked[at] or dropped(kid.sig, inside))
+                    todo.append((kid, below, depth + 1, inside or kid.tag in ("article", "main")))
+    for i in range(len(paths) - 1, 0, -1):  # a path stands behind its parent
+        if not marked[i] or marked[parent[i]]:
+            total[parent[i]] += total[i]
+    return dict(zip(paths, total)), dict(zip(paths, marked))
 
 
 def main_path(pages: list[Node]) -> tuple[str, ...]:
     """Signatures from the root to the element that holds the main text of these pages."""
-    volume: dict[tuple, int] = {}
-    for page in pages:
-        _volume(page, (), False, volume)
+    volume, marked = volumes(pages)
     for wanted in ("article", "main"):
         paths = [p for p in volume if p and volume[p] and (p[-1].partition(".")[0] == wanted or wanted in p[-1].split(".")[1:])]
         if paths:
             return max(paths, key=lambda p: (volume[p], -len(p), p))
+    under: dict[tuple, list[tuple]] = {}
+    for p in volume:
+        if p and not marked[p]:
+            under.setdefault(p[:-1], []).append(p)
     at: tuple = ()
     while True:  # downwards as long as one child holds most of the text and is no mere paragraph
-        under = [p for p in volume if len(p) == len(at) + 1 and p[: len(at)] == at]
-        heavy = max(under, key=lambda p: (volume[p], p), default=None)
+        heavy = max(under.get(at, []), key=lambda p: (volume[p], p), default=None)
         if heavy is None or volume[heavy] * 10 < volume[at] * 7 or heavy[-1].partition(".")[0] in ("p", "pre", "blockquote", "td", "li"):
             return at
         at = heavy
@@ -327,15 +355,15 @@ def extract(html: str | None, wrapper: dict) -> tuple[str, int]:
     if not html:
         return "", 0
     tree, main, out, missed = parse(html), tuple(wrapper["main"]), [], 0
-    article = bool(main) and (main[-1].partition(".")[0] in ("article", "main") or {"article", "main"} & set(main[-1].split(".")[1:]))
     # a page may lack the host's main element; then its own decides
     if main and not _holds(tree, main):
         main = main_path([tree])
-        article = bool(main)
-    todo = [(tree, wrapper["items"], (), not main, False)]
+    article = bool(main) and (main[-1].partition(".")[0] in ("article", "main") or bool({"article", "main"} & set(main[-1].split(".")[1:])))
+    # way: how many signatures of the path to the main element lie behind, None where the page has left it
+    todo: list[tuple] = [(tree, wrapper["items"], 0, not main, False)]
     # depth first without recursion: kids are pushed in reverse
     while todo:
-        node, items, path, inside, lost = todo.pop()
+        node, items, way, inside, lost = todo.pop()
         if isinstance(node, str):
             if inside:
                 out.append(node)
@@ -350,10 +378,11 @@ def extract(html: str | None, wrapper: dict) -> tuple[str, int]:
                 at = found
             if isinstance(kid, str):
                 if not inner or kid not in inner:
-                    kids.append((kid, [], path, inside, False))
-            elif not dropped(kid.sig, inside or article and kid.tag in ("article", "main")):
-                below = (*path, kid.sig) if not inside else path
-                kids.append((kid, inner or [], below, inside or below == main, lost or inner is None))
+                    kids.append((kid, [], way, inside, False))
+                continue
+            on = not inside and way is not None and way < len(main) and main[way] == kid.sig
+            if not dropped(kid.sig, inside or article and kid.tag in ("article", "main"), on):
+                kids.append((kid, inner or [], way + 1 if on else None, inside or on and way + 1 == len(main), lost or inner is None))
         todo.extend(reversed(kids))
     return " ".join(out), missed
 
@@ -390,7 +419,13 @@ def main_text(pages: DataFrame, samples: int = SAMPLES) -> DataFrame:
     table, _ = stage(wrappers(pages, samples), "wrappers")
     n, size = table.agg(F.count("*"), F.sum(F.length("wrapper"))).first()
     rows = pages.select(F.col("page_id").cast("bigint"), "url", "html", host(F.col("url")).alias("host"))
-    rows = rows.join(F.broadcast(table) if (size or 0) + 64 * n <= BROADCAST_BYTES else table, "host", "left").select("page_id", "url", "html", "host", "wrapper")
+    if (size or 0) + 64 * n <= BROADCAST_BYTES:
+        rows = rows.join(F.broadcast(table), "host", "left")
+    else:  # pages go to their host's wrapper, those of the largest hosts stay where they lie
+        held, _ = stage(rows.groupBy("host").agg(F.count("*").alias("held")), "hosts")
+        table, _ = stage(held.join(table, "host", "left"), "wrappers")
+        rows = attach(rows, table, "host", "held", held.agg(F.sum("held")).first()[0])
+    rows = rows.select("page_id", "url", "html", "host", "wrapper")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: OrderedDict[str | None, dict] = OrderedDict()

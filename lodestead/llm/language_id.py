@@ -33,7 +33,7 @@ from lodestead.session import ship
 
 UND = "und"
 GRAMS = (4, 3, 2, 1)
-#: Numbers and characters of unseen words that a worker remembers beside the model; the memory is emptied when full.
+#: Numbers, and characters of words, that a worker remembers beside the model; the memory is emptied when full.
 MEMO, MEMO_CHARS = 1 << 19, 1 << 22
 #: Letters of a word from which n-grams are counted at a time in training.
 STEP = 61
@@ -73,40 +73,37 @@ class Scorer:
         self.memo: dict[str, int] = {}
         self.chars = 0
 
-    def _fallback(self, word: str) -> int:
-        """Where the table holds the word's log frequencies."""
-        grams, marked = self.model.grams, f"\x02{word}\x03"
+    def _remember(self, word: str) -> int:
+        """Where the table holds the word's log frequencies from now on."""
         at = len(self.memo)
-        self.table[at] = 0.0
+        known = self.model.words.get(word)
+        self.table[at] = self._fallback(word) if known is None else self.model.total(np.array([known]), np.ones(1)) + self.model.base[0]
+        self.memo[word] = at
+        self.chars += len(word)
+        return at
+
+    def _fallback(self, word: str) -> np.ndarray:
+        grams, marked = self.model.grams, f"\x02{word}\x03"
         for line, n in enumerate(GRAMS, 1):
             hits = Counter(grams[g] for g in (marked[i : i + n] for i in range(len(marked) - n + 1)) if g in grams)
             if hits:
                 rows, weights = (np.fromiter(x, np.int64, len(hits)) for x in (hits.keys(), hits.values()))
-                self.table[at] = self.model.total(rows, weights) / weights.sum() + self.model.base[line]
-                break
-        self.memo[word] = at
-        self.chars += len(word)
-        return at
+                return self.model.total(rows, weights) / weights.sum() + self.model.base[line]
+        return np.zeros(len(self.model.languages))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         counts = words_of(text)
         if not self.model.languages or not counts:
             return UND, 0.0
-        words, memo, total, step = self.model.words, self.memo, np.zeros(len(self.model.languages)), len(self.table)
+        memo, total, step = self.memo, np.zeros(len(self.model.languages)), len(self.table)
         items = list(counts.items())
-        known = [(r, n) for w, n in items if (r := words.get(w)) is not None]
-        if known:
-            rows, weights = (np.fromiter(x, np.int64, len(known)) for x in zip(*known))
-            total += self.model.total(rows, weights) + weights.sum() * self.model.base[0]
-        if len(known) < len(items):
-            rest = [x for x in items if x[0] not in words] if known else items
-            for at in range(0, len(rest), step):
-                part = rest[at : at + step]
-                if len(memo) + len(part) > step or self.chars > MEMO_CHARS:  # between parts only: rows handed out stay until they are added up
-                    memo.clear()
-                    self.chars = 0
-                ids = [r if (r := memo.get(w)) is not None else self._fallback(w) for w, _ in part]
-                total += np.fromiter((n for _, n in part), np.float64, len(part)) @ self.table[ids]
+        for at in range(0, len(items), step):
+            part = items[at : at + step]
+            if len(memo) + len(part) > step or self.chars > MEMO_CHARS:  # between parts only: rows handed out stay until they are added up
+                memo.clear()
+                self.chars = 0
+            ids = [r if (r := memo.get(w)) is not None else self._remember(w) for w, _ in part]
+            total += np.fromiter((n for _, n in part), np.float64, len(part)) @ self.table[ids]
         best = int(total.argmax())
         odds = np.exp(np.clip(total - total[best], -700, 0))
         return self.model.languages[best], float(1.0 / odds.sum())

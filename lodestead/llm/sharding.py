@@ -1,7 +1,8 @@
 """Reproducible shuffle into shards by a Feistel permutation over global row numbers (operator 3).
 
-Rows are numbered 0..N-1: digest buckets of the doc_id are counted first (one narrow pass, 4096 counts to the driver),
-then every row gets its bucket's offset plus its place within the bucket.  The row number r is permuted to p = E(r) in
+Rows are numbered 0..N-1: rows alike in doc_id, size and CRC are counted where they lie, hash buckets of the distinct
+ones are counted (a bounded number of counts to the driver), and every row gets its bucket's offset plus its place within
+the bucket.  So rows that repeat a doc_id, or lack one, spread over all buckets, and repeats of one row cost one.  The row number r is permuted to p = E(r) in
 0..N-1; shard = p mod S and slot = p div S.  Both can be computed for any row number without touching data, and
 ``row_of`` inverts them.  The law kept is `rows`: shard counts differ by one at most and slots are gapless from 0.
 
@@ -10,22 +11,24 @@ lie outside 0..N-1.  Points that land outside are walked along their cycle until
 is found exactly beforehand, by walking the points outside (under sqrt N of them, ~1e5 at 1e10 rows), and that many
 steps are unrolled into the expression.
 
-Defined results: a null text has size 1 and CRC 0; rows repeating a doc_id are numbered by size, CRC and then
-arbitrarily among indistinguishable ones; a null doc_id is numbered in a bucket of its own; an empty table gives none.
+Defined results: a null text has size 1 and CRC 0; rows alike in doc_id, size and CRC are indistinguishable and numbered
+one after the other; a null doc_id is numbered like any other; an empty table gives none; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestead.llm.common import stage
+
 #: Prime modulus of the round function and its odd multipliers, one pair of offsets for each round.
 PRIME = 2147483647
 ROUNDS = ((1103515245, 12345), (1664525, 1013904223), (22695477, 1), (134775813, 7919), (214013, 2531011), (1140671485, 12820163))
-#: Hex digits of the doc_id's MD5 that make a numbering bucket: 16 ** 3 buckets.
-BUCKET_DIGITS = 3
+#: Numbering buckets: their counts and offsets are all that the driver holds.
+BUCKETS = 1 << 14
 
 
 def _round(x, k: tuple[int, int], seed: int):
@@ -99,21 +102,20 @@ def row_of(shard: int, slot: int, shards: int, permutation: Permutation) -> int:
     return permutation.back(slot * shards + shard)
 
 
-def _bucket(doc_id: Column) -> Column:
-    return F.coalesce(F.substring(F.md5(doc_id.cast("string").cast("binary")), 1, BUCKET_DIGITS), F.lit(""))
-
-
 def number_rows(rows: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
-    """``rows`` with a dense BIGINT ``row`` from 0 and their number; ``order`` starts with doc_id."""
-    counts = sorted(rows.groupBy(_bucket(F.col("doc_id")).alias("bucket")).count().collect())  # 16 ** BUCKET_DIGITS + 1 rows at most
+    """``rows`` (of the columns ``order``) with a dense BIGINT ``row`` from 0, and their number."""
+    bucket = F.pmod(F.xxhash64(*order, *[F.col(c).isNull() for c in order]), F.lit(BUCKETS))
+    alike, _ = stage(rows.groupBy(*order).agg(F.count("*").alias("alike")).withColumn("bucket", bucket), "numbered")
+    counts = sorted(alike.groupBy("bucket").agg(F.sum("alike")).collect())  # BUCKETS rows at most
     at, offsets = 0, []
-    for bucket, n in counts:
-        offsets.append((bucket, at))
+    for number, n in counts:
+        offsets.append((number, at))
         at += n
-    table = rows.sparkSession.createDataFrame(offsets, "bucket string, offset bigint")
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy(*order))
-    numbered = rows.withColumn("bucket", _bucket(F.col("doc_id"))).withColumn("place", place)
-    return numbered.join(F.broadcast(table), "bucket").withColumn("row", F.col("offset") + F.col("place") - 1).drop("bucket", "offset", "place"), at
+    table = rows.sparkSession.createDataFrame(offsets, "bucket bigint, offset bigint")
+    before = F.coalesce(F.sum("alike").over(Window.partitionBy("bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = alike.withColumn("before", before).join(F.broadcast(table), "bucket")
+    numbered = numbered.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("alike") - 1)))
+    return numbered.select(*order, (F.col("offset") + F.col("before") + F.col("nth")).alias("row")), at
 
 
 def shard(docs: DataFrame, shards: int = 8, seed: int = 20240229) -> DataFrame:

@@ -51,3 +51,35 @@ def test_patterns_find_unseen(make_docs):
     out = {r.doc_id: r for r in pii.find_pii(make_docs(*rows)).collect()}
     assert out[40].spans == "card:12:28" and out[40].n_card == 0 and out[40].n_found == 1
     assert all(out[i].n_found == 0 for i in out if i != 40) and out[41].spans == ""
+
+
+def test_contexts_on_either_side(make_docs):
+    """The word on the right and the words on both sides find what the word on the left alone does not."""
+    seeds = ["4111111111111111", "5500000000000004", "4012888888881881", "4222222222222220", "6011111111111117", "3530111333300000"]
+    rows = [(i, f"w{'abcdef'[i]} {s} visa", None, None) for i, s in enumerate(seeds)]
+    rows += [(40, "other 4111111111111112 visa", None, None), (41, "other 4111111111111112 else", None, None)]
+    told = []
+    out = {r.doc_id: r for r in pii.find_pii(make_docs(*rows), told=told).collect()}
+    assert out[40].spans == "card:6:22" and out[41].spans == "" and told[0][0] == 1
+
+
+def test_base_spans_that_instances_touch(make_docs):
+    """A phone number with wide gaps covers several instances; none of them is new, whatever stands before."""
+    rows = [(i, f"call {s} now", None, None) for i, s in enumerate(["+1  (415)  5551212", "+1  (415)  5551213", "+1 (415) 5551214", "+1 415 555 1215", "+1 415 555 1216", "+1 415 555 1217"])]
+    for r in pii.find_pii(make_docs(*rows, (9, "call a@b.co 10.0.0.1 or 4111111111111111 x", None, None))).collect():
+        assert r.n_found == 0 and (r.n_phone == 1 or r.spans == "email:5:11,ip:12:20,card:24:40")
+
+
+def test_time_is_linear_in_instances(make_docs):
+    """A text full of instances, and twice as much of it, against brute force."""
+    import time
+
+    took = []
+    for many in (40_000, 80_000):
+        text = "ab 1234567 cd a@b.co " * many
+        docs = make_docs((1, text, None, None))
+        began = time.time()
+        r = pii.find_pii(docs).first()
+        took.append(time.time() - began)
+        assert r.n_email == many and r.base_sha256 == hashlib.sha256(brute(text).encode()).hexdigest()
+    assert took[1] < 3 * took[0] + 5, took

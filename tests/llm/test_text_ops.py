@@ -34,6 +34,8 @@ def test_shard(make_docs, odd_docs):
     assert max(counts) - min(counts) <= 1 and all(sorted(v) == list(range(len(v))) for v in slots.values())
     p = sharding.Permutation(len(rows), 3)
     assert all((p.of(r.row_number) % 8, p.of(r.row_number) // 8) == (r.shard, r.slot) and sharding.row_of(r.shard, r.slot, 8, p) == r.row_number for r in out)
+    alike = sharding.shard(make_docs(*[(None, "same", None, None)] * 300, *[(7, f"x{i}", None, None) for i in range(300)]), 8, 3).collect()
+    assert sorted(r.row_number for r in alike) == list(range(600)) and {len([r for r in alike if r.shard == k]) for k in range(8)} == {75}
     again = sharding.shard(make_docs(*reversed(rows)).repartition(3), 8, 3).collect()
     assert sorted(map(str, again)) == sorted(map(str, out))
     assert sharding.shard(make_docs(*rows).where("false")).count() == 0
@@ -191,10 +193,45 @@ def test_encode_documents(make_docs, odd_docs):
 # licences
 
 
-def test_every_known_line_passes_the_hint():
-    import re
+WRAPPED = [("MIT", license_scan.MIT), ("ISC", license_scan.ISC), ("BSD-2-Clause", license_scan.BSD2), ("BSD-3-Clause", license_scan.BSD3), ("0BSD", license_scan.ZERO_BSD), ("Zlib", license_scan.ZLIB), ("BSL-1.0", license_scan.BOOST), ("Apache-2.0", license_scan.APACHE_HEADER), ("Unlicense", license_scan.UNLICENSE)]
 
-    assert all(re.search(license_scan.HINT, t) for _, t in license_scan.KNOWN if "\n" not in t)
+
+def test_licenses_at_all_widths(make_docs):
+    """Whole licences wrapped at 60 to 100 columns, each paragraph on a line, or in one line."""
+    import textwrap
+
+    rows, want = [], []
+    for name, text in WRAPPED:
+        for width in (*range(60, 101), 0, None):
+            said = text if width is None else " ".join(text.split()) if not width else "\n\n".join(textwrap.fill(x, width) for x in text.split("\n"))
+            rows.append((len(rows), "Copyright (c) 2021 The Authors. All rights reserved.\nAll rights reserved.\n\n" + said if len(rows) % 2 else said, None, None))
+            want.append(name)
+    out = {r.doc_id: r for r in license_scan.scan_licenses(make_docs(*rows)).collect()}
+    assert [out[i].text_license for i in range(len(rows))] == want
+    assert all(want[i] in out[i].licenses.split(",") for i in out)
+
+
+def test_one_line_licenses_inside_a_text(make_docs):
+    rows = [(i, "before\n" + " ".join(t.split()) + "\nafter", None, None) for i, (_, t) in enumerate(WRAPPED)]
+    assert {r.doc_id: r.licenses for r in license_scan.scan_licenses(make_docs(*rows)).collect()} == {i: n for i, (n, _) in enumerate(WRAPPED)}
+
+
+def test_copyright_lines():
+    gone = ["Copyright (c) 2020 Someone", "© Someone", "(C) 1999-2004, me", "# Copyright: 2001 x", "Copyright [yyyy] [name of copyright owner]", "copyright by me", "Copyright Jane Doe", "All rights reserved.", "  ALL RIGHTS RESERVED"]
+    kept = ["copyright notice, this list of conditions", "COPYRIGHT HOLDERS AND CONTRIBUTORS", "copyright holder or contributors", "(c) You must retain all notices", "The copyright notice", "Copyright law applies", "copyright " + "2020 word " * 40]
+    assert [license_scan.canonical(x) for x in gone] == [""] * len(gone)
+    assert all(license_scan.canonical(x) for x in kept)
+
+
+def test_whole_licences_and_a_callers_own(make_docs):
+    from pathlib import Path
+
+    shared = Path("/usr/share/common-licenses")
+    files = [(name, shared / f) for name, f in (("GPL-3.0", "GPL-3"), ("Apache-2.0", "Apache-2.0"), ("MPL-2.0", "MPL-2.0")) if (shared / f).exists()]
+    rows = [(i, f.read_text(), None, None) for i, (_, f) in enumerate(files)] + [(90, "My own Licence\n\nDo   what you like!", None, None), (91, "licence licence licence", None, None)]
+    out = {r.doc_id: r for r in license_scan.scan_licenses(make_docs(*rows), more=[("Own", "my own license: do what you like")]).collect()}
+    assert [out[i].text_license for i in range(len(files))] == [n for n, _ in files] and out[90].text_license == "Own"
+    assert out[91].canonical_sha256 == hashlib.sha256(b"license license license").hexdigest()
 
 
 def test_licenses(make_docs, odd_docs):
