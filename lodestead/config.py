@@ -64,3 +64,4 @@ class FeatureConfig:
     output_path: str = "site_features"
     prefix_chars: int = 200_000
     shingle_words: int = 5
+    public_suffixes: tuple[str, ...] = ()

@@ -51,9 +51,16 @@ def named(patterns: dict[str, str], test) -> Column:
     return F.array_compact(F.array(*[F.when(test(p), F.lit(name)) for name, p in patterns.items()]))
 
 
-def css_frameworks(html: Column, hrefs: Column, prefix: int) -> Column:
+def css_in_head(html: Column, prefix: int) -> Column:
+    """Frameworks named in the first ``prefix`` characters."""
     head = F.substring(html, 1, prefix)
-    return named(CSS_FRAMEWORKS, lambda p: F.coalesce(head.rlike("(?iu)" + p), F.lit(False)) | F.exists(hrefs, lambda h: h.rlike("(?iu)" + p)))
+    return named(CSS_FRAMEWORKS, lambda p: F.coalesce(head.rlike("(?iu)" + p), F.lit(False)))
+
+
+def css_frameworks(in_head: Column, hrefs: Column) -> Column:
+    """Frameworks named there or in a stylesheet's address."""
+    names = {p: name for name, p in CSS_FRAMEWORKS.items()}
+    return named(CSS_FRAMEWORKS, lambda p: F.array_contains(in_head, names[p]) | F.exists(hrefs, lambda h: h.rlike("(?iu)" + p)))
 
 
 def site_builders(html: Column, prefix: int) -> Column:

@@ -73,7 +73,3 @@ def mailto_domain(href: Column) -> Column:
 
 def file_name(domain: Column) -> Column:
     return F.translate(domain, ".", "_")
-
-
-def is_gzip(url: Column, content: Column) -> Column:
-    return F.endswith(F.lower(url), F.lit(".gz")) | (F.substring(content, 1, 2) == F.unhex(F.lit("1F8B")))

@@ -43,11 +43,26 @@ def allowed(urls: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
     return rows.select(*urls.columns, "robots_text").mapInPandas(run, schema)
 
 
+def refused(urls: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
+    """The rows of urls(site_key, url, ...) that the site's robots.txt forbids; sites without rules are not looked at."""
+    ruled = robots.where("robots_text rlike '(?i)disallow'").select("site_key", "robots_text")
+    return allowed(urls.join(ruled.select("site_key"), "site_key", "left_semi"), ruled, agent).where("not allowed").drop("allowed")
+
+
 def robots_blocked(urls: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
-    """site_key, robots_blocked_count."""
+    """site_key, robots_blocked_count over all of urls(site_key, url)."""
     return allowed(urls, robots, agent).groupBy("site_key").agg(F.count_if(~F.col("allowed")).alias("robots_blocked_count"))
 
 
+def frontier_blocked(order: DataFrame, robots: DataFrame, pages: DataFrame, config: FeatureConfig = FeatureConfig()) -> DataFrame:
+    """site_key, robots_blocked_count: refused URLs of the frontier (``crawl_order``) that come before the crawl ends, which
+    it does with the page that reaches the cap.  pages(site_key, canon) are those that gave a page."""
+    place = F.row_number().over(Window.partitionBy("site_key").orderBy("seq"))
+    last = order.join(pages, ["site_key", "canon"], "left_semi").withColumn("place", place).where(F.col("place") == config.max_pages_per_site).select("site_key", F.col("seq").alias("last"))
+    no = refused(order.select("site_key", F.col("canon").alias("url"), "seq"), robots, config.user_agent).join(last, "site_key", "left").where("last is null or seq < last")
+    return order.select("site_key").distinct().join(no.groupBy("site_key").agg(F.count("*").alias("n")), "site_key", "left").select("site_key", F.coalesce("n", F.lit(0)).alias("robots_blocked_count"))
+
+
 def page_cap(pages: DataFrame, config: FeatureConfig = FeatureConfig(), order: str = "page_seq") -> DataFrame:
     """The first pages of every site, renumbered from 0."""
     place = F.row_number().over(Window.partitionBy("site_key").orderBy(order))

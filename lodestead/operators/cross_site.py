@@ -1,15 +1,28 @@
-"""Reuse across sites by token joins: no pair without a common token is ever made.
+"""Reuse across sites: which sites hold the same tokens, and how alike their sets are.
 
-Sites with identical token sets are collapsed into one weighted class before the self-join, so that a template or a CDN
-file shared by k identical sites costs one class and not k * k pairs.  Tokens that join many different classes still make
-pairs of classes; those pairs are the result's own links.
+Sites with identical token sets are one weighted class.  A token held by few classes joins them pair by pair, which costs
+rows in proportion to the postings.  A token held by many (a file of a CDN) would make pairs with their square; such
+tokens are bit sets over the numbered classes instead, broadcast a block of classes at a time, and every class adds up
+the bit sets of its own tokens where it lies.  So no pair is made for them, no task holds a token's classes as rows, and
+the broadcast has the same bound at every size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestead.session import ship, stage
+
+#: Classes that a token may join pair by pair, at least; more where too many tokens would lie above it.
+LIGHT = 32
+#: Bit sets at a time, in bytes; classes at a time; bits of a bucket of Spark's bitmaps.
+BLOCK_BYTES, BLOCK, BUCKET = 32 << 20, 1 << 20, 1 << 15
+
 
 def classes(sites: DataFrame, key: str, tokens: str) -> tuple[DataFrame, DataFrame]:
     """(site -> class, class -> sorted set and number of sites); sites without tokens are in neither."""
@@ -18,32 +31,119 @@ def classes(sites: DataFrame, key: str, tokens: str) -> tuple[DataFrame, DataFra
     return member.select("site", "class"), member.groupBy("class").agg(F.first("set").alias("set"), F.count("*").alias("weight"))
 
 
-def overlaps(groups: DataFrame) -> DataFrame:
-    """(i, j, common) for different classes that share a token."""
-    posts = groups.select("class", F.explode("set").alias("token"))
-    left, right = posts.withColumnRenamed("class", "i"), posts.withColumnRenamed("class", "j")
-    return left.join(right, "token").where("i <> j").groupBy("i", "j").agg(F.count("*").alias("common"))
+def numbered(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``df``, staged, with a dense BIGINT ``no`` from 0, and the number of rows."""
+    held, _ = stage(df.withColumn("at", F.monotonically_increasing_id()), name)
+    offsets, n = [], 0
+    for part, rows in sorted(held.groupBy(F.shiftright("at", 33)).count().collect()):  # as many rows as files were written
+        offsets.append((part, n))
+        n += rows
+    table = F.broadcast(df.sparkSession.createDataFrame(offsets, "part bigint, offset bigint"))
+    return held.join(table, F.shiftright("at", 33) == F.col("part")).withColumn("no", F.col("offset") + F.col("at") % (1 << 33)).drop("at", "part", "offset"), n
+
+
+def light_bound(tokens: DataFrame) -> int:
+    """How many classes a token may hold to be joined pair by pair, so that the others' bit sets fit into a block."""
+    left, bound = BLOCK_BYTES * 8 // BUCKET, LIGHT
+    for r in tokens.where(F.col("k") > LIGHT).groupBy("k").count().orderBy(F.desc("k")).toLocalIterator():
+        left -= r["count"]
+        if left < 0:
+            return r["k"]
+    return bound
+
+
+def neighbours(groups: DataFrame) -> DataFrame:
+    """groups(class, set, weight) -> class, others (sites of other classes that share a token), best (the largest Jaccard
+    similarity with another class, 0.0 if there is none)."""
+    spark = groups.sparkSession
+    ship(spark)
+    table, total = numbered(groups.withColumn("n", F.size("set")), "classes")
+    posts = table.select("no", F.explode("set").alias("token"))
+    tokens, _ = stage(posts.groupBy("token").agg(F.count("*").alias("k")).where("k > 1"), "tokens")
+    bound = light_bound(tokens)
+    few = posts.join(tokens.where(F.col("k") <= bound).select("token"), "token")
+    pairs = few.select("token", F.col("no").alias("i")).join(few.select("token", F.col("no").alias("j")), "token").where("i <> j").groupBy("i", "j").agg(F.count("*").cast("int").alias("common"))
+    near = pairs.groupBy("i").agg(F.collect_list("j").alias("near"), F.collect_list("common").alias("common"))
+    many, n_many = numbered(tokens.where(F.col("k") > bound).select("token"), "many")
+    crowd, _ = stage(posts.withColumnRenamed("no", "i").join(many, "token").select("i", "no"), "crowd")
+    own = crowd.groupBy("i").agg(F.collect_list("no").alias("many"))
+    rows = table.select("no", "class", "n").join(near, F.col("no") == F.col("i"), "left").drop("i").join(own, F.col("no") == F.col("i"), "left").drop("i")
+    rows, _ = stage(rows, "rows")
+    width = max(BUCKET, min(BLOCK, BLOCK_BYTES * 8 // max(1, n_many) // BUCKET * BUCKET))
+    parts = [_block(rows, table, crowd, n_many, at, min(width, total - at)) for at in range(0, total, width)]
+    if not parts:
+        return table.select("class", F.lit(0).cast("bigint").alias("others"), F.lit(0.0).alias("best"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.groupBy("class").agg(F.sum("others").alias("others"), F.max("best").alias("best"))
+
+
+def _block(rows: DataFrame, table: DataFrame, crowd: DataFrame, n_many: int, start: int, width: int) -> DataFrame:
+    """What the classes numbered start to start + width give each class; at most BLOCK_BYTES of bit sets reach the driver."""
+    inside = (F.col("i") >= start) & (F.col("i") < start + width)
+    one = F.col("i") - start + 1  # Spark's bitmaps count from one
+    sets = np.zeros((n_many, -(-width // BUCKET) * BUCKET // 8), np.uint8)
+    if n_many:
+        found = crowd.where(inside).groupBy("no", F.bitmap_bucket_number(one).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(one)).alias("bits"))
+        for r in found.toLocalIterator():
+            at = (r["bucket"] - 1) * BUCKET // 8
+            sets[r["no"], at : at + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+    sizes, weights = np.zeros(width, np.int64), np.zeros(width, np.int64)
+    for batch in table.where((F.col("no") >= start) & (F.col("no") < start + width)).select("no", "n", "weight").toArrow().to_batches():
+        no = batch.column(0).to_numpy() - start
+        sizes[no], weights[no] = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+    held = rows.sparkSession.sparkContext.broadcast((sets, sizes, weights))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, sizes, weights = held.value
+        for batch in batches:
+            others, best = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            for at, (no, n, near, common, many) in enumerate(zip(*(batch.column(c) for c in ("no", "n", "near", "common", "many")))):
+                no, n = no.as_py() - start, n.as_py()
+                if many.is_valid:
+                    shared = np.zeros(len(sizes), np.int64)
+                    for k in many.values.to_numpy():
+                        shared += np.unpackbits(sets[k], count=len(sizes), bitorder="little")
+                    j = None
+                elif not near.is_valid:
+                    continue
+                if near.is_valid:
+                    j = near.values.to_numpy() - start
+                    here = (j >= 0) & (j < len(sizes))
+                    j, more = j[here], common.values.to_numpy()[here]
+                    if many.is_valid:
+                        shared[j] += more
+                if many.is_valid:
+                    if 0 <= no < len(sizes):
+                        shared[no] = 0
+                    j = np.flatnonzero(shared)
+                    more = shared[j]
+                if len(j):
+                    others[at] = weights[j].sum()
+                    best[at] = (more / (n + sizes[j] - more)).max()
+            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(others), pa.array(best)], names=["class", "others", "best"])
+
+    return rows.select("class", "no", "n", "near", "common", "many").mapInArrow(run, "class string, others bigint, best double")
+
+
+def _told(sites: DataFrame, key: str, tokens: str, value, out: str) -> DataFrame:
+    """key, out: the ``value`` of a site's class (weight, others, best), null for sites without tokens."""
+    member, groups = classes(sites, key, tokens)
+    groups, _ = stage(groups, "groups")
+    found = neighbours(groups).join(groups.select("class", "weight"), "class").select("class", value.alias(out))
+    return sites.select(key).join(member.join(found, "class").select(F.col("site").alias(key), out), key, "left")
 
 
 def max_similarity(sites: DataFrame, key: str, tokens: str, out: str = "max_structure_similarity_other_site") -> DataFrame:
     """key, out: the largest Jaccard similarity with another site's set; 0.0 where there is none."""
-    member, groups = classes(sites, key, tokens)
-    size = groups.select("class", F.size("set").alias("n"), "weight")
-    pairs = overlaps(groups).join(size.selectExpr("class as i", "n as ni"), "i").join(size.selectExpr("class as j", "n as nj"), "j")
-    best = pairs.groupBy("i").agg(F.max(F.col("common") / (F.col("ni") + F.col("nj") - F.col("common"))).alias("best"))
-    scored = size.join(best, size["class"] == best["i"], "left").select("class", F.when(F.col("weight") > 1, 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias(out))
-    found = member.join(scored, "class").select(F.col("site").alias(key), out)
-    return sites.select(key).join(found, key, "left").select(key, F.coalesce(out, F.lit(0.0)).alias(out))
+    best = F.when(F.col("weight") > 1, 1.0).otherwise(F.col("best"))
+    return _told(sites, key, tokens, best, out).select(key, F.coalesce(out, F.lit(0.0)).alias(out))
 
 
 def sharing_sites(sites: DataFrame, key: str, tokens: str, out: str) -> DataFrame:
     """key, out: number of other sites that share at least one token."""
-    member, groups = classes(sites, key, tokens)
-    weight = groups.select("class", "weight")
-    others = overlaps(groups).join(weight.withColumnRenamed("class", "j"), "j").groupBy("i").agg(F.sum("weight").alias("others"))
-    counted = weight.join(others, weight["class"] == others["i"], "left").select("class", (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias(out))
-    found = member.join(counted, "class").select(F.col("site").alias(key), out)
-    return sites.select(key).join(found, key, "left").select(key, F.coalesce(out, F.lit(0)).cast("bigint").alias(out))
+    return _told(sites, key, tokens, F.col("weight") - 1 + F.col("others"), out).select(key, F.coalesce(out, F.lit(0)).cast("bigint").alias(out))
 
 
 def add_cross_site_features(sites: DataFrame, key: str = "input_url") -> DataFrame:

@@ -104,17 +104,18 @@ def parse_page(html: str | None, url: str | None) -> dict | None:
 
 
 def html_facts(pages: DataFrame, url: str = "url") -> DataFrame:
-    """All columns of ``pages`` and ``facts``, a struct that is null where extraction failed.
+    """The columns of ``pages`` without the html, and ``facts``, a struct that is null where extraction failed.
 
-    The function is opaque to the optimizer: select the columns that are needed first.
+    The page goes to the parser and does not come back: compute what else needs it before.  The function is opaque to
+    the optimizer, so select the columns that are needed first.
     """
     ship(pages.sparkSession)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema) + f", facts struct<{_struct(HTML_FACTS)}>"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name != "html") + f", facts struct<{_struct(HTML_FACTS)}>"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             frame["facts"] = [parse_page(h, u) for h, u in zip(frame["html"], frame[url])]
-            yield frame
+            yield frame.drop(columns=["html"])
 
     return pages.mapInPandas(run, schema)
 

@@ -1,14 +1,21 @@
-"""Raw site features -> numeric, complete model matrix, with two driver actions at most: one row of aggregates each."""
+"""Raw site features -> numeric, complete model matrix; what reaches the driver is a few rows of aggregates."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType
 
 from lodestead import config as C
+from lodestead import sinks
+from lodestead.session import stage
 
 EMPTY = "array<string>"
+NUMBER = r"(?i)^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?\s*$|^\s*[+-]?inf(?:inity)?\s*$"
+#: Relative error of the sketch that brackets a median before it is counted exactly.
+ACCURACY = 10_000
 
 
 def listlike(df: DataFrame, name: str) -> Column:
@@ -27,9 +34,10 @@ def parse_list(text: Column) -> Column:
 
 
 def number(c: Column) -> Column:
-    """DOUBLE, null where it is no number."""
+    """DOUBLE, null where it is no number; a text like 1d is none."""
     d = c.try_cast("double")
-    return F.when(~F.isnan(d), d)
+    plain = (F.typeof(c) != "string") | c.cast("string").rlike(NUMBER)
+    return F.when(plain & ~F.isnan(d), d)
 
 
 def to_bool(c: Column) -> Column:
@@ -102,13 +110,36 @@ def features(df: DataFrame, max_pages: float | None, year_now: int, min_pages_fo
 
 
 def profile(df: DataFrame, columns: list[str]) -> dict[str, dict]:
-    """Per column count, min, max and exact median, and the number of rows, in one aggregation."""
-    parts = [F.count("*").alias("rows")]
+    """Per column count, min, max and exact median, and the number of rows.
+
+    A sketch of bounded size tells between which two values a median lies; only values between them are counted one by
+    one, so no task holds a column's distinct values.  ``df`` is read three times and should be staged.
+    """
+    parts, near = [F.count("*").alias("rows")], F.array(F.lit(0.5 - 2 / ACCURACY), F.lit(0.5 + 2 / ACCURACY))
     for i, c in enumerate(columns):
         v = F.col(f"`{c}`").cast("double")
-        parts += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), F.median(v).alias(f"med{i}")]
+        parts += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), F.percentile_approx(v, near, ACCURACY).alias(f"at{i}")]
     row = df.agg(*parts).first()
-    return {"": {"rows": row["rows"]}} | {c: {"n": row[f"n{i}"], "lo": row[f"lo{i}"], "hi": row[f"hi{i}"], "median": row[f"med{i}"]} for i, c in enumerate(columns)}
+    out = {"": {"rows": row["rows"]}} | {c: {"n": row[f"n{i}"], "lo": row[f"lo{i}"], "hi": row[f"hi{i}"], "median": row[f"lo{i}"]} for i, c in enumerate(columns)}
+    wide = [i for i in range(len(columns)) if row[f"n{i}"] and row[f"lo{i}"] < row[f"hi{i}"]]
+    if not wide:
+        return out
+    value = {i: F.col(f"`{columns[i]}`").cast("double") for i in wide}
+    below = df.agg(*[F.count_if(value[i] < row[f"at{i}"][0]).alias(f"b{i}") for i in wide]).first()
+    # ranks of the two middle values among those that are not below the bracket
+    first = {i: (row[f"n{i}"] - 1) // 2 - below[f"b{i}"] for i in wide}
+    last = {i: row[f"n{i}"] // 2 - below[f"b{i}"] for i in wide}
+    inside = F.filter(F.array(*[F.when(value[i].between(*row[f"at{i}"]), F.struct(F.lit(i).alias("i"), value[i].alias("v"))) for i in wide]), lambda x: x.isNotNull())
+    counts = df.select(F.explode(inside).alias("x")).groupBy("x.i", "x.v").agg(F.count("*").alias("k")).toDF("i", "v", "k")
+    rank = F.sum("k").over(Window.partitionBy("i").orderBy("v"))
+    wanted = df.sparkSession.createDataFrame([(i, r) for i in wide for r in (first[i], last[i])], "i int, r bigint")
+    found = counts.withColumn("to", rank).join(F.broadcast(wanted), "i").where((F.col("r") < F.col("to")) & (F.col("r") >= F.col("to") - F.col("k")))  # two rows a column
+    middle: dict[int, list[float]] = {}
+    for r in found.select("i", "v").collect():
+        middle.setdefault(r["i"], []).append(r["v"])
+    for i in wide:
+        out[columns[i]]["median"] = sum(middle[i]) / 2 if len(middle.get(i, ())) == 2 else df.agg(F.median(value[i])).first()[0]  # the sketch keeps its error, so the first
+    return out
 
 
 def complete(df: DataFrame, columns: list[str], stats: dict[str, dict], drop_constant: bool = True) -> tuple[DataFrame, dict]:
@@ -137,19 +168,32 @@ def complete(df: DataFrame, columns: list[str], stats: dict[str, dict], drop_con
     return df.select(*ids, *kept, *flags), report
 
 
-def build_model_matrix(source: DataFrame, year_now: int, min_pages_for_ratios: int = 3, drop_constant_columns: bool = True) -> tuple[DataFrame, dict]:
-    """(matrix, report).  ``year_now`` is a parameter, so that a run can be repeated."""
+def read_raw(spark: SparkSession, path: str) -> DataFrame:
+    """Raw features from a CSV file or folder, or from Parquet."""
+    return spark.read.option("header", True).csv(path) if path.rstrip("/").endswith(".csv") else spark.read.parquet(path)
+
+
+def build_model_matrix(
+    source: DataFrame | str, year_now: int | None = None, min_pages_for_ratios: int = 3, drop_constant_columns: bool = True, output_csv: str | None = None, spark: SparkSession | None = None
+) -> tuple[DataFrame, dict]:
+    """(matrix, report) of a table of raw features or of one at a path.  ``year_now`` is a parameter, so that a run can be
+    repeated; this year by default.  With ``output_csv`` the matrix is written there too."""
+    if isinstance(source, str):
+        source = read_raw(spark or SparkSession.builder.getOrCreate(), source)
     if "pages_crawled" not in source.columns:
         raise KeyError("pages_crawled")
-    most = source.agg(F.max(number(F.col("pages_crawled")))).first()[0]
-    pre = features(source, most, year_now, min_pages_for_ratios)
-    columns = [c for c in pre.columns if c not in C.ID_COLUMNS]
-    pre = pre.persist()
-    stats = profile(pre, columns)
-    out, report = complete(pre, columns, stats, drop_constant_columns)
+    year_now = year_now or datetime.date.today().year
+    pages = number(F.col("pages_crawled"))
     failed = F.col("crawl_error").isNotNull() if "crawl_error" in source.columns else F.lit(False)
-    counted = source.agg(F.count("*"), F.count_if(failed), F.count_if(number(F.col("pages_crawled")) < min_pages_for_ratios)).first()
-    return out, {"n_rows_in": counted[0], "n_failed_crawls": counted[1], "n_tiny_crawls": counted[2]} | report
+    rows, n_failed, n_tiny, most = source.agg(F.count("*"), F.count_if(failed), F.count_if(pages < min_pages_for_ratios), F.max(pages)).first()
+    pre, _ = stage(features(source, most, year_now, min_pages_for_ratios), "features")
+    columns = [c for c in pre.columns if c not in C.ID_COLUMNS]
+    out, report = complete(pre, columns, profile(pre, columns), drop_constant_columns)
+    report = {"n_rows_in": rows, "n_failed_crawls": n_failed, "n_tiny_crawls": n_tiny} | report
+    if output_csv:
+        sinks.write_csv(out, output_csv)
+        report["output"] = output_csv
+    return out, report
 
 
 def report_table(spark, report: dict) -> DataFrame:

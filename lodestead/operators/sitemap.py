@@ -15,12 +15,15 @@ from lodestead.functions import urls as U
 from lodestead.session import ship, stage
 
 
+GZIP = b"\x1f\x8b"
+
+
 def decode(content: bytes | None, url: str) -> str | None:
     """Text of a fetched sitemap, None if it cannot be unpacked."""
     if content is None:
         return None
     try:
-        if url.lower().endswith(".gz") or content[:2] == b"\x1f\x8b":
+        if url.lower().endswith(".gz") or content[:2] == GZIP:
             content = gzip.decompress(content)
         return content.decode("utf-8", "ignore")
     except (OSError, EOFError):
@@ -85,10 +88,10 @@ def lastmod_date(text: Column) -> Column:
     return F.try_to_date(F.substring(F.trim(text), 1, 10), "yyyy-M-d")
 
 
-def inventory_urls(urls: DataFrame, key: str = "site_key") -> DataFrame:
+def inventory_urls(urls: DataFrame, key: str = "site_key", expected: tuple[str, ...] = EXPECTED_SECTIONS) -> DataFrame:
     """(key, url) of same-domain URLs -> features of the list; sites without any are absent."""
     u = F.col("url")
-    sections = [F.when(F.bool_or(F.lower(u).contains(s)), F.lit(s)) for s in EXPECTED_SECTIONS]
+    sections = [F.when(F.bool_or(F.lower(u).contains(s)), F.lit(s)) for s in expected]
     out = urls.groupBy(key).agg(
         F.count("*").alias("sitemap_url_count"), F.max(U.path_depth(u)).alias("sitemap_max_depth"), F.avg(U.path_depth(u)).alias("sitemap_avg_depth"),
         F.count_distinct(U.top_directory(u)).alias("sitemap_n_top_dirs"), F.avg(U.has_query(u).cast("double")).alias("sitemap_pct_query_urls"),
@@ -102,13 +105,13 @@ def lastmod_features(dates: DataFrame, as_of: Column, key: str = "site_key") ->
     return dates.groupBy(key).agg(F.count(d).alias("n_dates"), F.datediff(as_of, F.max(d)).alias("sitemap_days_since_last_update"), F.datediff(F.max(d), F.min(d)).alias("sitemap_lastmod_span_days"))
 
 
-def sitemap_features(inventory: DataFrame, domains: DataFrame, as_of: Column) -> DataFrame:
+def sitemap_features(inventory: DataFrame, domains: DataFrame, as_of: Column, suffixes: tuple[str, ...] = ()) -> DataFrame:
     """inventory(site_key, urls, lastmods, ...) and domains(site_key, registered_domain) -> the sitemap columns.
 
     A site without same-domain URLs has count 0 and nulls.  Lastmods of all URLs count, whatever their domain.
     """
     base = inventory.join(domains, "site_key")
-    same = base.select("site_key", "registered_domain", F.explode("urls").alias("url")).where(U.registered_domain(F.col("url")) == F.col("registered_domain"))
+    same = base.select("site_key", "registered_domain", F.explode("urls").alias("url")).where(U.registered_domain(F.col("url"), suffixes) == F.col("registered_domain"))
     lists, mods = inventory_urls(same), lastmod_features(inventory.select("site_key", F.explode("lastmods").alias("lastmod")), as_of)
     out = inventory.drop("urls", "lastmods").join(lists, "site_key", "left").join(mods, "site_key", "left")
     some = F.col("sitemap_url_count").isNotNull()

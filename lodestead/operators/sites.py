@@ -22,15 +22,17 @@ def boilerplate(pages: DataFrame) -> DataFrame:
     """site_key, boilerplate_ratio: share of the landing page's shingles that stand on max(2, n div 2) pages or more;
     null below 3 pages or if the landing page has none."""
     n = pages.groupBy("site_key").agg(F.count("*").alias("n"))
-    each = pages.select("site_key", "page_seq", F.explode("shingles").alias("shingle"))
-    counts = each.groupBy("site_key", "shingle").agg(F.count("*").alias("on"), F.max((F.col("page_seq") == 0).cast("int")).alias("landing"))
-    landing = counts.where("landing = 1").join(n, "site_key")
-    out = landing.groupBy("site_key").agg(F.avg((F.col("on") >= F.greatest(F.lit(2), F.expr("n div 2"))).cast("double")).alias("boilerplate_ratio"), F.first("n").alias("n"))
+    first = pages.where("page_seq = 0").select("site_key", F.col("shingles").alias("landing"))
+    # only the landing page's shingles are counted, so nothing else is exploded
+    each = pages.select("site_key", "shingles").join(first, "site_key").select("site_key", F.explode(F.array_intersect("shingles", "landing")).alias("shingle"))
+    counts = each.groupBy("site_key", "shingle").agg(F.count("*").alias("on")).join(n, "site_key")
+    out = counts.groupBy("site_key").agg(F.avg((F.col("on") >= F.greatest(F.lit(2), F.expr("n div 2"))).cast("double")).alias("boilerplate_ratio"), F.first("n").alias("n"))
     return out.select("site_key", F.when(F.col("n") >= 3, F.col("boilerplate_ratio")).alias("boilerplate_ratio"))
 
 
-def aggregate_sites(pages: DataFrame) -> DataFrame:
-    """site_key and all aggregates that need pages only; ``site_domain`` must be among the columns of ``pages``."""
+def aggregate_sites(pages: DataFrame, suffixes: tuple[str, ...] = ()) -> DataFrame:
+    """site_key and all aggregates that need pages only; ``site_domain`` must be among the columns of ``pages``, which are
+    read more than once and so should be staged, and at most a site's page cap of them, as their hashes are listed."""
     n = F.count("*")
 
     def total(c: str) -> Column:
@@ -42,7 +44,7 @@ def aggregate_sites(pages: DataFrame) -> DataFrame:
     def any_of(c: str) -> Column:
         return F.coalesce(F.bool_or(c), F.lit(False))
 
-    on_domain = F.size(F.filter("mailto_domains", lambda d: U.registered_domain(F.concat(F.lit("http://"), d)) == F.col("site_domain")))
+    on_domain = F.size(F.filter("mailto_domains", lambda d: U.registered_domain(F.concat(F.lit("http://"), d), suffixes) == F.col("site_domain")))
     years = F.filter("copyright_years", lambda y: y.between(1990, 2100))
     site = pages.withColumns({"_on": on_domain, "_hi": F.array_max(years), "_lo": F.array_min(years)}).groupBy("site_key").agg(
         n.alias("pages_crawled"), total("a_tag_count").alias("total_a_tags"), length("internal_links").alias("total_internal_links"), total("external_link_count").alias("total_external_links"),

@@ -1,7 +1,8 @@
 """The registered queries of the site feature engine, each over whole tables, and their DuckDB oracles.
 
-The supplied pages have three registrable domains, so the host stands for the site.  Where a table is named for lack of
-crawl data (events, orders, ...), it plays the part of the crawl table with the same shape.
+The host stands for the site.  Pages and their addresses are derived from the supplied ones (``plans.derived``), so that
+what the engine looks for is there to be found; where a table is named for lack of crawl data (events, orders, ...), it
+plays the part of the crawl table with the same shape.
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ from lodestead.config import FeatureConfig
 from lodestead.functions import patterns as R
 from lodestead.functions import text as T
 from lodestead.functions import urls as U
-from lodestead.operators import crawl, cross_site, html, matrix, pages, sitemap, sites
-from lodestead.session import ship
+from lodestead.operators import crawl, cross_site, domain, html, matrix, pages, sitemap, sites
+from lodestead.plans import derived as D
+from lodestead.session import ship, stage
 from lodestead.sinks import todo
 from lodestead.sources import institutions
 
@@ -46,63 +48,76 @@ def big(c) -> F.Column:
     return c.cast("bigint")
 
 
-HOST = "lower(split_part(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1), ':', 1))"
-PATH = "regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1)"
-TAGS = "list_transform(regexp_extract_all(html, '<([a-zA-Z][^\\s/>]*)', 1), lambda t: lower(t))"
-HASHED = f"(SELECT {HOST} AS site, page_id, url, html, sha1(array_to_string({TAGS}, '|')) AS structure_hash FROM pages)"
+P = D.PAGES
+HOST, PATH = D.host("url"), D.path("url")
 WORDS = "regexp_extract_all(text, '\\S+')"
 SHINGLES = f"""(SELECT doc_id, source, list_distinct(list_transform(range(1, len(w) - 3), lambda i: substr(md5(array_to_string(w[i:i+4], ' ')), 1, 12))) AS s
 FROM (SELECT doc_id, source, {WORDS} AS w FROM documents))"""
 
 
-def tags_of(page: DataFrame) -> DataFrame:
-    """site, page_id, url, html, structure_hash: the tag sequence by regex, without leaving the JVM."""
-    tags = F.transform(F.regexp_extract_all("html", F.lit(r"<([a-zA-Z][^\s/>]*)"), F.lit(1)), F.lower)
-    return page.select(U.host(F.col("url")).alias("site"), "page_id", "url", "html", F.sha1(F.array_join(tags, "|").cast("binary")).alias("structure_hash"))
+def derived_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.pages(table(spark, sf_dir, "pages"))
+
+
+def page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page features of all derived pages, staged; page_seq is the page_id."""
+    u = F.col("url")
+    rows = derived_pages(spark, sf_dir).select(U.host(u).alias("site_key"), F.col("page_id").alias("page_seq"), "url", U.registered_domain(u).alias("site_domain"), "html")
+    return stage(pages.page_features(rows), "pages")[0]
+
+
+def site_pages(spark: SparkSession, sf_dir: str, cap: int = 25) -> DataFrame:
+    """The first pages of each site, numbered from 0."""
+    page = crawl.page_cap(page_table(spark, sf_dir), FeatureConfig(max_pages_per_site=cap))
+    return stage(page.withColumn("site_domain", U.registered_domain(F.col("url"))), "pages")[0]
+
+
+def site_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(sites.aggregate_sites(site_pages(spark, sf_dir)), "sites")[0]
 
 
 # URLs
 
 
-@query("SELECT page_id, CASE WHEN regexp_matches(u, '(?i)^https?://') THEN u ELSE 'https://' || u END AS normalized, rtrim(split_part(url, '#', 1), '/') AS canonical FROM (SELECT page_id, url, regexp_replace(url, '^\\s+|\\s+$', '', 'g') AS u FROM pages)")
+@query(f"SELECT page_id, CASE WHEN regexp_matches(u, '(?i)^https?://') THEN u ELSE 'https://' || u END AS normalized, rtrim(split_part(url, '#', 1), '/') AS canonical FROM (SELECT page_id, url, regexp_replace(url, '^\\s+|\\s+$', '', 'g') AS u FROM {P})")
 def url_normalize(spark, sf_dir):
     u = F.col("url")
-    return table(spark, sf_dir, "pages").select("page_id", U.normalize_url(u).alias("normalized"), U.canonical_url(u).alias("canonical"))
+    return derived_pages(spark, sf_dir).select("page_id", U.normalize_url(u).alias("normalized"), U.canonical_url(u).alias("canonical"))
 
 
-@query(f"SELECT page_id, h AS host, CASE WHEN len(string_split(h, '.')) > 2 THEN array_to_string(string_split(h, '.')[-2:], '.') ELSE h END AS domain, CASE WHEN contains(h, '.') THEN string_split(h, '.')[-1] ELSE '' END AS tld FROM (SELECT page_id, {HOST} AS h FROM pages)")
+@query(f"SELECT page_id, h AS host, CASE WHEN len(string_split(h, '.')) > 2 THEN array_to_string(string_split(h, '.')[-2:], '.') ELSE h END AS domain, CASE WHEN contains(h, '.') THEN string_split(h, '.')[-1] ELSE '' END AS tld FROM (SELECT page_id, {HOST} AS h FROM {P})")
 def url_host_tld(spark, sf_dir):
     u = F.col("url")
-    return table(spark, sf_dir, "pages").select("page_id", U.host(u).alias("host"), U.registered_domain(u).alias("domain"), U.tld(u).alias("tld"))
+    return derived_pages(spark, sf_dir).select("page_id", U.host(u).alias("host"), U.registered_domain(u).alias("domain"), U.tld(u).alias("tld"))
 
 
-@query(f"SELECT page_id, len(list_filter(string_split(p, '/'), lambda x: x <> ''))::BIGINT AS depth, nullif(lower(string_split(p, '/')[2]), '') AS top_dir, contains(url, '?') AS has_query FROM (SELECT page_id, url, {PATH} AS p FROM pages)")
+@query(f"SELECT page_id, len(list_filter(string_split(p, '/'), lambda x: x <> ''))::BIGINT AS depth, nullif(lower(string_split(p, '/')[2]), '') AS top_dir, contains(url, '?') AS has_query FROM (SELECT page_id, url, {PATH} AS p FROM {P})")
 def url_path_depth(spark, sf_dir):
     u = F.col("url")
-    return table(spark, sf_dir, "pages").select("page_id", big(U.path_depth(u)).alias("depth"), U.top_directory(u).alias("top_dir"), U.has_query(u).alias("has_query"))
+    return derived_pages(spark, sf_dir).select("page_id", big(U.path_depth(u)).alias("depth"), U.top_directory(u).alias("top_dir"), U.has_query(u).alias("has_query"))
 
 
 @query(f"""SELECT site, count(*) AS url_count, max(depth) AS max_depth, round(avg(depth), 6) AS avg_depth, count(DISTINCT top) AS top_dirs, round(avg(q), 6) AS pct_query, count(*) FILTER (pdf) AS pdf_count
 FROM (SELECT site, len(list_filter(string_split(p, '/'), lambda x: x <> ''))::BIGINT AS depth, nullif(lower(string_split(p, '/')[2]), '') AS top, contains(url, '?')::INT AS q, ends_with(split_part(lower(url), '?', 1), '.pdf') AS pdf
-FROM (SELECT url, {HOST} AS site, {PATH} AS p FROM pages)) GROUP BY site""")
+FROM (SELECT url, {HOST} AS site, {PATH} AS p FROM {P})) GROUP BY site""")
 def url_inventory_features(spark, sf_dir):
-    out = sitemap.inventory_urls(table(spark, sf_dir, "pages").select(U.host(F.col("url")).alias("site"), "url"), "site")
+    out = sitemap.inventory_urls(derived_pages(spark, sf_dir).select(U.host(F.col("url")).alias("site"), "url"), "site")
     return out.select("site", F.col("sitemap_url_count").alias("url_count"), big(F.col("sitemap_max_depth")).alias("max_depth"), F.round("sitemap_avg_depth", 6).alias("avg_depth"), F.col("sitemap_n_top_dirs").alias("top_dirs"), F.round("sitemap_pct_query_urls", 6).alias("pct_query"), F.col("sitemap_pdf_count").alias("pdf_count"))
 
 
 SECTIONS = ("blog", "en", "fr")
 
 
-@query(f"SELECT site, concat_ws(',', {', '.join(f'''CASE WHEN bool_or(contains(lower(url), '{s}')) THEN '{s}' END''' for s in SECTIONS)}) AS sections FROM (SELECT url, {HOST} AS site FROM pages) GROUP BY site")
+@query(f"SELECT site, {D.SECTIONS_SQL} AS sections FROM (SELECT url, {HOST} AS site FROM {P}) GROUP BY site")
 def expected_sections(spark, sf_dir):
-    df = table(spark, sf_dir, "pages").select(U.host(F.col("url")).alias("site"), F.lower("url").alias("u"))
-    return df.groupBy("site").agg(F.concat_ws(",", *[F.when(F.bool_or(F.col("u").contains(s)), F.lit(s)) for s in SECTIONS]).alias("sections"))
+    out = sitemap.inventory_urls(derived_pages(spark, sf_dir).select(U.host(F.col("url")).alias("site"), "url"), "site")
+    return out.select("site", F.array_join("sitemap_expected_sections", ",").alias("sections"))
 
 
-@query("SELECT page_id, split_part(url, '?', 1) AS plain, ends_with(split_part(lower(url), '?', 1), '.pdf') AS is_pdf FROM pages")
+@query(f"SELECT page_id, split_part(url, '?', 1) AS plain, ends_with(split_part(lower(url), '?', 1), '.pdf') AS is_pdf FROM {P}")
 def pdf_links(spark, sf_dir):
     u = F.col("url")
-    return table(spark, sf_dir, "pages").select("page_id", U.strip_query(u).alias("plain"), U.is_pdf(u).alias("is_pdf"))
+    return derived_pages(spark, sf_dir).select("page_id", U.strip_query(u).alias("plain"), U.is_pdf(u).alias("is_pdf"))
 
 
 @query("SELECT url AS input_url, count(*) AS n_institutions, min(id) AS first_id FROM (SELECT s_suppkey::VARCHAR AS id, 'https://' || lower(n_name) || '.edu' AS url FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_acctbal > 0) GROUP BY url")
@@ -122,71 +137,60 @@ def word_count(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.word_count(F.col("text")).alias("words"))
 
 
-@query("SELECT page_id, octet_length(encode(html))::BIGINT AS html_bytes, round(octet_length(encode(url))::DOUBLE / nullif(octet_length(encode(html)), 0), 6) AS ratio FROM pages")
+@query(f"SELECT page_id, octet_length(encode(html))::BIGINT AS html_bytes, round(octet_length(encode(url))::DOUBLE / nullif(octet_length(encode(html)), 0), 6) AS ratio FROM {P}")
 def byte_lengths(spark, sf_dir):
     h, u = T.byte_length(F.col("html")), T.byte_length(F.col("url"))
-    return table(spark, sf_dir, "pages").select("page_id", h.alias("html_bytes"), F.round(sites.ratio(u, h), 6).alias("ratio"))
+    return derived_pages(spark, sf_dir).select("page_id", h.alias("html_bytes"), F.round(sites.ratio(u, h), 6).alias("ratio"))
 
 
-@query(f"SELECT page_id, structure_hash FROM {HASHED}")
+@query(f"SELECT page_id AS page_seq, structure_hash FROM {D.FACTS}")
 def tag_sequence_hash(spark, sf_dir):
-    return tags_of(table(spark, sf_dir, "pages")).select("page_id", "structure_hash")
+    return page_table(spark, sf_dir).select("page_seq", "structure_hash")
 
 
-@query("SELECT page_id, len(regexp_extract_all(html, '<a\\s[^>]*href'))::BIGINT AS anchors FROM pages")
+@query(f"SELECT page_id, len(hrefs)::BIGINT AS anchors, array_to_string(links, ' ') AS links FROM {D.FACTS}")
 def anchor_count(spark, sf_dir):
-    facts = html.html_facts(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return facts.select("page_id", big(F.size("facts.anchors")).alias("anchors"))
-
-
-TRACKERS = {"ga_ua": (R.GA_UA, "\\bUA-\\d{4,10}-\\d{1,4}\\b"), "ga4": (R.GA4, "\\bG-[A-Z0-9]{6,14}\\b"), "gtm": (R.GTM, "\\bGTM-[A-Z0-9]{4,10}\\b")}
+    u = F.col("url")
+    facts = html.html_facts(derived_pages(spark, sf_dir).select("page_id", "url", "html"))
+    kinds = pages.link_kinds(F.col("facts.anchors"), U.registered_domain(u))
+    return facts.select("page_id", big(F.size("facts.anchors")).alias("anchors"), F.array_join(F.transform(kinds, lambda x: x["url"]), " ").alias("links"))
 
 
-@query("SELECT source, " + ", ".join(f"array_to_string(list_sort(list_distinct(flatten(list(regexp_extract_all(text, '{p}'))))), ',') AS {n}" for n, (_, p) in TRACKERS.items()) + " FROM documents GROUP BY source")
+@query(D.shown_sql(*D.IDS))
 def tracker_ids(spark, sf_dir):
-    df = table(spark, sf_dir, "documents").select("source", *[R.found_set(F.col("text"), p).alias(n) for n, (p, _) in TRACKERS.items()])
-    return df.groupBy("source").agg(*[F.array_join(sites.union_of(n), ",").alias(n) for n in TRACKERS])
+    return D.shown(site_table(spark, sf_dir), *D.IDS)
 
 
-@query("SELECT doc_id, len(regexp_extract_all(text, '(?:\\+?1[\\s.-]?)?\\(?\\d{3}\\)?[\\s.-]\\d{3}[\\s.-]\\d{4}'))::BIGINT AS phones FROM documents")
+@query(f"SELECT doc_id, len({D.all_of('text', R.PHONE.replace('(?U)', ''))})::BIGINT AS phones FROM documents")
 def phone_hits(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", R.count(F.col("text"), R.PHONE).alias("phones"))
 
 
-SUFFIXES = "Street|St\\.?|Avenue|Ave\\.?|Boulevard|Blvd\\.?|Road|Rd\\.?|Drive|Dr\\.?|Lane|Ln\\.?|Way|Court|Ct\\.?|Place|Pl\\.?|Circle|Parkway|Pkwy\\.?"
-
-
-@query(f"SELECT doc_id, regexp_matches(t, '(?i)\\b\\d{{1,6}}\\s+\\w[\\w\\s.]{{0,40}}?(?:{SUFFIXES})\\b') AND regexp_matches(t, '\\b\\d{{5}}(?:-\\d{{4}})?\\b') AS has_address FROM (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g') AS t FROM documents)")
+@query(f"SELECT page_id, regexp_matches(t, '{R.STREET.replace('(?iu)(?U)', '(?i)')}') AND regexp_matches(t, '{R.ZIP.replace('(?U)', '')}') AS has_address FROM (SELECT page_id, regexp_replace(html, '[^\\x00-\\x7F]', '_', 'g') AS t FROM {P})")
 def street_zip(spark, sf_dir):
-    plain = F.regexp_replace("text", r"[^\x00-\x7F]", "_")  # the oracle's classes are ASCII only
-    return table(spark, sf_dir, "documents").select("doc_id", R.has_street_address(plain).alias("has_address"))
+    plain = F.regexp_replace("html", r"[^\x00-\x7F]", "_")  # the oracle's classes are ASCII only
+    return derived_pages(spark, sf_dir).select("page_id", R.has_street_address(plain).alias("has_address"))
 
 
-@query("SELECT source, min(y) AS min_year, max(y) AS max_year FROM (SELECT source, unnest(list_filter(list_transform(regexp_extract_all(text, '(?i)(?:©|&copy;|copyright|in)\\s*(?:\\d{4}\\s*[-–]\\s*)?(\\d{4})', 1), lambda x: x::INT), lambda x: x BETWEEN 1990 AND 2100)) AS y FROM documents) GROUP BY source")
+@query(f"SELECT page_id, array_to_string(list_transform({D.all_of('html', D.YEARS, 1)}, lambda y: y::INT), ',') AS years FROM {P}")
 def copyright_years(spark, sf_dir):
-    wider = R.COPYRIGHT_YEAR.replace("|copyright", "|copyright|in")  # the supplied texts have no copyright lines
-    years = F.transform(R.found_all(F.col("text"), wider, 1), lambda y: y.cast("int"))
-    df = table(spark, sf_dir, "documents").select("source", F.explode(F.filter(years, lambda y: y.between(1990, 2100))).alias("y"))
-    return df.groupBy("source").agg(F.min("y").alias("min_year"), F.max("y").alias("max_year"))
+    return derived_pages(spark, sf_dir).select("page_id", F.array_join(R.copyright_years(F.col("html")).cast("array<string>"), ",").alias("years"))
 
 
-@query("SELECT doc_id, len(regexp_extract_all(text, '(?i)@(gmail|yahoo|hotmail|outlook|aol|protonmail|icloud|mail)\\.(com|ru|net)'))::BIGINT AS free_email FROM documents")
+@query(f"SELECT page_id, len({D.all_of('html', D.FREE)})::BIGINT AS free_email FROM {P}")
 def free_email_hits(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", R.count(F.col("text"), R.FREE_EMAIL).alias("free_email"))
-
-
-def _named(patterns: dict[str, str]) -> str:
-    return "concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(substr(html, 1, 200000), '(?i){p}') THEN '{n}' END" for n, p in patterns.items()) + ")"
+    return derived_pages(spark, sf_dir).select("page_id", R.count(F.col("html"), R.FREE_EMAIL).alias("free_email"))
 
 
-@query(f"SELECT page_id, {_named(R.CSS_FRAMEWORKS)} AS frameworks FROM pages")
+@query(f"SELECT page_id, array_to_string({D.named(R.CSS_FRAMEWORKS)}, ',') AS frameworks FROM {P}")
 def css_frameworks(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.array_join(R.css_frameworks(F.col("html"), F.array().cast("array<string>"), FeatureConfig().prefix_chars), ",").alias("frameworks"))
+    head = R.css_in_head(F.col("html"), FeatureConfig().prefix_chars)
+    return derived_pages(spark, sf_dir).select("page_id", F.array_join(R.css_frameworks(head, F.array().cast("array<string>")), ",").alias("frameworks"))
 
 
-@query(f"SELECT page_id, {_named(R.SITE_BUILDERS)} AS builders FROM pages")
+@query(f"SELECT page_id, array_to_string({D.named(R.SITE_BUILDERS)}, ',') AS builders FROM {P}")
 def site_builders(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.array_join(R.site_builders(F.col("html"), FeatureConfig().prefix_chars), ",").alias("builders"))
+    return derived_pages(spark, sf_dir).select("page_id", F.array_join(R.site_builders(F.col("html"), FeatureConfig().prefix_chars), ",").alias("builders"))
 
 
 def shingled(spark, sf_dir) -> DataFrame:
@@ -198,103 +202,93 @@ def page_shingles(spark, sf_dir):
     return shingled(spark, sf_dir).select("doc_id", big(F.size("s")).alias("n"), F.md5(F.array_join(F.array_sort("s"), ",").cast("binary")).alias("digest"))
 
 
-@query(f"""WITH d AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS seq FROM {SHINGLES}), n AS (SELECT source, count(*) AS n FROM d GROUP BY source),
+COMMON = "CASE WHEN doc_id % 3 < 2 THEN 'this header line of nine words stands on many texts ' || text ELSE text END"
+
+
+@query(f"""WITH d AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS seq FROM {SHINGLES.replace("FROM documents", f"FROM (SELECT doc_id, source, {COMMON} AS text FROM documents)")}), n AS (SELECT source, count(*) AS n FROM d GROUP BY source),
 e AS (SELECT source, seq, unnest(s) AS x FROM d), c AS (SELECT source, x, count(*) AS k, bool_or(seq = 0) AS landing FROM e GROUP BY source, x)
 SELECT c.source, round(avg((k >= greatest(2, n // 2))::INT), 6) AS ratio FROM c JOIN n USING (source) WHERE landing AND n >= 3 GROUP BY c.source""")
 def boilerplate_ratio(spark, sf_dir):
-    first = table(spark, sf_dir, "documents").groupBy("source").agg(F.min("doc_id").alias("first"))
-    df = shingled(spark, sf_dir).join(first, "source")  # the landing page is the first; other places do not matter
-    pages_ = df.select(F.col("source").alias("site_key"), F.when(F.col("doc_id") == F.col("first"), 0).otherwise(1).alias("page_seq"), F.col("s").alias("shingles"))
-    out = sites.boilerplate(pages_).where("boilerplate_ratio is not null")
+    docs = table(spark, sf_dir, "documents")
+    first = docs.groupBy("source").agg(F.min("doc_id").alias("first"))  # the landing page is the first; other places do not matter
+    df = docs.selectExpr("doc_id", "source", f"{COMMON} AS text").join(F.broadcast(first.limit(10_000)), "source")
+    pages_ = df.select(F.col("source").alias("site_key"), F.when(F.col("doc_id") == F.col("first"), 0).otherwise(1).alias("page_seq"), T.shingles(F.col("text")).alias("shingles"))
+    out = sites.boilerplate(stage(pages_, "pages")[0]).where("boilerplate_ratio is not null")
     return out.select(F.col("site_key").alias("source"), F.round("boilerplate_ratio", 6).alias("ratio"))
 
 
 # Sites
 
 
-@query(f"SELECT site, count(*) AS pages, count(DISTINCT structure_hash) AS structures, round(count(DISTINCT structure_hash)::DOUBLE / count(*), 6) AS diversity FROM {HASHED} GROUP BY site")
+@query(D.shown_sql("pages_crawled", "unique_dom_structures", "dom_structure_diversity"))
 def structure_diversity(spark, sf_dir):
-    n = F.count("*")
-    return tags_of(table(spark, sf_dir, "pages")).groupBy("site").agg(n.alias("pages"), F.count_distinct("structure_hash").alias("structures"), F.round(F.count_distinct("structure_hash") / n, 6).alias("diversity"))
+    return D.shown(site_table(spark, sf_dir), "pages_crawled", "unique_dom_structures", "dom_structure_diversity")
 
 
-@query(f"SELECT site, arg_min(structure_hash, page_id) AS landing_hash, arg_min(octet_length(encode(html)), page_id)::BIGINT AS landing_bytes FROM {HASHED} GROUP BY site")
+@query(D.shown_sql("num_stylesheets_landing", "boilerplate_ratio", "structure_hashes"))
 def landing_page_attr(spark, sf_dir):
-    df = tags_of(table(spark, sf_dir, "pages")).withColumn("bytes", T.byte_length(F.col("html"))).drop("html")
-    return df.groupBy("site").agg(F.min_by("structure_hash", "page_id").alias("landing_hash"), F.min_by("bytes", "page_id").alias("landing_bytes"))
+    return D.shown(site_table(spark, sf_dir), "num_stylesheets_landing", "boilerplate_ratio", "structure_hashes")
 
 
-@query(f"SELECT {HOST} AS site, count(*) AS pages, sum(octet_length(encode(html)))::BIGINT AS total_html_bytes, sum(len(regexp_extract_all(html, '<a\\s[^>]*href')))::BIGINT AS total_a_tags, round(avg(len(regexp_extract_all(html, '<li>'))), 6) AS avg_items FROM pages GROUP BY site")
+@query(D.shown_sql("pages_crawled", "total_html_bytes", "total_a_tags", "total_words", "avg_words_per_page", "total_images", "img_alt_coverage", "text_to_html_ratio"))
 def site_volume_agg(spark, sf_dir):
-    df = table(spark, sf_dir, "pages").select(U.host(F.col("url")).alias("site"), T.byte_length(F.col("html")).alias("b"), R.count(F.col("html"), r"<a\s[^>]*href").alias("a"), R.count(F.col("html"), "<li>").alias("li"))
-    return df.groupBy("site").agg(F.count("*").alias("pages"), F.sum("b").alias("total_html_bytes"), F.sum("a").alias("total_a_tags"), F.round(F.avg("li"), 6).alias("avg_items"))
+    return D.shown(site_table(spark, sf_dir), "pages_crawled", "total_html_bytes", "total_a_tags", "total_words", "avg_words_per_page", "total_images", "img_alt_coverage", "text_to_html_ratio")
+
+
+FLAGS = ("has_favicon", "has_edu_schema_markup", "has_street_address", "uses_css_framework", "uses_site_builder", "pct_pages_meta_description", "pct_pages_og_tags", "pct_pages_canonical")
 
 
-@query("SELECT user_id, bool_or(event_type = 'purchase') AS any_purchase, round(avg((event_type = 'click')::INT), 6) AS pct_click, round(avg((value > 50)::INT), 6) AS pct_large FROM events GROUP BY user_id")
+@query(D.shown_sql(*FLAGS))
 def any_and_share_flags(spark, sf_dir):
-    e = F.col("event_type")
-    share = lambda c: F.round(F.avg(c.cast("double")), 6)
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.bool_or(e == "purchase").alias("any_purchase"), share(e == "click").alias("pct_click"), share(F.col("value") > 50).alias("pct_large"))
+    return D.shown(site_table(spark, sf_dir), *FLAGS)
 
 
-@query(f"""WITH s AS (SELECT DISTINCT site, structure_hash AS t FROM {HASHED}), n AS (SELECT site, count(*) AS n FROM s GROUP BY site),
+@query(f"""WITH s AS (SELECT DISTINCT site, structure_hash AS t FROM {D.FACTS}), n AS (SELECT site, count(*) AS n FROM s GROUP BY site),
 p AS (SELECT a.site AS i, b.site AS j, count(*) AS k FROM s a JOIN s b ON a.t = b.t AND a.site <> b.site GROUP BY 1, 2)
 SELECT n.site, round(coalesce(max(k::DOUBLE / (n.n + m.n - k)), 0.0), 6) AS similarity FROM n LEFT JOIN p ON p.i = n.site LEFT JOIN n m ON m.site = p.j GROUP BY n.site""")
 def max_structure_similarity(spark, sf_dir):
-    per = tags_of(table(spark, sf_dir, "pages")).groupBy("site").agg(F.collect_set("structure_hash").alias("tokens"))
+    per = page_table(spark, sf_dir).groupBy(F.col("site_key").alias("site")).agg(F.collect_set("structure_hash").alias("tokens"))
     return cross_site.max_similarity(per, "site", "tokens", "similarity").select("site", F.round("similarity", 6).alias("similarity"))
 
 
-@query("""WITH t AS (SELECT DISTINCT l_suppkey AS site, l_partkey AS t FROM lineitem WHERE l_quantity = 50 AND l_discount > 0.08)
+
+@query("""WITH t AS (SELECT DISTINCT l_suppkey AS site, l_partkey || ':' || l_quantity::INT || ':' || round(l_discount * 100)::INT AS t FROM lineitem)
 SELECT s_suppkey AS site, coalesce(k, 0)::BIGINT AS sharing FROM supplier LEFT JOIN (SELECT a.site, count(DISTINCT b.site) AS k FROM t a JOIN t b ON a.t = b.t AND a.site <> b.site GROUP BY a.site) x ON x.site = s_suppkey""")
 def shared_token_count(spark, sf_dir):
-    sold = table(spark, sf_dir, "lineitem").where("l_quantity = 50 and l_discount > 0.08").groupBy("l_suppkey").agg(F.collect_set(F.col("l_partkey").cast("string")).alias("tokens"))
+    sold = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.collect_set(F.concat_ws(":", "l_partkey", F.col("l_quantity").cast("int"), F.round(F.col("l_discount") * 100).cast("int"))).alias("tokens"))
     all_ = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("site")).join(sold, F.col("site") == F.col("l_suppkey"), "left")
     return cross_site.sharing_sites(all_.select("site", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens")), "site", "tokens", "sharing")
 
 
-@query("""WITH t AS (SELECT DISTINCT user_id AS site, event_type || ':' || floor(value)::BIGINT AS t FROM events UNION SELECT DISTINCT user_id, 'v' || floor(value * 10)::BIGINT FROM events WHERE value > 95)
+@query("""WITH t AS (SELECT DISTINCT user_id AS site, event_type || ':' || floor(value * 100)::BIGINT AS t FROM events UNION SELECT DISTINCT user_id, 'v' || floor(value * 100)::BIGINT FROM events)
 SELECT u.site, coalesce(k, 0)::BIGINT AS sharing FROM (SELECT DISTINCT user_id AS site FROM events) u LEFT JOIN (SELECT a.site, count(DISTINCT b.site) AS k FROM t a JOIN t b ON a.t = b.t AND a.site <> b.site GROUP BY a.site) x USING (site)""")
 def shared_tracker_union(spark, sf_dir):
-    v = F.col("value")
-    kinds = table(spark, sf_dir, "events").select("user_id", F.concat("event_type", F.lit(":"), F.floor(v).cast("string")).alias("a"), F.when(v > 95, F.concat(F.lit("v"), F.floor(v * 10).cast("string"))).alias("b"))
-    per = kinds.groupBy(F.col("user_id").alias("site")).agg(F.array_union(F.collect_set("a"), F.collect_set("b")).alias("tokens"))
-    return cross_site.sharing_sites(per, "site", "tokens", "sharing")
-
-
-@query("""WITH t AS (SELECT DISTINCT l_suppkey AS site, l_partkey AS t FROM lineitem)
-SELECT s_suppkey AS site, coalesce(k, 0)::BIGINT AS sharing FROM supplier LEFT JOIN (SELECT a.site, count(DISTINCT b.site) AS k FROM t a JOIN t b ON a.t = b.t AND a.site <> b.site GROUP BY a.site) x ON x.site = s_suppkey""")
-def shared_token_count_all(spark, sf_dir):
-    """As shared_token_count, over every row: common tokens too."""
-    sold = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.collect_set(F.col("l_partkey").cast("string")).alias("tokens"))
-    all_ = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("site")).join(sold, F.col("site") == F.col("l_suppkey"), "left")
-    return cross_site.sharing_sites(all_.select("site", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens")), "site", "tokens", "sharing")
-
-
-@query("""WITH t AS (SELECT DISTINCT user_id AS site, event_type || ':' || floor(value)::BIGINT AS t FROM events UNION SELECT DISTINCT user_id, 'v' || floor(value * 10)::BIGINT FROM events)
-SELECT u.site, coalesce(k, 0)::BIGINT AS sharing FROM (SELECT DISTINCT user_id AS site FROM events) u LEFT JOIN (SELECT a.site, count(DISTINCT b.site) AS k FROM t a JOIN t b ON a.t = b.t AND a.site <> b.site GROUP BY a.site) x USING (site)""")
-def shared_tracker_union_all(spark, sf_dir):
-    """As shared_tracker_union, with both kinds from every row."""
-    v = F.col("value")
-    kinds = table(spark, sf_dir, "events").select("user_id", F.concat("event_type", F.lit(":"), F.floor(v).cast("string")).alias("a"), F.concat(F.lit("v"), F.floor(v * 10).cast("string")).alias("b"))
-    per = kinds.groupBy(F.col("user_id").alias("site")).agg(F.array_union(F.collect_set("a"), F.collect_set("b")).alias("tokens"))
-    return cross_site.sharing_sites(per, "site", "tokens", "sharing")
+    """The pooled tokens of ``add_cross_site_features``: two kinds of the four are given."""
+    v, none = F.col("value"), F.array().cast("array<string>")
+    kinds = table(spark, sf_dir, "events").select("user_id", F.concat("event_type", F.lit(":"), F.floor(v * 100).cast("string")).alias("a"), F.concat(F.lit("v"), F.floor(v * 100).cast("string")).alias("b"))
+    per = kinds.groupBy(F.col("user_id").alias("input_url")).agg(F.collect_set("a").alias("ga_ua_ids"), F.collect_set("b").alias("gtm_ids"))
+    full = cross_site.add_cross_site_features(per.withColumns({c: none for c in ("ga4_ids", "fb_pixel_ids", "structure_hashes", "css_content_hashes")}))
+    return full.select(F.col("input_url").alias("site"), F.col("n_sites_sharing_tracker_id").alias("sharing"))
 
 
 @query(f"""WITH b AS (SELECT DISTINCT unnest(list_transform(range(1, len(w) - 3), lambda i: substr(md5(array_to_string(w[i:i+4], ' ')), 1, 12))) AS x FROM (SELECT {WORDS} AS w FROM benchmark)),
 d AS (SELECT doc_id, unnest(s) AS x FROM {SHINGLES}) SELECT doc_id, count(*) AS common FROM d JOIN b USING (x) GROUP BY doc_id""")
 def benchmark_shingle_overlap(spark, sf_dir):
-    bench = table(spark, sf_dir, "benchmark").select(F.explode(T.shingles(F.col("text"))).alias("x")).distinct()
+    bench, _ = stage(table(spark, sf_dir, "benchmark").select(F.explode(T.shingles(F.col("text"))).alias("x")).distinct(), "benchmark")
+    bench = F.broadcast(bench) if bench.count() < 200_000 else bench  # 12 digits each
     return shingled(spark, sf_dir).select("doc_id", F.explode("s").alias("x")).join(bench, "x").groupBy("doc_id").agg(F.count("*").alias("common"))
 
 
 # Joins
 
 
-@query("SELECT c_custkey, c_name, orders, total FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey")
+@query("SELECT c_custkey::VARCHAR AS id, 'https://site' || (c_custkey % 97) || '.edu' AS input_url, orders, total FROM customer LEFT JOIN (SELECT o_custkey % 97 AS k, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_custkey % 97 < 80 GROUP BY 1) ON k = c_custkey % 97")
 def left_join_features_back(spark, sf_dir):
-    per = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
-    return table(spark, sf_dir, "customer").join(per, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "c_name", "orders", "total")
+    """Customers are institutions that share sites; some sites have no features."""
+    site = lambda k: F.concat(F.lit("site"), (k % 97).cast("string"), F.lit(".edu"))
+    listed = institutions.institutions(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("UNITID"), site(F.col("c_custkey")).alias("school.school_url")), "school.school_url", "UNITID")
+    per = table(spark, sf_dir, "orders").where("o_custkey % 97 < 80").groupBy(F.concat(F.lit("https://"), site(F.col("o_custkey"))).alias("input_url")).agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return institutions.join_back(listed, per).select(F.col("UNITID").alias("id"), F.concat(F.lit("https://"), F.col("`school.school_url`")).alias("input_url"), "orders", "total")
 
 
 @query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -302,17 +296,16 @@ def resume_anti_join(spark, sf_dir):
     return todo(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "source")
 
 
-@query(f"""WITH a AS (SELECT DISTINCT {HOST} AS site, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages), v AS (SELECT DISTINCT {HOST} AS site, {PATH} AS href FROM pages)
-SELECT site, count(*) AS unvisited FROM a WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.site = a.site AND v.href = a.href) GROUP BY site""")
+@query(f"""WITH f AS (SELECT * FROM {D.FACTS}), a AS (SELECT DISTINCT site, {D.canonical('x')} AS u FROM (SELECT site, unnest(internal) AS x FROM f)), v AS (SELECT DISTINCT site, {D.canonical('url')} AS u FROM f)
+SELECT site, least(count(*), 10) AS unvisited FROM a WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.site = a.site AND v.u = a.u) GROUP BY site""")
 def unvisited_links(spark, sf_dir):
-    df = table(spark, sf_dir, "pages").select(U.host(F.col("url")).alias("site"), U.path(F.col("url")).alias("seen"), R.found_set(F.col("html"), '<a href="([^"]*)"', 1).alias("hrefs"))
-    links, seen = df.select("site", F.explode("hrefs").alias("href")).distinct(), df.select("site", F.col("seen").alias("href")).distinct()
-    return links.join(seen, ["site", "href"], "left_anti").groupBy("site").agg(F.count("*").alias("unvisited"))
+    page = page_table(spark, sf_dir)
+    return sites.unvisited_links(page, page.select("site_key", "url")).groupBy(F.col("site_key").alias("site")).agg(F.count("*").alias("unvisited"))
 
 
-@query(f"SELECT page_id, site, (r - 1)::BIGINT AS page_seq FROM (SELECT page_id, {HOST} AS site, row_number() OVER (PARTITION BY {HOST} ORDER BY page_id) AS r FROM pages) WHERE r <= 3")
+@query(f"SELECT page_id, site, (r - 1)::BIGINT AS page_seq FROM (SELECT page_id, {HOST} AS site, row_number() OVER (PARTITION BY {HOST} ORDER BY page_id) AS r FROM {P}) WHERE r <= 3")
 def page_cap(spark, sf_dir):
-    df = table(spark, sf_dir, "pages").select("page_id", U.host(F.col("url")).alias("site_key"), F.col("page_id").alias("page_seq"))
+    df = derived_pages(spark, sf_dir).select("page_id", U.host(F.col("url")).alias("site_key"), F.col("page_id").alias("page_seq"))
     return crawl.page_cap(df, FeatureConfig(max_pages_per_site=3)).select("page_id", F.col("site_key").alias("site"), big(F.col("page_seq")).alias("page_seq"))
 
 
@@ -334,49 +327,44 @@ def broken_link_rate(spark, sf_dir):
 
 
 def hosts(spark, sf_dir) -> DataFrame:
-    """A raw site table from pages: one row per host."""
-    df = tags_of(table(spark, sf_dir, "pages")).withColumns({"b": T.byte_length(F.col("html")), "a": R.count(F.col("html"), r"<a\s[^>]*href"), "tld": U.tld(F.col("url")), "q": U.has_query(F.col("url"))}).drop("html")
-    n = F.count("*")
-    return df.groupBy(F.col("site").alias("input_url")).agg(
-        F.min("tld").alias("tld"), n.alias("pages_crawled"), F.sum("a").alias("total_a_tags"), F.sum("b").alias("total_html_bytes"), (F.count_distinct("structure_hash") / n).alias("dom_structure_diversity"),
-        F.bool_or("q").alias("https_redirect"), F.when(n > 3, F.sum("a")).alias("total_internal_links"), F.when(n > 2, F.sum(F.col("q").cast("int"))).cast("bigint").alias("total_external_links"))
+    """A raw site table: the aggregates with the site's address, its TLD and a share of nulls."""
+    site = site_table(spark, sf_dir).withColumns({"input_url": F.col("site_key"), "tld": U.tld(F.concat(F.lit("https://"), "site_key"))})
+    few = F.col("pages_crawled") < 3
+    return site.withColumns({c: F.when(~few, F.col(c)) for c in ("total_internal_links", "trusted_outbound_links")}).withColumn("sitemap_url_count", F.col("total_external_links"))
 
 
-HOSTS = f"""(SELECT site AS input_url, min(string_split(site, '.')[-1]) AS tld, count(*) AS pages_crawled, sum(len(regexp_extract_all(html, '<a\\s[^>]*href')))::BIGINT AS total_a_tags, sum(octet_length(encode(html)))::BIGINT AS total_html_bytes,
-count(DISTINCT structure_hash)::DOUBLE / count(*) AS dom_structure_diversity, bool_or(contains(url, '?')) AS https_redirect, CASE WHEN count(*) > 3 THEN sum(len(regexp_extract_all(html, '<a\\s[^>]*href')))::BIGINT END AS total_internal_links,
-CASE WHEN count(*) > 2 THEN sum(contains(url, '?')::INT)::BIGINT END AS total_external_links FROM {HASHED} GROUP BY site)"""
+HOSTS = f"(SELECT * REPLACE (CASE WHEN pages_crawled >= 3 THEN total_internal_links END AS total_internal_links, CASE WHEN pages_crawled >= 3 THEN trusted_outbound_links END AS trusted_outbound_links), site AS input_url, total_external_links AS sitemap_url_count FROM ({D.site_sql(25)}))"
 
 
-@query(f"SELECT input_url, (pages_crawled >= m AND m > 1)::INT AS pages_hit_cap, (pages_crawled >= 25 AND total_a_tags > 25) AS crawl_censored FROM {HOSTS}, (SELECT max(pages_crawled) AS m FROM {HOSTS})")
+@query(f"SELECT input_url, (pages_crawled >= m AND m > 1)::INT AS pages_hit_cap, (pages_crawled >= 4 AND total_a_tags > 4) AS crawl_censored FROM {HOSTS}, (SELECT max(pages_crawled) AS m FROM {HOSTS})")
 def crawl_flags(spark, sf_dir):
     df = hosts(spark, sf_dir)
     most = df.agg(F.max("pages_crawled")).first()[0]
-    hit = F.coalesce((F.col("pages_crawled") >= F.lit(most)) & F.lit((most or 0) > 1), F.lit(False)).cast("int")
-    return df.select("input_url", hit.alias("pages_hit_cap"), sites.crawl_censored(F.col("pages_crawled"), F.col("total_a_tags"), 25).alias("crawl_censored"))
+    hit = matrix.features(df, most, 2024).select("input_url", "pages_hit_cap")
+    return hit.join(df.select("input_url", sites.crawl_censored(F.col("pages_crawled"), F.col("total_a_tags"), 4).alias("crawl_censored")), "input_url")
 
 
-@query(f"SELECT page_id, (t = 'edu')::INT AS is_edu_tld, (t LIKE '%gov' OR t LIKE '%us')::INT AS is_gov_or_state_tld, (t = 'org')::INT AS is_org_tld, (t IN ('com', 'net'))::INT AS is_com_net_tld, (t NOT IN ('edu', 'org', 'com', 'net', '') AND t NOT LIKE '%gov' AND t NOT LIKE '%us')::INT AS is_foreign_or_other_tld FROM (SELECT page_id, string_split({HOST}, '.')[-1] AS t FROM pages)")
+@query(f"SELECT page_id, (t = 'edu')::INT AS is_edu_tld, (t LIKE '%gov' OR t LIKE '%us')::INT AS is_gov_or_state_tld, (t = 'org')::INT AS is_org_tld, (t IN ('com', 'net'))::INT AS is_com_net_tld, (t NOT IN ('edu', 'org', 'com', 'net', '') AND t NOT LIKE '%gov' AND t NOT LIKE '%us')::INT AS is_foreign_or_other_tld FROM (SELECT page_id, string_split({HOST}, '.')[-1] AS t FROM {P})")
 def tld_flags(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", *[c.alias(n) for n, c in matrix.tld_flags(U.tld(F.col("url"))).items()])
+    return derived_pages(spark, sf_dir).select("page_id", *[c.alias(n) for n, c in matrix.tld_flags(U.tld(F.col("url"))).items()])
 
 
-@query(f"SELECT input_url, round(total_internal_links / nullif(pages_crawled, 0)::DOUBLE, 6) AS internal_per_page, round(total_external_links / nullif(total_external_links + total_internal_links, 0)::DOUBLE, 6) AS external_share, round(least(1.0, pages_crawled / nullif(total_external_links, 0)::DOUBLE), 6) AS coverage FROM (SELECT input_url, pages_crawled::DOUBLE AS pages_crawled, total_internal_links::DOUBLE AS total_internal_links, total_external_links::DOUBLE AS total_external_links FROM {HOSTS}) WHERE total_external_links > 0")
+
+RATES = {"internal_links_per_page": ("total_internal_links", "pages_crawled"), "pdf_links_per_page": ("pdf_link_count", "pages_crawled"), "trusted_links_per_page": ("trusted_outbound_links", "pages_crawled"), "external_links_per_page": ("total_external_links", "pages_crawled"), "phone_hits_per_page": ("phone_number_hits", "pages_crawled"), "external_link_share": ("total_external_links", "(total_external_links + total_internal_links)"), "trusted_share_of_external": ("trusted_outbound_links", "total_external_links")}
+
+
+@query(f"SELECT input_url, {', '.join(f'round({a}::DOUBLE / nullif({b}, 0), 6) AS {n}' for n, (a, b) in RATES.items())}, CASE WHEN sitemap_url_count > 0 THEN round(least(1.0, pages_crawled::DOUBLE / sitemap_url_count), 6) END AS crawl_coverage_ratio FROM {HOSTS}")
 def per_page_rates(spark, sf_dir):
-    df = hosts(spark, sf_dir).withColumn("sitemap_url_count", F.col("total_external_links")).where("total_external_links > 0")
-    out = matrix.features(df, None, 2024)
-    return out.select("input_url", F.round("internal_links_per_page", 6).alias("internal_per_page"), F.round("external_link_share", 6).alias("external_share"), F.round("crawl_coverage_ratio", 6).alias("coverage"))
+    out = matrix.features(hosts(spark, sf_dir), None, 2024)
+    return out.select("input_url", *[F.round(n, 6).alias(n) for n in (*RATES, "crawl_coverage_ratio")])
 
 
-@query(f"SELECT input_url, round(total_internal_links / nullif(pages_crawled, 0)::DOUBLE, 6) AS internal_per_page, round(total_external_links / nullif(total_external_links + total_internal_links, 0)::DOUBLE, 6) AS external_share, CASE WHEN total_external_links > 0 THEN round(least(1.0, pages_crawled / total_external_links::DOUBLE), 6) END AS coverage FROM (SELECT input_url, pages_crawled::DOUBLE AS pages_crawled, total_internal_links::DOUBLE AS total_internal_links, total_external_links::DOUBLE AS total_external_links FROM {HOSTS})")
-def per_page_rates_all(spark, sf_dir):
-    """As per_page_rates, with the hosts whose denominators are null or zero."""
-    out = matrix.features(hosts(spark, sf_dir).withColumn("sitemap_url_count", F.col("total_external_links")), None, 2024)
-    return out.select("input_url", F.round("internal_links_per_page", 6).alias("internal_per_page"), F.round("external_link_share", 6).alias("external_share"), F.round("crawl_coverage_ratio", 6).alias("coverage"))
+LOGS = ("total_a_tags", "total_words", "total_html_bytes", "total_external_links", "mailto_count", "free_email_hits", "phone_number_hits")
 
 
-@query("SELECT o_custkey, round(ln(1 + sum(o_totalprice)), 6) AS log_total, round(ln(1 + count(*)), 6) AS log_n FROM orders GROUP BY o_custkey")
+@query(f"SELECT input_url, {', '.join(f'round(ln(1 + {c}::DOUBLE), 6) AS log1p_{c}' for c in LOGS)} FROM {HOSTS}")
 def log1p_volumes(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.round(F.log1p(F.sum("o_totalprice")), 6).alias("log_total"), F.round(F.log1p(F.count("*")), 6).alias("log_n"))
+    return matrix.features(hosts(spark, sf_dir), None, 2024).select("input_url", *[F.round(f"log1p_{c}", 6).alias(f"log1p_{c}") for c in LOGS])
 
 
 @query("SELECT event_id, CASE WHEN v IN ('true', 'True', '1') THEN 1.0::DOUBLE WHEN v IN ('false', 'False', '0') THEN 0.0::DOUBLE END AS b FROM (SELECT event_id, ['True', 'true', '1', 'False', 'FALSE', 'yes', '2', '0', NULL][(event_id % 9)::INT + 1] AS v FROM events)")
@@ -385,10 +373,10 @@ def bool_mapping(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", matrix.to_bool(F.get(words, (F.col("event_id") % 9).cast("int"))).alias("b"))
 
 
-@query("SELECT event_id, try_cast(CASE event_id % 4 WHEN 0 THEN value::VARCHAR WHEN 1 THEN event_type WHEN 2 THEN event_id::VARCHAR END AS DOUBLE) AS x FROM events")
+@query("SELECT event_id, try_cast(CASE event_id % 4 WHEN 0 THEN value::VARCHAR WHEN 1 THEN event_type WHEN 2 THEN event_id::VARCHAR WHEN 3 THEN event_id || 'x' END AS DOUBLE) AS x FROM events")
 def numeric_coerce(spark, sf_dir):
     k = F.col("event_id") % 4
-    v = F.when(k == 0, F.col("value").cast("string")).when(k == 1, F.col("event_type")).when(k == 2, F.col("event_id").cast("string"))
+    v = F.when(k == 0, F.col("value").cast("string")).when(k == 1, F.col("event_type")).when(k == 2, F.col("event_id").cast("string")).otherwise(F.concat(F.col("event_id").cast("string"), F.lit("d")))  # a suffix is no number, whatever Java makes of it
     return table(spark, sf_dir, "events").select("event_id", matrix.number(v).alias("x"))
 
 
@@ -417,14 +405,28 @@ def drop_constants(spark, sf_dir):
     return matrix.complete(df, columns, matrix.profile(df, columns))[0]
 
 
-@query()
+MATRIX = ("total_words", "total_html_bytes", "mailto_count")
+FILLED = ("boilerplate_ratio", "dom_structure_diversity", "img_alt_coverage", "mailto_on_domain_ratio", "external_link_share", "trusted_links_per_page", "copyright_staleness_years", "copyright_year_span", "log1p_total_internal_links")
+_RAW = {
+    "boilerplate_ratio": "CASE WHEN pages_crawled >= 3 THEN boilerplate_ratio END", "dom_structure_diversity": "CASE WHEN pages_crawled >= 3 THEN dom_structure_diversity END", "img_alt_coverage": "img_alt_coverage", "mailto_on_domain_ratio": "mailto_on_domain_ratio",
+    "external_link_share": "total_external_links::DOUBLE / nullif(total_external_links + total_internal_links, 0)", "trusted_links_per_page": "trusted_outbound_links::DOUBLE / pages_crawled", "copyright_staleness_years": "CASE WHEN max_copyright_year IS NOT NULL THEN greatest(0, 2024 - max_copyright_year)::DOUBLE END",
+    "copyright_year_span": "(max_copyright_year - min_copyright_year)::DOUBLE", "log1p_total_internal_links": "ln(1 + total_internal_links::DOUBLE)",
+}
+
+
+@query(f"""WITH h AS (SELECT * FROM {HOSTS}), x AS (SELECT input_url, {', '.join(f'{e} AS {n}' for n, e in _RAW.items())}, {', '.join(f'ln(1 + {c}::DOUBLE) AS log1p_{c}' for c in MATRIX)},
+len(meta_generators)::BIGINT AS n_meta_generators, (len(ga_ua_ids) + len(ga4_ids) + len(gtm_ids) + len(fb_pixel_ids))::BIGINT AS n_tracker_ids, (len(fb_pixel_ids) > 0)::INT AS has_fb_pixel, has_street_address::INT::DOUBLE AS has_street_address FROM h)
+SELECT input_url, {', '.join(f'round(coalesce({n}, (SELECT median({n}) FROM x)), 6) AS {n}, ({n} IS NULL)::INT AS {n}_missing' for n in FILLED)}, {', '.join(f'round(log1p_{c}, 6) AS log1p_{c}' for c in MATRIX)}, n_meta_generators, n_tracker_ids, has_fb_pixel, has_street_address FROM x""")
 def model_matrix(spark, sf_dir):
-    return matrix.build_model_matrix(hosts(spark, sf_dir), 2024)[0]
+    """Constant columns are kept, so that the schema does not hang on the data."""
+    out = matrix.build_model_matrix(hosts(spark, sf_dir), 2024, drop_constant_columns=False)[0]
+    flag = lambda n: F.col(n) if n in out.columns else F.lit(0).alias(n)
+    return out.select("input_url", *[c for n in FILLED for c in (F.round(n, 6).alias(n), flag(f"{n}_missing"))], *[F.round(f"log1p_{c}", 6).alias(f"log1p_{c}") for c in MATRIX], big(F.col("n_meta_generators")).alias("n_meta_generators"), big(F.col("n_tracker_ids")).alias("n_tracker_ids"), "has_fb_pixel", "has_street_address")
 
 
-@query(f"SELECT count(*) AS n_rows_in, 0::BIGINT AS n_failed_crawls, count(*) FILTER (pages_crawled < 3) AS n_tiny_crawls, round(CASE WHEN count(*) > count(total_internal_links) THEN median(ln(1 + total_internal_links::DOUBLE)) END, 6) AS median_log_internal FROM {HOSTS}")
+@query(f"SELECT count(*) AS n_rows_in, count(*) FILTER (pages_crawled = 1) AS n_failed_crawls, count(*) FILTER (pages_crawled < 3) AS n_tiny_crawls, round(CASE WHEN count(*) > count(total_internal_links) THEN median(ln(1 + total_internal_links::DOUBLE)) END, 6) AS median_log_internal FROM {HOSTS}")
 def matrix_report(spark, sf_dir):
-    report = matrix.build_model_matrix(hosts(spark, sf_dir), 2024, drop_constant_columns=False)[1]
+    report = matrix.build_model_matrix(hosts(spark, sf_dir).withColumn("crawl_error", F.when(F.col("pages_crawled") == 1, "failed")), 2024, drop_constant_columns=False)[1]
     median = F.round(F.try_element_at("imputation_medians", F.lit("log1p_total_internal_links")), 6).alias("median_log_internal")
     return matrix.report_table(spark, report).select("n_rows_in", "n_failed_crawls", "n_tiny_crawls", median)
 
@@ -432,30 +434,115 @@ def matrix_report(spark, sf_dir):
 # Pages by their tree
 
 
-def page_table(spark, sf_dir) -> DataFrame:
-    df = table(spark, sf_dir, "pages")
-    u = F.col("url")
-    return pages.page_features(df.select(U.host(u).alias("site_key"), F.col("page_id").alias("page_seq"), "url", U.registered_domain(u).alias("site_domain"), "html"))
-
-
-@query()
+@query(f"SELECT page_id, len(words)::BIGINT AS words, sha1(text) AS digest FROM {D.FACTS}")
 def html_visible_text(spark, sf_dir):
-    facts = html.html_facts(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    facts = html.html_facts(derived_pages(spark, sf_dir).select("page_id", "url", "html"))
     return facts.select("page_id", T.word_count(F.col("facts.visible_text")).alias("words"), F.sha1(F.col("facts.visible_text").cast("binary")).alias("digest"))
 
 
-@query()
+@query(f"""SELECT page_id AS page_seq, CASE WHEN regexp_matches(html, 'name="[Gg]enerator"') THEN regexp_extract(html, 'name="[Gg]enerator" content="([^"]*)"', 1) END AS meta_generator, contains(html, 'name="description"') AS has_meta_description, contains(html, 'property="og:') AS has_og_tags,
+contains(html, 'rel="canonical"') AS has_canonical, contains(html, ' icon"') AS has_favicon, contains(html, 'CollegeOrUniversity') OR contains(html, 'EducationalOrganization') AS has_edu_schema, len({D.all_of('body', '<img')})::BIGINT AS img_count, len({D.all_of('body', '<img[^>]*alt="[^"]*[^" ]')})::BIGINT AS img_alt_count,
+len({D.all_of('body', ' style="')})::BIGINT AS inline_style_count FROM {D.FACTS}""")
 def html_meta_flags(spark, sf_dir):
     return page_table(spark, sf_dir).select("page_seq", "meta_generator", "has_meta_description", "has_og_tags", "has_canonical", "has_favicon", "has_edu_schema", "img_count", "img_alt_count", "inline_style_count")
 
 
-@query("SELECT page_id AS page_seq, len(regexp_extract_all(html, '<a\\s[^>]*href'))::BIGINT AS a_tag_count, len(regexp_extract_all(html, '<a\\s[^>]*href'))::BIGINT AS internal, 0::BIGINT AS external_link_count, 0::BIGINT AS trusted_link_count, 0::BIGINT AS pdf_link_count FROM pages")
+@query(f"SELECT page_id AS page_seq, len(hrefs)::BIGINT AS a_tag_count, n_internal AS internal, n_external::BIGINT AS external_link_count, n_trusted::BIGINT AS trusted_link_count, n_pdf::BIGINT AS pdf_link_count, array_to_string(mail, ',') AS mail, array_to_string(list_sort(subdomains), ',') AS subdomains FROM {D.FACTS}")
 def html_link_classification(spark, sf_dir):
-    return page_table(spark, sf_dir).select("page_seq", "a_tag_count", big(F.size("internal_links")).alias("internal"), "external_link_count", "trusted_link_count", "pdf_link_count")
+    return page_table(spark, sf_dir).select("page_seq", "a_tag_count", big(F.size("internal_links")).alias("internal"), "external_link_count", "trusted_link_count", "pdf_link_count", F.array_join("mailto_domains", ",").alias("mail"), F.array_join(F.array_sort("subdomains"), ",").alias("subdomains"))
 
 
-@query()
+@query(D.shown_sql(*D.PLAIN, *D.RATIOS, *D.LISTS))
 def site_features(spark, sf_dir):
-    page = page_table(spark, sf_dir)
-    domain = page.withColumn("site_domain", U.registered_domain(F.col("url")))
-    return sites.aggregate_sites(domain).drop("structure_hashes")
+    return D.shown(site_table(spark, sf_dir), *D.PLAIN, *D.RATIOS, *D.LISTS)
+
+
+# Tables of responses
+
+
+def fetch_log(spark, sf_dir) -> DataFrame:
+    """Responses derived from pages: some failed, some are no HTML, some say who serves them."""
+    return derived_pages(spark, sf_dir).select(
+        U.host(F.col("url")).alias("site_key"), F.col("page_id").cast("int").alias("seq"), "url", F.col("url").alias("final_url"), F.expr("CASE WHEN page_id % 8 = 5 THEN 404 WHEN page_id % 16 = 3 THEN NULL ELSE 200 END").alias("status"),
+        F.expr("CASE page_id % 4 WHEN 0 THEN map('Server', 'nginx/' || page_id % 3) WHEN 1 THEN map('Server', '', 'Last-Modified', 'Mon') WHEN 2 THEN map('server', 'apache') ELSE map() END").cast("map<string,string>").alias("headers"),
+        F.expr("CASE WHEN page_id % 12 = 7 THEN 'application/pdf' ELSE 'text/html; charset=utf-8' END").alias("content_type"), "html", F.expr("CASE WHEN page_id % 16 = 3 THEN 'Timeout' END").alias("error"))
+
+
+LOG = f"(SELECT *, {HOST} AS site, CASE WHEN page_id % 8 = 5 THEN 404 WHEN page_id % 16 = 3 THEN NULL ELSE 200 END AS status FROM {P})"
+
+
+@query(f"""SELECT site, coalesce(array_to_string(list_sort(list_distinct(list('nginx/' || page_id % 3) FILTER (page_id % 4 = 0))), ','), '') AS servers, bool_or(page_id % 4 = 1) AS modified FROM {LOG} WHERE status = 200 AND page_id % 12 <> 7 GROUP BY site""")
+def server_headers(spark, sf_dir):
+    out = sites.header_features(fetch_log(spark, sf_dir))
+    return out.select(F.col("site_key").alias("site"), F.array_join("server_headers", ",").alias("servers"), F.col("has_last_modified_header").alias("modified"))
+
+
+@query(f"SELECT site, starts_with(arg_min(url, page_id), 'https://') AS https, arg_min(status, page_id) AS status FROM {LOG} WHERE status IS NOT NULL GROUP BY site")
+def landing_response(spark, sf_dir):
+    out = sites.landing_features(fetch_log(spark, sf_dir))
+    return out.select(F.col("site_key").alias("site"), F.col("https_redirect").alias("https"), F.col("landing_status_code").alias("status"))
+
+
+@query(f"SELECT page_id AS page_seq FROM {LOG} WHERE status = 200 AND page_id % 12 <> 7")
+def html_pages(spark, sf_dir):
+    return pages.html_pages(fetch_log(spark, sf_dir)).select(F.col("seq").cast("bigint").alias("page_seq"))
+
+
+RULES = "'User-agent: *' || chr(10) || 'Disallow: /library' || chr(10) || 'Disallow: /Admissions/en/1' || chr(10)"
+
+
+@query(f"SELECT page_id, NOT (starts_with({PATH}, '/library') OR starts_with({PATH}, '/Admissions/en/1')) OR {HOST} LIKE '%.edu' AS allowed FROM {P}")
+def robots_allowed(spark, sf_dir):
+    """Sites under edu have no robots.txt."""
+    df = derived_pages(spark, sf_dir).select(U.host(F.col("url")).alias("site_key"), "url", "page_id")
+    robots = df.select("site_key").distinct().where("site_key not like '%.edu'").selectExpr("site_key", f"{RULES} AS robots_text")
+    return crawl.allowed(df, robots, "lodestead-crawler").select("page_id", "allowed")
+
+
+@query(f"""WITH u AS (SELECT {HOST} AS site, page_id, page_id % 2 AS part FROM {P}), n AS (SELECT site, part, count(*) AS n, min(part) OVER (PARTITION BY site) AS first_part FROM u GROUP BY site, part),
+got AS (SELECT u.* FROM u JOIN n ON n.site = u.site AND n.part = n.first_part WHERE u.part = n.part OR n.n < 8)
+SELECT site, least(count(*), 8) AS urls, count(*) FILTER (page_id % 3 > 0) AS dated, round(count(*) FILTER (page_id % 3 > 0)::DOUBLE / least(count(*), 8), 6) AS share,
+max(DATE '2024-03-01' - (page_id % 200)::INT) FILTER (page_id % 3 > 0) AS newest, count(*) > 8 AS truncated FROM got GROUP BY site""")
+def sitemap_inventory(spark, sf_dir):
+    """An index of two sitemaps for each site, named by robots.txt; at most 8 URLs count, and a second file is read only below that."""
+    u = F.col("url")
+    df = derived_pages(spark, sf_dir).select(U.host(u).alias("site_key"), "page_id", "url")
+    entry = F.expr("'<url><loc> ' || url || ' </loc>' || CASE WHEN page_id % 3 > 0 THEN '<lastmod>' || date_format(date_sub(DATE'2024-03-01', cast(page_id % 200 as int)), 'yyyy-MM-dd') || 'T08:00</lastmod>' ELSE '' END || '</url>'")
+    parts = df.groupBy("site_key", (F.col("page_id") % 2).alias("part")).agg(F.array_join(F.array_sort(F.collect_list(entry)), "").alias("x"))
+    name = lambda part: F.concat(F.lit("https://"), "site_key", F.lit("/map"), part, F.lit(".xml"))
+    maps = parts.select("site_key", name(F.col("part").cast("string")).alias("url"), F.lit(200).alias("status"), F.concat(F.lit("<urlset>"), "x", F.lit("</urlset>")).cast("binary").alias("content"))
+    index = parts.groupBy("site_key").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("<sitemap><loc>"), name(F.col("part").cast("string")), F.lit("</loc></sitemap>")))), "").alias("x"))
+    index = index.select("site_key", name(F.lit("s")).alias("url"), F.lit(200).alias("status"), F.concat(F.lit("<sitemapindex>"), "x", F.lit("</sitemapindex>")).cast("binary").alias("content"))
+    home = df.select("site_key").distinct()
+    robots = home.select("site_key", F.concat(F.lit("Sitemap: https://"), "site_key", F.lit("/maps.xml")).alias("robots_text"))
+    inventory = sitemap.collect_inventory(home.select("site_key", F.concat(F.lit("https://"), "site_key").alias("base_url")), robots, maps.unionByName(index), FeatureConfig(max_sitemap_urls=8))
+    inventory, _ = stage(inventory, "inventory")
+    out = sitemap.sitemap_features(inventory, home.select("site_key", U.registered_domain(F.concat(F.lit("https://"), "site_key")).alias("registered_domain")), F.lit("2024-03-01").cast("date"))
+    dated = inventory.select("site_key", F.size("lastmods").cast("bigint").alias("dated"))
+    newest = F.expr("date_sub(DATE'2024-03-01', sitemap_days_since_last_update)")
+    return out.join(dated, "site_key").select(F.col("site_key").alias("site"), F.col("sitemap_url_count").alias("urls"), "dated", F.round("sitemap_pct_urls_with_lastmod", 6).alias("share"), newest.alias("newest"), F.col("sitemap_truncated").alias("truncated"))
+
+
+@query(f"""WITH f AS (SELECT site, page_id, unnest(regexp_extract_all(html, 'rel="stylesheet" href="([^"]+)"', 1)) AS x, base, scheme FROM {D.FACTS}), h AS (SELECT site, min(page_id) AS first_id, CASE WHEN starts_with(x, '/') THEN base || x ELSE x END AS href FROM f GROUP BY site, href),
+r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY first_id, contains(href, 'foundation')) AS r FROM h) SELECT site, array_to_string(list(sha1('body of ' || regexp_extract(href, '[^/]*$')) ORDER BY r), ',') AS hashes FROM r WHERE r <= 2 AND NOT contains(href, 'v=2') GROUP BY site""")
+def css_hashes(spark, sf_dir):
+    """The first two stylesheets of each site; one is missing."""
+    page, config = page_table(spark, sf_dir), FeatureConfig(max_css_files_per_site=2)
+    files = page.select("site_key", F.explode("stylesheet_hrefs").alias("href")).distinct().select(
+        "site_key", "href", F.when(F.col("href").contains("v=2"), 404).otherwise(200).alias("status"), F.concat(F.lit("body of "), F.regexp_extract("href", "[^/]*$", 0)).cast("binary").alias("content"))
+    out = sites.css_hashes(page, files, config)
+    return out.select(F.col("site_key").alias("site"), F.array_join("css_content_hashes", ",").alias("hashes"))
+
+
+@query("""SELECT s_suppkey::VARCHAR AS site, s_suppkey % 4 > 0 AS ok, CASE WHEN s_suppkey % 4 > 0 THEN s_name END AS issuer, CASE WHEN s_suppkey % 4 > 0 THEN s_suppkey % 3 > 0 END AS validated, CASE WHEN s_suppkey % 4 > 0 THEN (s_suppkey % 500 - 100)::INT END AS days,
+CASE WHEN s_suppkey % 5 > 0 THEN (s_suppkey % 7000 + 1)::INT END AS age, CASE WHEN s_suppkey % 5 > 0 THEN s_suppkey % 2 = 0 END AS private, CASE WHEN s_suppkey % 5 > 0 AND s_suppkey % 3 = 0 THEN s_name END AS org FROM supplier""")
+def domain_records(spark, sf_dir):
+    """Suppliers stand for hosts with certificates and registrations."""
+    s = table(spark, sf_dir, "supplier").withColumn("host", F.concat("s_suppkey", F.lit(".org")))
+    now, k = F.lit("2024-03-01 00:00:00").cast("timestamp"), F.col("s_suppkey")
+    hosts_ = s.select(k.cast("string").alias("site_key"), F.col("host").alias("hostname"), F.col("host").alias("registered_domain"))
+    day = lambda n: F.timestamp_seconds(F.unix_timestamp(now) + n * 86400)
+    certs = s.select(F.col("host").alias("hostname"), F.col("s_name").alias("issuer_org"), F.when(k % 3 > 0, F.col("s_name")).alias("subject_org"), day(k % 500 - 100).alias("not_after"), (k % 4 > 0).alias("handshake_ok"), F.lit(None).cast("string").alias("error"))
+    whois = s.where("s_suppkey % 5 > 0").select(F.col("host").alias("domain"), F.array(day(-k % 7000), F.lit(None).cast("timestamp"), day(-(k % 7000) - 1)).alias("creation_dates"), F.when(k % 3 == 0, F.col("s_name")).alias("org"), F.when(k % 2 == 0, "Redacted for PRIVACY").otherwise("Jane").alias("raw_text"))
+    out = domain.tls_features(hosts_, certs, now).join(domain.whois_features(hosts_, whois, now), "site_key")
+    return out.select(F.col("site_key").alias("site"), F.col("ssl_ok").alias("ok"), F.col("ssl_issuer_org").alias("issuer"), F.col("ssl_org_validated").alias("validated"), F.col("ssl_days_to_expiry").alias("days"), F.col("domain_age_days").alias("age"), F.col("whois_privacy_protected").alias("private"), F.col("whois_registrant_org").alias("org"))

@@ -11,7 +11,8 @@ from lodestead.config import FeatureConfig
 from lodestead.functions import urls as U
 from lodestead.operators import crawl, cross_site, domain, pages, sitemap, sites
 from lodestead.schemas import RAW_COLUMNS
-from lodestead.sinks import todo
+from lodestead.session import stage
+from lodestead.sinks import todo, write_inventory
 from lodestead.sources.institutions import join_back
 
 
@@ -30,25 +31,36 @@ class Responses:
 
 def site_features(urls: DataFrame, got: Responses, as_of: Column, config: FeatureConfig = FeatureConfig()) -> DataFrame:
     """urls(input_url) -> one row per URL with RAW_COLUMNS but the cross-site ones; fetch_log.site_key is the input URL."""
-    u = F.col("input_url")
-    base = urls.select(u.alias("site_key"), u.alias("input_url"), U.registered_domain(u).alias("registered_domain"), U.tld(u).alias("tld"), U.host(u).alias("hostname"))
-    log = got.fetch_log.join(base.select("site_key", F.col("registered_domain").alias("site_domain")), "site_key")
-    html = crawl.page_cap(pages.html_pages(log).select("site_key", F.col("seq").alias("page_seq"), F.col("final_url").alias("url"), "site_domain", "html"), config)
-    page = pages.page_features(html, config).join(base.select("site_key", F.col("registered_domain").alias("site_domain")), "site_key")
-    out = base.join(sites.landing_features(got.fetch_log), "site_key", "left").join(sites.aggregate_sites(page), "site_key", "left").join(sites.header_features(got.fetch_log), "site_key", "left")
-    failed = got.fetch_log.where("error is not null").groupBy("site_key").agg(F.min_by("error", "seq").alias("error"))
+    u, suffixes = F.col("input_url"), config.public_suffixes
+    base = urls.select(u.alias("site_key"), u.alias("input_url"), U.registered_domain(u, suffixes).alias("registered_domain"), U.tld(u, suffixes).alias("tld"), U.host(u).alias("hostname"))
+    log = got.fetch_log
+    if got.robots is not None:  # what robots.txt forbids is no page, even if the log holds it
+        log = log.join(crawl.refused(log.select("site_key", "url", "seq"), got.robots, config.user_agent).select("site_key", "seq"), ["site_key", "seq"], "left_anti")
+    html = pages.html_pages(log.join(base.select("site_key", F.col("registered_domain").alias("site_domain")), "site_key"))
+    # pages are capped after extraction: those that cannot be parsed take no place, and the first that can is the landing page
+    every, _ = stage(pages.page_features(html.select("site_key", F.col("seq").alias("page_seq"), F.col("final_url").alias("url"), "site_domain", "html"), config), "pages")
+    page, _ = stage(crawl.page_cap(every, config).join(base.select("site_key", F.col("registered_domain").alias("site_domain")), "site_key"), "pages")
+    out = base.join(sites.landing_features(log), "site_key", "left").join(sites.aggregate_sites(page, suffixes), "site_key", "left").join(sites.header_features(log), "site_key", "left")
+    failed = log.where("error is not null").groupBy("site_key").agg(F.min_by("error", "seq").alias("error"))
     out = out.join(failed, "site_key", "left").withColumn("crawl_error", F.when(F.col("pages_crawled").isNull(), F.coalesce("error", F.lit("no HTML pages retrieved")))).drop("error")
-    out = out.withColumns({"crawl_timestamp": as_of.cast("timestamp"), "ssl_bypass_used": F.lit(False), "pages_crawled": F.coalesce("pages_crawled", F.lit(0))})
+    bypassed = log.where("ssl_bypass").select("site_key").distinct().withColumn("ssl_bypass_used", F.lit(True)) if "ssl_bypass" in log.columns else None
+    out = out.join(bypassed, "site_key", "left") if bypassed is not None else out.withColumn("ssl_bypass_used", F.lit(False))
+    out = out.withColumns({"crawl_timestamp": as_of.cast("timestamp"), "ssl_bypass_used": F.coalesce("ssl_bypass_used", F.lit(False)), "pages_crawled": F.coalesce("pages_crawled", F.lit(0))})
     live = out.where("crawl_error is null").select("site_key", "hostname", "registered_domain", "input_url")
     if got.robots is not None:
-        out = out.join(crawl.robots_blocked(got.fetch_log.select("site_key", "url"), got.robots, config.user_agent), "site_key", "left")
+        requested = every.select("site_key", F.col("page_seq").alias("seq"), "internal_links").join(log.select("site_key", "seq", F.col("url").alias("request")), ["site_key", "seq"])
+        links = requested.select("site_key", F.col("request").alias("url"), F.posexplode("internal_links").alias("pos", "target"))
+        order = crawl.crawl_order(base.select("site_key", u.alias("url")), links, config)
+        out = out.join(crawl.frontier_blocked(order, got.robots, requested.select("site_key", U.canonical_url(F.col("request")).alias("canon")), config), "site_key", "left")
     if got.link_checks is not None:
         out = out.join(sites.broken_links(sites.unvisited_links(page, got.fetch_log, config), got.link_checks), "site_key", "left")
     if got.css_files is not None:
         out = out.join(sites.css_hashes(page, got.css_files, config), "site_key", "left")
     if got.sitemap_docs is not None and got.robots is not None and config.collect_sitemap:
-        inventory = sitemap.collect_inventory(live.select("site_key", F.col("input_url").alias("base_url")), got.robots, got.sitemap_docs, config)
-        out = out.join(sitemap.sitemap_features(inventory, live.select("site_key", "registered_domain"), as_of), "site_key", "left")
+        inventory, _ = stage(sitemap.collect_inventory(live.select("site_key", F.col("input_url").alias("base_url")), got.robots, got.sitemap_docs, config), "inventory")
+        if config.save_url_inventory_dir:
+            write_inventory(inventory, live.select("site_key", "registered_domain"), config.save_url_inventory_dir)
+        out = out.join(sitemap.sitemap_features(inventory, live.select("site_key", "registered_domain"), as_of, suffixes), "site_key", "left")
         out = out.withColumn("crawl_censored", F.when(F.col("crawl_error").isNull(), sites.crawl_censored(F.col("pages_crawled"), F.col("sitemap_url_count"), config.max_pages_per_site)))
     if got.tls_certs is not None:
         out = out.join(domain.tls_features(live.select("site_key", "hostname"), got.tls_certs, as_of), "site_key", "left")
@@ -65,7 +77,8 @@ def build_feature_dataframe(inputs: DataFrame, got: Responses, as_of: Column, co
     """
     from lodestead.sources.institutions import unique_urls
 
-    new = site_features(todo(unique_urls(inputs, limit), done), got, as_of, config)
-    known = new if done is None else done.select(*new.columns).unionByName(new)
+    new, _ = stage(site_features(todo(unique_urls(inputs, limit), done), got, as_of, config), "sites")
+    # results of an earlier version may lack columns
+    known = new if done is None else new.unionByName(done.select(*[c for c in new.columns if c in done.columns]), allowMissingColumns=True)
     full = cross_site.add_cross_site_features(known)
     return join_back(inputs, full, only_found=limit is not None)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 INSTITUTIONS = "UNITID string, `school.school_url` string"
 FETCH_LOG = "site_key string, seq int, url string, final_url string, status int, headers map<string,string>, content_type string, html string, error string"
+#: The log of a crawl says, too, whether a certificate was not verified.
+CRAWL_LOG = FETCH_LOG + ", ssl_bypass boolean"
 ROBOTS = "site_key string, robots_text string"
 SITEMAP_DOCS = "site_key string, url string, status int, content binary"
 LINK_CHECKS = "site_key string, url string, head_status int, get_status int, error string"

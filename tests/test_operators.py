@@ -4,6 +4,7 @@ import datetime
 import gzip
 import itertools
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -216,14 +217,40 @@ def test_sharing_over_all_rows_and_common_tokens(spark):
     assert got == {i: sum(1 for j in sites if j != i and sites[i] & sites[j]) for i in sites}
 
 
-def test_whole_tables_are_registered(spark, sf):
+def test_rates_keep_sites_without_a_denominator(spark, sf):
     from lodestead.plans import catalogue
 
-    assert {"shared_token_count_all", "shared_tracker_union_all", "per_page_rates_all"} <= set(catalogue.QUERIES)
-    few, every = (catalogue.QUERIES[n](spark, sf).agg({"sharing": "sum"}).first()[0] for n in ("shared_token_count", "shared_token_count_all"))
-    assert every > few
-    hosts = catalogue.hosts(spark, sf)
-    assert catalogue.QUERIES["per_page_rates_all"](spark, sf).count() == hosts.count()
+    out = catalogue.QUERIES["per_page_rates"](spark, sf).collect()
+    assert len(out) == catalogue.hosts(spark, sf).count() and any(r.external_link_share is None for r in out) and any(r.external_link_share for r in out)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_medians_are_exact(spark, seed):
+    """Against sorting, over ties, nulls, few and many rows."""
+    rng = random.Random(seed)
+    n = (1, 2, 7, 60_000)[seed]
+    data = [(rng.choice((None, 1.0, 2.0)), rng.gauss(0, 1), float(rng.randrange(50)) if rng.random() < 0.9 else None, 3.0, None) for _ in range(n)]
+    df = spark.createDataFrame(data, "a double, b double, c double, d double, e double")
+    stats = matrix.profile(df, list("abcde"))
+    assert stats[""]["rows"] == n
+    for at, c in enumerate("abcde"):
+        have = [r[at] for r in data if r[at] is not None]
+        want = statistics.median(have) if have else None
+        assert stats[c] == {"n": len(have), "lo": min(have, default=None), "hi": max(have, default=None), "median": want}
+
+
+def test_numbers(spark):
+    texts = ["1", " 2.5 ", "1d", "1f", "-3e2", "0x1", "1_000", "", "nan", "inf", ".5", "5.", None, "true"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(matrix.number(F.col("t"))).collect()]
+    assert got == [1.0, 2.5, None, None, -300.0, None, None, None, None, float("inf"), 0.5, 5.0, None, None]
+
+
+def test_matrix_of_a_path(spark, tmp_path):
+    raw = spark.createDataFrame([("u1", 5, "a"), ("u2", 2, None)], "input_url string, pages_crawled int, crawl_error string")
+    sinks.write_csv(raw, str(tmp_path / "raw.csv"))
+    out, report = matrix.build_model_matrix(str(tmp_path / "raw.csv"), output_csv=str(tmp_path / "out"), drop_constant_columns=False, spark=spark)
+    assert (report["n_rows_in"], report["n_failed_crawls"], report["n_tiny_crawls"]) == (2, 1, 1) and report["output"] == str(tmp_path / "out")
+    assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == out.count() == 2
 
 
 def test_crawl_order_follows_a_chain_to_the_cap(spark):
@@ -231,3 +258,19 @@ def test_crawl_order_follows_a_chain_to_the_cap(spark):
     starts = spark.createDataFrame([("a", "u0"), ("b", "u0")], "site_key string, url string")
     got = sorted((r.site_key, r.depth, r.seq) for r in crawl.crawl_order(starts, links, FeatureConfig(max_pages_per_site=2)).collect())
     assert got == [("a", k, k + 1) for k in range(13)] + [("b", k, k + 1) for k in range(16)]
+
+
+@pytest.mark.parametrize(("light", "block", "bits"), [(32, 1 << 20, 32 << 20), (1, 1 << 15, 1 << 13), (2, 1 << 15, 1 << 15)])
+def test_common_tokens_make_no_pairs(spark, monkeypatch, light, block, bits):
+    """One token on all sites and a few on many, against all pairs; and rows of the pair join in proportion to the sites."""
+    monkeypatch.setattr(cross_site, "LIGHT", light)
+    monkeypatch.setattr(cross_site, "BLOCK", block)
+    monkeypatch.setattr(cross_site, "BLOCK_BYTES", bits)
+    rng = random.Random(7)
+    sets = {f"s{i}": {"everywhere"} | {f"t{rng.randrange(12)}" for _ in range(rng.randrange(4))} | {f"rare{rng.randrange(150)}" for _ in range(rng.randrange(3))} for i in range(120)}
+    sets |= {"alone": {"only"}, "none": set(), "twin": set(sets["s0"])}
+    df = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "site string, t array<string>")
+    share = {k: sum(bool(v & w) for j, w in sets.items() if j != k) for k, v in sets.items()}
+    best = {k: max((len(v & w) / len(v | w) for j, w in sets.items() if j != k and v | w), default=0.0) for k, v in sets.items()}
+    assert {r[0]: r[1] for r in cross_site.sharing_sites(df, "site", "t", "n").collect()} == share
+    assert {r[0]: r[1] for r in cross_site.max_similarity(df, "site", "t").collect()} == pytest.approx(best)
