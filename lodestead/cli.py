@@ -1,4 +1,4 @@
-"""python -m lodestead.cli features|matrix: the two steps as commands."""
+"""python -m lodestead.cli crawl|features|matrix: the steps as commands."""
 
 from __future__ import annotations
 
@@ -12,40 +12,73 @@ from lodestead import schemas, sinks
 from lodestead.config import FeatureConfig
 from lodestead.operators.matrix import build_model_matrix, summarize
 from lodestead.plans.features import Responses, build_feature_dataframe
-from lodestead.sources.institutions import read_institutions
+from lodestead.sources.institutions import read_institutions, shared_urls, unique_urls
 
+TABLES = ("fetch_log", "robots", "sitemap_docs", "link_checks", "css_files", "tls_certs", "whois")
 
-def main(argv: list[str] | None = None) -> None:
+
+def arguments() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="lodestead")
     sub = parser.add_subparsers(dest="step", required=True)
-    f = sub.add_parser("features", help="institutions and tables of responses -> raw site features")
-    f.add_argument("csv_path")
-    f.add_argument("responses", help="folder with fetch_log, robots, sitemap_docs, link_checks, css_files, tls_certs and whois as Parquet")
-    f.add_argument("--url-column", default="school.school_url")
-    f.add_argument("--id-column", default="UNITID")
-    f.add_argument("--limit", type=int)
-    f.add_argument("--insecure", action="store_true")
-    f.add_argument("--max-pages", type=int, default=25)
-    f.add_argument("--as-of", required=True, help="date of the run, YYYY-MM-DD")
-    f.add_argument("--output", default="site_features")
+    for name, what in (("crawl", "institutions -> visit their sites, then raw site features"), ("features", "institutions and tables of responses -> raw site features")):
+        f = sub.add_parser(name, help=what)
+        f.add_argument("csv_path")
+        if name == "features":
+            f.add_argument("responses", help="folder with fetch_log, robots, sitemap_docs, link_checks, css_files, tls_certs and whois as Parquet")
+        else:
+            f.add_argument("--pause", type=float, default=FeatureConfig.mid_run_pause_sec, help="seconds between two sites of a task, jittered")
+            f.add_argument("--delay", type=float, default=FeatureConfig.request_delay_sec, help="seconds between two requests to a site")
+            f.add_argument("--whois", action="store_true")
+            f.add_argument("--tasks", type=int, default=64)
+        f.add_argument("--url-column", default="school.school_url")
+        f.add_argument("--id-column", default="UNITID")
+        f.add_argument("--limit", type=int)
+        f.add_argument("--insecure", action="store_true")
+        f.add_argument("--max-pages", type=int, default=FeatureConfig.max_pages_per_site)
+        f.add_argument("--inventory", help="folder for the URL lists of sitemaps")
+        f.add_argument("--as-of", required=name == "features", help="date of the run, YYYY-MM-DD")
+        f.add_argument("--checkpoint", default=FeatureConfig.checkpoint_path, help="results of this and earlier runs; URLs found there are not computed again")
+        f.add_argument("--output", default=FeatureConfig.output_path)
     m = sub.add_parser("matrix", help="raw site features -> model matrix")
     m.add_argument("source")
-    m.add_argument("--year", type=int, required=True)
+    m.add_argument("--year", type=int)
     m.add_argument("--output", default="model_matrix")
-    a = parser.parse_args(argv)
+    return parser
+
+
+def read_responses(spark: SparkSession, folder: str) -> Responses:
+    tables = {}
+    for name in TABLES:
+        schema = schemas.CRAWL_LOG if name == "fetch_log" else getattr(schemas, name.upper())
+        tables[name] = spark.read.schema(schema).parquet(f"{folder}/{name}") if sinks.results(spark, f"{folder}/{name}") is not None else None
+    return Responses(**tables)
+
+
+def main(argv: list[str] | None = None) -> None:
+    a = arguments().parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
-    if a.step == "features":
-        config = replace(FeatureConfig(), max_pages_per_site=a.max_pages, verify_ssl=not a.insecure)
-        tables = {}
-        for name in ("fetch_log", "robots", "sitemap_docs", "link_checks", "css_files", "tls_certs", "whois"):
-            tables[name] = spark.read.schema(getattr(schemas, name.upper())).parquet(f"{a.responses}/{name}") if sinks.results(spark, f"{a.responses}/{name}") is not None else None
-        out = build_feature_dataframe(read_institutions(spark, a.csv_path, a.url_column, a.id_column), Responses(**tables), F.lit(a.as_of).cast("timestamp"), config, limit=a.limit)
-        sinks.write_table(out, a.output)
+    if a.step == "matrix":
+        print(summarize(build_model_matrix(a.source, a.year, output_csv=a.output, spark=spark)[1]))
+        return
+    config = replace(FeatureConfig(), max_pages_per_site=a.max_pages, verify_ssl=not a.insecure, save_url_inventory_dir=a.inventory)
+    inputs = read_institutions(spark, a.csv_path, a.url_column, a.id_column)
+    done = sinks.results(spark, a.checkpoint)
+    rows, twice = inputs.count(), shared_urls(inputs)
+    print(f"{rows} institutions, {twice} of which share a URL with another; {0 if done is None else done.count()} sites done before")
+    if a.insecure:
+        print("certificates are not verified")
+    if a.step == "crawl":
+        from lodestead.sources import crawl
+
+        config = replace(config, mid_run_pause_sec=a.pause, request_delay_sec=a.delay, lookup_whois=a.whois)
+        at = f"{a.checkpoint}-answers/{crawl.now():%Y%m%dT%H%M%S}"
+        sinks.write_table(crawl.crawl(sinks.todo(unique_urls(inputs, a.limit), done), config, a.tasks), at)
+        got, as_of = crawl.responses(spark.read.schema(schemas.ANSWERS).parquet(at)), a.as_of or f"{crawl.now():%Y-%m-%d %H:%M:%S}"
     else:
-        source = spark.read.option("header", True).csv(a.source) if a.source.endswith(".csv") else spark.read.parquet(a.source)
-        matrix, report = build_model_matrix(source, a.year)
-        sinks.write_csv(matrix, a.output)
-        print(summarize(report | {"output": a.output}))
+        got, as_of = read_responses(spark, a.responses), a.as_of
+    out = build_feature_dataframe(inputs, got, F.lit(as_of).cast("timestamp"), config, done, a.limit, a.checkpoint)
+    sinks.write_csv(out, a.output)
+    print(f"saved: {a.output}")
 
 
 if __name__ == "__main__":

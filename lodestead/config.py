@@ -58,6 +58,8 @@ class FeatureConfig:
     max_sitemap_urls: int = 50_000
     save_url_inventory_dir: str | None = None
     verify_ssl: bool = True
+    retry_unverified: bool = False
+    lookup_whois: bool = False
     mid_run_pause_sec: float = 5.0
     user_agent: str = "lodestead-crawler"
     checkpoint_path: str = "site_features_checkpoint"

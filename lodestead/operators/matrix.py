@@ -169,8 +169,10 @@ def complete(df: DataFrame, columns: list[str], stats: dict[str, dict], drop_con
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """Raw features from a CSV file or folder, or from Parquet."""
-    return spark.read.option("header", True).csv(path) if path.rstrip("/").endswith(".csv") else spark.read.parquet(path)
+    """Raw features from a CSV file, or from a folder of CSV or Parquet files."""
+    file = spark.read.format("binaryFile").load(path).select("path").first()  # names only
+    text = path.endswith(".csv") or file is not None and ".csv" in file[0].rpartition("/")[2]
+    return spark.read.option("header", True).csv(path) if text else spark.read.parquet(path)
 
 
 def build_model_matrix(

@@ -12,7 +12,7 @@ from lodestead.functions import urls as U
 from lodestead.operators import crawl, cross_site, domain, pages, sitemap, sites
 from lodestead.schemas import RAW_COLUMNS
 from lodestead.session import stage
-from lodestead.sinks import todo, write_inventory
+from lodestead.sinks import append_results, sanitised, todo, write_inventory
 from lodestead.sources.institutions import join_back
 
 
@@ -47,13 +47,16 @@ def site_features(urls: DataFrame, got: Responses, as_of: Column, config: Featur
     out = out.join(bypassed, "site_key", "left") if bypassed is not None else out.withColumn("ssl_bypass_used", F.lit(False))
     out = out.withColumns({"crawl_timestamp": as_of.cast("timestamp"), "ssl_bypass_used": F.coalesce("ssl_bypass_used", F.lit(False)), "pages_crawled": F.coalesce("pages_crawled", F.lit(0))})
     live = out.where("crawl_error is null").select("site_key", "hostname", "registered_domain", "input_url")
+    met = got.fetch_log.select("site_key", "url")
     if got.robots is not None:
         requested = every.select("site_key", F.col("page_seq").alias("seq"), "internal_links").join(log.select("site_key", "seq", F.col("url").alias("request")), ["site_key", "seq"])
         links = requested.select("site_key", F.col("request").alias("url"), F.posexplode("internal_links").alias("pos", "target"))
-        order = crawl.crawl_order(base.select("site_key", u.alias("url")), links, config)
+        order, _ = stage(crawl.crawl_order(base.select("site_key", u.alias("url")), links, config), "order")
+        # what was refused has been met, too
+        met = met.unionByName(crawl.refused(order.select("site_key", F.col("canon").alias("url")), got.robots, config.user_agent).select("site_key", "url"))
         out = out.join(crawl.frontier_blocked(order, got.robots, requested.select("site_key", U.canonical_url(F.col("request")).alias("canon")), config), "site_key", "left")
     if got.link_checks is not None:
-        out = out.join(sites.broken_links(sites.unvisited_links(page, got.fetch_log, config), got.link_checks), "site_key", "left")
+        out = out.join(sites.broken_links(sites.unvisited_links(page, met, config), got.link_checks), "site_key", "left")
     if got.css_files is not None:
         out = out.join(sites.css_hashes(page, got.css_files, config), "site_key", "left")
     if got.sitemap_docs is not None and got.robots is not None and config.collect_sitemap:
@@ -70,14 +73,17 @@ def site_features(urls: DataFrame, got: Responses, as_of: Column, config: Featur
     return out.select(*[(F.col(c) if c in out.columns else F.lit(None)).cast(t).alias(c) for c, t in own.items()])
 
 
-def build_feature_dataframe(inputs: DataFrame, got: Responses, as_of: Column, config: FeatureConfig = FeatureConfig(), done: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+def build_feature_dataframe(inputs: DataFrame, got: Responses, as_of: Column, config: FeatureConfig = FeatureConfig(), done: DataFrame | None = None, limit: int | None = None, checkpoint: str | None = None) -> DataFrame:
     """inputs (of read_institutions) -> features on every institution, cross-site features over all known sites.
 
-    ``done`` holds results of earlier runs: their URLs are not computed again and count as known sites.
+    ``done`` holds results of earlier runs: their URLs are not computed again and count as known sites.  New results are
+    appended to the table ``checkpoint`` as one batch, there whole or not at all.
     """
     from lodestead.sources.institutions import unique_urls
 
     new, _ = stage(site_features(todo(unique_urls(inputs, limit), done), got, as_of, config), "sites")
+    if checkpoint:
+        append_results(sanitised(new, ("structure_hashes", "css_content_hashes")), checkpoint)
     # results of an earlier version may lack columns
     known = new if done is None else new.unionByName(done.select(*[c for c in new.columns if c in done.columns]), allowMissingColumns=True)
     full = cross_site.add_cross_site_features(known)

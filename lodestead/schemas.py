@@ -11,6 +11,11 @@ SITEMAP_DOCS = "site_key string, url string, status int, content binary"
 LINK_CHECKS = "site_key string, url string, head_status int, get_status int, error string"
 CSS_FILES = "site_key string, href string, status int, content binary"
 TLS_CERTS = "hostname string, issuer_org string, subject_org string, not_after timestamp, handshake_ok boolean, error string"
+#: Everything a crawl was answered, by kind: page, robots, sitemap, check, css, tls, whois.
+ANSWERS = (
+    "kind string, site_key string, seq int, url string, final_url string, status int, headers map<string,string>, content_type string, text string, content binary, "
+    "get_status int, error string, ssl_bypass boolean"
+)
 WHOIS = "domain string, creation_dates array<timestamp>, org string, raw_text string"
 
 #: Facts of one page that need its tree.

@@ -9,9 +9,9 @@ from pyspark.sql.types import ArrayType, MapType, StructType
 from lodestead.functions.urls import file_name
 
 
-def sanitised(df: DataFrame) -> DataFrame:
-    """Arrays sorted and without repeats, as a set is written."""
-    return df.withColumns({f.name: F.array_sort(F.array_distinct(f"`{f.name}`")) for f in df.schema if isinstance(f.dataType, ArrayType)})
+def sanitised(df: DataFrame, lists: tuple[str, ...] = ()) -> DataFrame:
+    """Arrays sorted and without repeats, as a set is written; ``lists`` keep their order and repeats."""
+    return df.withColumns({f.name: F.array_sort(F.array_distinct(f"`{f.name}`")) for f in df.schema if isinstance(f.dataType, ArrayType) and f.name not in lists})
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -45,4 +45,4 @@ def append_results(df: DataFrame, path: str) -> None:
 def write_inventory(inventory: DataFrame, domains: DataFrame, path: str) -> None:
     """All URLs of a site's sitemaps, one on a line, gzipped, in a folder per domain."""
     rows = inventory.where(F.size("urls") > 0).join(domains, "site_key").select(file_name(F.col("registered_domain")).alias("site"), F.explode("urls").alias("value"))
-    rows.write.mode("overwrite").partitionBy("site").option("compression", "gzip").text(path)
+    rows.write.mode("append").partitionBy("site").option("compression", "gzip").text(path)

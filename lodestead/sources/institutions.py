@@ -21,6 +21,12 @@ def institutions(table: DataFrame, url_column: str, id_column: str) -> DataFrame
     return df.dropna(subset=[f"`{url_column}`"]).withColumn("normalized_url", normalize_url(F.col(f"`{url_column}`")))
 
 
+def shared_urls(inputs: DataFrame) -> int:
+    """Rows beyond the first of their URL."""
+    rows, urls = inputs.agg(F.count("*"), F.count_distinct("normalized_url")).first()
+    return rows - urls
+
+
 def unique_urls(inputs: DataFrame, limit: int | None = None) -> DataFrame:
     """input_url: each normalized URL once; with a limit the first by input order."""
     urls = inputs.groupBy(F.col("normalized_url").alias("input_url")).agg(F.min("ordinal").alias("ordinal"))
