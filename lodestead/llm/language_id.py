@@ -35,6 +35,8 @@ UND = "und"
 GRAMS = (4, 3, 2, 1)
 #: Numbers, and characters of words, that a worker remembers beside the model; the memory is emptied when full.
 MEMO, MEMO_CHARS = 1 << 19, 1 << 22
+#: Numbers of a model that a worker lays out as a table.
+CELLS = 1 << 22
 #: Letters of a word from which n-grams are counted at a time in training.
 STEP = 61
 #: Texts longer than this are counted piece by piece, cut at a gap between words.
@@ -65,17 +67,26 @@ class Model:
 
 
 class Scorer:
-    """Scores texts with a model; one to a Python worker."""
+    """Scores texts with a model; one to a Python worker.  A model of few numbers is laid out as a table at once, a larger
+    one word by word as they are met."""
 
     def __init__(self, model: Model):
-        self.model = model
-        self.table = np.zeros((max(1024, MEMO // max(1, len(model.languages))), len(model.languages)))
+        self.model, languages, rows = model, len(model.languages), len(model.starts) - 1
+        self.words = model.words if rows * languages <= CELLS else {}
+        self.laid = rows if self.words else 0
+        self.table = np.zeros((self.laid + max(1024, MEMO // max(1, languages)), languages))
+        self.step = len(self.table) - self.laid
+        if self.laid:
+            for names, line in ((model.words, lambda k: 0), (model.grams, lambda k: 1 + GRAMS.index(len(k)))):
+                for name, row in names.items():
+                    self.table[row] = model.base[line(name)]
+            self.table[np.repeat(np.arange(rows), np.diff(model.starts)), model.langs] += model.above
         self.memo: dict[str, int] = {}
         self.chars = 0
 
     def _remember(self, word: str) -> int:
         """Where the table holds the word's log frequencies from now on."""
-        at = len(self.memo)
+        at = self.laid + len(self.memo)
         known = self.model.words.get(word)
         self.table[at] = self._fallback(word) if known is None else self.model.total(np.array([known]), np.ones(1)) + self.model.base[0]
         self.memo[word] = at
@@ -85,24 +96,25 @@ class Scorer:
     def _fallback(self, word: str) -> np.ndarray:
         grams, marked = self.model.grams, f"\x02{word}\x03"
         for line, n in enumerate(GRAMS, 1):
-            hits = Counter(grams[g] for g in (marked[i : i + n] for i in range(len(marked) - n + 1)) if g in grams)
+            hits = [grams[g] for g in (marked[i : i + n] for i in range(len(marked) - n + 1)) if g in grams]
+            if hits and self.laid:
+                return self.table[hits].sum(axis=0) / len(hits)
             if hits:
-                rows, weights = (np.fromiter(x, np.int64, len(hits)) for x in (hits.keys(), hits.values()))
-                return self.model.total(rows, weights) / weights.sum() + self.model.base[line]
+                return self.model.total(np.array(hits), np.ones(len(hits))) / len(hits) + self.model.base[line]
         return np.zeros(len(self.model.languages))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         counts = words_of(text)
         if not self.model.languages or not counts:
             return UND, 0.0
-        memo, total, step = self.memo, np.zeros(len(self.model.languages)), len(self.table)
+        known, memo, total, step = self.words, self.memo, np.zeros(len(self.model.languages)), self.step
         items = list(counts.items())
         for at in range(0, len(items), step):
             part = items[at : at + step]
             if len(memo) + len(part) > step or self.chars > MEMO_CHARS:  # between parts only: rows handed out stay until they are added up
                 memo.clear()
                 self.chars = 0
-            ids = [r if (r := memo.get(w)) is not None else self._remember(w) for w, _ in part]
+            ids = [r if (r := known.get(w)) is not None else r if (r := memo.get(w)) is not None else self._remember(w) for w, _ in part]
             total += np.fromiter((n for _, n in part), np.float64, len(part)) @ self.table[ids]
         best = int(total.argmax())
         odds = np.exp(np.clip(total - total[best], -700, 0))

@@ -332,7 +332,7 @@ def brute_predict(counts, text):
     return max(langs, key=lambda k: (score[k], [-ord(c) for c in k]))
 
 
-def test_prediction_against_brute_force(spark, sf):
+def test_prediction_against_brute_force(spark, sf, monkeypatch):
     rows = spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()
     docs = spark.createDataFrame(rows)
     counts = {}
@@ -348,6 +348,14 @@ def test_prediction_against_brute_force(spark, sf):
                     mine[size][m[i : i + size]] += n
     got = {r.doc_id: r.lang_pred for r in L.identify_languages(docs).collect()}
     assert got == {r.doc_id: brute_predict(counts, r.text) for r in rows}
+    model = L.train(docs)
+    laid = L.Scorer(model)
+    monkeypatch.setattr(L, "CELLS", 0)
+    sparse = L.Scorer(model)
+    assert laid.laid and not sparse.laid
+    for r in rows:
+        (a, x), (b, y) = laid.predict(r.text), sparse.predict(r.text)
+        assert a == b and x == pytest.approx(y)
 
 
 def test_held_out_accuracy(spark):
