@@ -104,3 +104,20 @@ def test_many_hosts_with_large_wrappers(spark, monkeypatch):
     want = sorted(map(str, html_wrapper.main_text(pages).collect()))
     monkeypatch.setattr(html_wrapper, "BROADCAST_BYTES", 0)
     assert sorted(map(str, html_wrapper.main_text(pages).collect())) == want
+
+
+def test_query_against_brute_force(spark, sf):
+    """Every supplied page: what stands between the article's tags, cut at blocks, entities decoded."""
+    import html
+
+    from lodestead.llm import queries
+
+    def brute(page):
+        body = re.search(r"<article>(.*?)(?:</article>|\Z)", re.sub(r"<!--.*?-->", "", page or "", flags=re.S), re.S)
+        blocks = re.split(r"</?(?:h1|p)\b[^>]*>", re.sub(r"<[^>]*\Z", "", body[1])) if body else []
+        said = (" ".join(html.unescape(re.sub(r"</?b>", "", re.sub(r"<br>", " ", x))).split()) for x in blocks)
+        return " ".join(x for x in said if x)
+
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    out = queries.op2_html_main_text(spark, sf).collect()
+    assert {r.page_id: r.text for r in out} == {i: brute(h) for i, h in pages.items()} and all(r.n_chars == len(r.text) for r in out)
