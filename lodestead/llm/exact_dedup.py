@@ -59,7 +59,8 @@ class DigestIndex:
     def append(self, rows: DataFrame, batch: str) -> None:
         """Accept what is new.  The append is one job, so it is there whole or not at all; after it nothing is new."""
         new = self.fresh(rows).select("digest", "keep_id", F.lit(batch).alias("batch"))
-        new.repartition(self.buckets, "digest").write.mode("append").insertInto(self.table)
+        # each bucket is written by one task, whatever the number of partitions comes to, so an append adds a file a bucket
+        new.repartition(self.buckets, F.pmod(F.hash("digest"), F.lit(self.buckets))).write.mode("append").insertInto(self.table)
         self.spark.catalog.refreshTable(self.table)
 
     def judge(self, rows: DataFrame, batches: list[str]) -> DataFrame:
