@@ -6,13 +6,12 @@ import argparse
 from dataclasses import replace
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from lodestead import schemas, sinks
 from lodestead.config import FeatureConfig
 from lodestead.operators.matrix import build_model_matrix, summarize
-from lodestead.plans.features import Responses, build_feature_dataframe
-from lodestead.sources.institutions import read_institutions, shared_urls, unique_urls
+from lodestead.plans.features import Responses
+from lodestead.plans.run import build_from_csv
 
 TABLES = ("fetch_log", "robots", "sitemap_docs", "link_checks", "css_files", "tls_certs", "whois")
 
@@ -61,24 +60,11 @@ def main(argv: list[str] | None = None) -> None:
         print(summarize(build_model_matrix(a.source, a.year, output_csv=a.output, spark=spark)[1]))
         return
     config = replace(FeatureConfig(), max_pages_per_site=a.max_pages, verify_ssl=not a.insecure, save_url_inventory_dir=a.inventory)
-    inputs = read_institutions(spark, a.csv_path, a.url_column, a.id_column)
-    done = sinks.results(spark, a.checkpoint)
-    rows, twice = inputs.count(), shared_urls(inputs)
-    print(f"{rows} institutions, {twice} of which share a URL with another; {0 if done is None else done.count()} sites done before")
-    if a.insecure:
-        print("certificates are not verified")
     if a.step == "crawl":
-        from lodestead.sources import crawl
-
-        config = replace(config, mid_run_pause_sec=a.pause, request_delay_sec=a.delay, lookup_whois=a.whois)
-        at = f"{a.checkpoint}-answers/{crawl.now():%Y%m%dT%H%M%S}"
-        sinks.write_table(crawl.crawl(sinks.todo(unique_urls(inputs, a.limit), done), config, a.tasks), at)
-        got, as_of = crawl.responses(spark.read.schema(schemas.ANSWERS).parquet(at)), a.as_of or f"{crawl.now():%Y-%m-%d %H:%M:%S}"
+        config, got, tasks = replace(config, mid_run_pause_sec=a.pause, request_delay_sec=a.delay, lookup_whois=a.whois), None, a.tasks
     else:
-        got, as_of = read_responses(spark, a.responses), a.as_of
-    out = build_feature_dataframe(inputs, got, F.lit(as_of).cast("timestamp"), config, done, a.limit, a.checkpoint)
-    sinks.write_csv(out, a.output)
-    print(f"saved: {a.output}")
+        got, tasks = read_responses(spark, a.responses), 1
+    build_from_csv(spark, a.csv_path, a.url_column, a.id_column, a.checkpoint, a.output, a.limit, got, a.as_of, config, tasks)
 
 
 if __name__ == "__main__":

@@ -16,7 +16,6 @@ import urllib.request
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
-from datetime import datetime, timezone
 from urllib.parse import urljoin, urlsplit
 from urllib.robotparser import RobotFileParser
 
@@ -255,7 +254,3 @@ def responses(answers: DataFrame) -> Responses:
         of("tls", F.col("url").alias("hostname"), fields["issuer"].alias("issuer_org"), fields["subject"].alias("subject_org"), F.timestamp_seconds(fields["until"].cast("double")).alias("not_after"), ok.alias("handshake_ok"), "error").dropDuplicates(["hostname"]),
         of("whois", F.col("url").alias("domain"), dates.alias("creation_dates"), F.nullif(F.regexp_extract("text", ORGANISATION, 1), F.lit("")).alias("org"), F.col("text").alias("raw_text")).where("raw_text is not null").dropDuplicates(["domain"]),
     )
-
-
-def now() -> datetime:
-    return datetime.now(timezone.utc)
