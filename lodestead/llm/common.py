@@ -6,12 +6,17 @@ folder that all executors share, so a lost executor costs a re-read and never a
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestead.session import scratch_dir, ship, stage, unstage
 
-__all__ = ["attach", "broadcast_if_small", "components", "free_names", "lower_ascii", "one_of_each", "read_table", "scratch_dir", "stage", "unstage"]
+__all__ = ["attach", "broadcast_if_small", "components", "free_names", "lower_ascii", "one_of_each", "read_table", "scratch_dir", "stage", "tidy", "unstage"]
 
 #: A side is broadcast only if its counted rows times its row width stay below this.
 BROADCAST_BYTES = 16 << 20
@@ -98,6 +103,34 @@ def _seal(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(mixed.cast("decimal(38,0)")), F.bit_xor(mixed)).first())
 
 
+#: What empties the memories that operators keep in a Python worker between tasks.
+KEPT: list[Callable[[], None]] = []
+
+
+def tidy(run: Callable, keep: Callable[[], None] | None = None) -> Callable:
+    """A task's function that gives memory back before and after: workers serve one stage after the other, so what an
+    earlier one keeps would be held beside its own.  ``keep`` is left in place."""
+
+    def task(batches):
+        fresh_worker(keep)
+        yield from run(batches)
+        fresh_worker(keep)
+
+    return task
+
+
+def fresh_worker(keep: Callable[[], None] | None = None) -> None:
+    for clear in KEPT:
+        if clear is not keep:
+            clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own counsel
+        pass
+
+
 def lower_ascii(text):
     """Lower-case A-Z and nothing else; the built-in lower() serves where every character is ASCII."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

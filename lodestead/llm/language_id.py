@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestead.llm.common import broadcast_if_small, stage
+from lodestead.llm.common import broadcast_if_small, stage, tidy
 from lodestead.session import ship
 
 UND = "und"
@@ -239,7 +239,7 @@ def identify(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
             found = [scorer.predict(t.as_py()) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def identify_languages(docs: DataFrame, **how) -> DataFrame:

@@ -32,6 +32,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestead.llm.common import KEPT, tidy
 from lodestead.session import ship
 
 #: Where the vocabulary lies unless a path is given; never copied into the repository.
@@ -40,7 +41,7 @@ MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Characters cut at a time, new words encoded at a time, words remembered, and one text in how many is checked whole.
-BATCH_CHARS, WORDS, MEMO, PARITY = 1 << 18, 4096, 250_000, 64
+BATCH_CHARS, WORDS, MEMO, PARITY = 1 << 18, 4096, 125_000, 64
 
 
 @dataclass
@@ -240,6 +241,12 @@ def codec_of(path: str, threads: int) -> Codec:
     return Codec(path, threads)
 
 
+def forget() -> None:
+    codec_of.cache_clear()
+
+
+KEPT.append(forget)
+
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _EDGE = re.compile(f"[^{MARK}](?={MARK})")
 
@@ -299,7 +306,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL, threads: int = 2, pari
                     names=["doc_id", "ids", "n_tokens", "round_trip", "checked", "original"])
 
     rows = docs.select(F.col("doc_id").cast("bigint"), "text", (F.pmod(F.xxhash64("text"), F.lit(parity)) == 0).alias("check"))
-    return rows.mapInArrow(run, "doc_id bigint, ids array<int>, n_tokens bigint, round_trip boolean, checked boolean, original boolean")
+    return rows.mapInArrow(tidy(run, forget), "doc_id bigint, ids array<int>, n_tokens bigint, round_trip boolean, checked boolean, original boolean")
 
 
 def token_digests(docs: DataFrame, **how) -> DataFrame:

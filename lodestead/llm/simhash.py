@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestead.llm.common import attach, broadcast_if_small, components, free_names, one_of_each, stage
+from lodestead.llm.common import attach, broadcast_if_small, components, free_names, one_of_each, stage, tidy
 from lodestead.session import ship
 
 CHUNK = 1 << 15
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps, pa.int64())], names=["doc_id", "mark", "fp"])
 
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("mark")).mapInArrow(run, "doc_id bigint, mark bigint, fp bigint")
+    return docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("mark")).mapInArrow(tidy(run), "doc_id bigint, mark bigint, fp bigint")
 
 
 def ball(width: int, radius: int) -> list[int]:
