@@ -7,7 +7,6 @@ folder that all executors share, so a lost executor costs a re-read and never a
 from __future__ import annotations
 
 import ctypes
-import gc
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -123,7 +122,6 @@ def fresh_worker(keep: Callable[[], None] | None = None) -> None:
     for clear in KEPT:
         if clear is not keep:
             clear()
-    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
