@@ -142,8 +142,10 @@ def profile(df: DataFrame, columns: list[str]) -> dict[str, dict]:
     return out
 
 
-def complete(df: DataFrame, columns: list[str], stats: dict[str, dict], drop_constant: bool = True) -> tuple[DataFrame, dict]:
-    """Missing indicators, median imputation, constant columns dropped: one projection, decided by ``profile``."""
+def complete(df: DataFrame, columns: list[str], stats: dict[str, dict], drop_constant: bool = True, keep: tuple[str, ...] = ()) -> tuple[DataFrame, dict]:
+    """Missing indicators, median imputation, constant columns dropped: one projection, decided by ``profile``.
+
+    Columns named in ``keep`` stay even if constant, for callers whose schema must not hang on the data."""
     rows = stats[""]["rows"]
     ids = [f"`{c}`" for c in df.columns if c not in columns]
     medians, dropped, kept, flags, lost = {}, [], [], [], []
@@ -155,12 +157,12 @@ def complete(df: DataFrame, columns: list[str], stats: dict[str, dict], drop_con
             medians[c] = fill
         constant = s["n"] == 0 or s["lo"] == s["hi"]
         value = F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(float(fill))) if missing else F.col(f"`{c}`")
-        if drop_constant and constant:
+        if drop_constant and constant and c not in keep:
             dropped.append(c)
         else:
             kept.append(value.alias(c))
         if missing:
-            if drop_constant and s["n"] == 0:
+            if drop_constant and s["n"] == 0 and c not in keep:
                 lost.append(f"{c}_missing")
             else:
                 flags.append(F.col(f"`{c}`").isNull().cast("int").alias(f"{c}_missing"))

@@ -33,3 +33,16 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_drop_constants_where_every_site_reaches_the_cap(spark, sf, tmp_path):
+    """pages_crawled is 25 throughout, yet the SQL names it."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet").where("page_id = 0")
+    pages.selectExpr("explode(sequence(0L, 29L)) AS page_id", "url", "html").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    expected = c.execute(catalogue.ORACLES["drop_constants"])
+    names, rows = [d[0] for d in expected.description], expected.fetchall()
+    assert {r[names.index("pages_crawled")] for r in rows} == {25}
+    got = catalogue.QUERIES["drop_constants"](spark, str(tmp_path))
+    assert got.columns == names and sorted(map(tuple, got.collect())) == sorted(rows)
