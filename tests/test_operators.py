@@ -60,6 +60,11 @@ def test_visible_text():
     assert parse_page(None, "http://x/") is None
 
 
+def test_references_without_semicolon_stay():
+    facts = parse_page("<title>ver&amp</title><p>a &copy 1 &amp; &copy; &notit; &#38; &eacute; & b &am</p>", "http://x/")
+    assert facts["visible_text"] == "ver&amp a &copy 1 & \u00a9 &notit; & \u00e9 & b &am"
+
+
 def test_boilerplate(spark):
     make = lambda n: rows(spark, "site_key string, page_seq int, shingles array<string>", *[("s", i, ["x", "y"] if i == 0 else ["x"] if i == 3 else ["z"]) for i in range(n)])
     assert sites.boilerplate(make(5)).first().boilerplate_ratio == 0.5
