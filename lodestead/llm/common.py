@@ -12,10 +12,12 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from lodestead.session import scratch_dir, ship, stage, unstage
+from lodestead.session import scratch_dir, settle, ship, stage, unstage
 
-__all__ = ["attach", "broadcast_if_small", "components", "free_names", "lower_ascii", "one_of_each", "read_table", "scratch_dir", "stage", "tidy", "unstage"]
+__all__ = ["attach", "broadcast_if_small", "components", "free_names", "lower_ascii", "one_of_each", "read_table", "scratch_dir", "settle", "small_table", "stage", "tidy", "unstage"]
 
 #: A side is broadcast only if its counted rows times its row width stay below this.
 BROADCAST_BYTES = 16 << 20
@@ -47,6 +49,13 @@ def one_of_each(df: DataFrame, keys: list, columns: list[str]) -> DataFrame:
     return first.select("row.*")
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows of the driver as a local relation.  createDataFrame on tuples starts Python workers on the executors to unpickle
+    them, which stay for a minute beside those of the stage."""
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    return spark.createDataFrame(pa.table([pa.array([r[i] for r in rows], kind.type) for i, kind in enumerate(kinds)], schema=kinds), schema=StructType.fromDDL(schema))
+
+
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """Hint a broadcast only for a side whose counted size is proven small; otherwise leave the join to a shuffle."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

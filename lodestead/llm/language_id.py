@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestead.llm.common import broadcast_if_small, stage, tidy
+from lodestead.llm.common import broadcast_if_small, small_table, stage, tidy
 from lodestead.session import ship
 
 UND = "und"
@@ -187,7 +187,7 @@ def most_frequent(counts: DataFrame, most: int) -> DataFrame:
             left -= names
         else:
             rules.append((lang, kind, 0, 1.0))
-    table = counts.sparkSession.createDataFrame(rules, "lang string, kind int, least bigint, share double")
+    table = small_table(counts.sparkSession, rules, "lang string, kind int, least bigint, share double")
     draw = F.pmod(F.xxhash64(F.lit(5), "name"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     kept = counts.join(broadcast_if_small(table, len(rules), 64), ["lang", "kind"]).where((F.col("n") > F.col("least")) | (F.col("n") == F.col("least")) & (draw < F.col("share")))
     return stage(kept.drop("least", "share"), "frequent")[0]

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestead.llm.common import attach, broadcast_if_small, free_names, stage
+from lodestead.llm.common import attach, broadcast_if_small, free_names, small_table, stage
 from lodestead.session import ship
 
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -128,7 +128,7 @@ def plan_mix(histogram: DataFrame, weights: tuple[float, ...], share: float, cap
     for r, words, target in zip(per, sizes, targets):
         passes = min(cap, int(target // words)) if words else 0
         rows.append((r["source"], words, float(target), passes, int(round(target - passes * words)) if passes < cap else 0))
-    goals = spark.createDataFrame(rows, "source string, source_size bigint, target double, passes int, rest bigint")
+    goals = small_table(spark, rows, "source string, source_size bigint, target double, passes int, rest bigint")
     ship(spark)
     joined = histogram.join(broadcast_if_small(goals, len(rows), 64), histogram.source.eqNullSafe(goals.source)).drop(goals.source)
 

@@ -11,6 +11,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SENT: set[str] = set()
 _STAGED: dict[str, set[str]] = {}
@@ -73,6 +74,17 @@ def release(spark: SparkSession, since: frozenset[str] = frozenset()) -> None:
         unstage(spark, path)
 
 
+def settle(spark: SparkSession) -> None:
+    """Have all JVMs collect, between steps: a heap keeps the size that a finished step made it grow to, and would hold it
+    beside what the next one and its Python workers need; and shuffle files stay until the driver finds them unused.  As
+    many tasks as cores, at a time, so that each executor gets some; with DisableExplicitGC nothing happens."""
+    context, n = spark.sparkContext, 1
+    if not context.master.startswith("local[") and context.master != "local":
+        context._jvm.System.gc()
+        n = context.defaultParallelism
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def staged(spark: SparkSession) -> frozenset[str]:
     """Paths of the tables staged by this application and not deleted yet."""
     return frozenset(_STAGED.get(spark.sparkContext.applicationId, ()))

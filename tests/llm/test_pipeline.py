@@ -5,9 +5,10 @@ from collections import Counter, defaultdict
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 import corpus_pipeline
-from lodestead.llm import mixing, queries
+from lodestead.llm import common, language_id, mixing, queries
 from lodestead.llm import sentencepiece_codec as S
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -91,3 +92,33 @@ def test_registered():
 
     assert set(queries.QUERIES) <= set(__spark_entry__.queries()) and set(queries.ORACLES) <= set(__spark_entry__.oracle_sql())
     assert [k for k in queries.QUERIES if k.startswith("op")] == sorted((k for k in queries.QUERIES if k.startswith("op")), key=lambda k: int(k[2:].split("_")[0]))
+
+
+def test_stages_give_memory_back(spark, make_docs, odd_docs):
+    """Each stage has the JVMs collect before its work: what an earlier one made a heap grow to is not held beside it."""
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    whole = [b for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName()]
+    for name, stage in corpus_pipeline.STAGES:
+        before = sum(b.getCollectionCount() for b in whole)
+        stage(spark, make_docs(*odd_docs), "")
+        assert sum(b.getCollectionCount() for b in whole) > before, name
+
+
+def test_small_tables_start_no_workers(spark):
+    """Tables of rows that the driver has are local relations, not RDDs that Python workers unpickle."""
+    schema = "lang string, kind int, least bigint, share double"
+    rows = [("de", 0, 1 << 40, 0.25), (None, 3, 0, 1.0)]
+    for some in (rows, []):
+        table = common.small_table(spark, some, schema)
+        assert [tuple(r) for r in table.collect()] == some and table.schema == StructType.fromDDL(schema)
+        assert "ExistingRDD" not in table._jdf.queryExecution().executedPlan().toString()
+    words = spark.createDataFrame([("a", "x", 3, 0), ("b", "y", 2, 0)], "lang string, name string, n bigint, kind int")
+    histogram = spark.createDataFrame([("a", 3, 2), (None, 2, 1)], "source string, size bigint, n bigint")
+    for module, call in ((language_id, lambda: language_id.most_frequent(words, 5)), (mixing, lambda: mixing.plan_mix(histogram, (5, 2, 1), 1.5, 2, 64))):
+        made, was = [], module.small_table
+        module.small_table = lambda *a: made.append(was(*a)) or made[-1]
+        try:
+            call()
+        finally:
+            module.small_table = was
+        assert made and "ExistingRDD" not in made[0]._jdf.queryExecution().executedPlan().toString()
