@@ -40,6 +40,8 @@ BITS = 64
 WORDS = ("w0", "w1", "w2", "w3")
 #: Fingerprints that share a segment's value and are still compared one by one.
 BUCKET = 64
+#: The same for segments of wide fingerprints, after which an exact index finds what is left.
+WIDE_BUCKET = 8
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -142,41 +144,66 @@ def ball_links(fps: DataFrame, radius: int = 2, segments: int = 2, bucket: int =
     return met if crowded is None else met.unionByName(whole_ball_links(crowded, radius)).distinct()
 
 
-def wide_rows(fps: DataFrame, segments: int, radius: int, around: bool) -> DataFrame:
-    """(at, key, other): the tables' rows, or with ``around`` all look-ups; ``at`` holds the segment and its value, ``other``
-    a word that the segment is not cut from.  No segment spans two words."""
+def wide_rows(fps: DataFrame, segments: int, radius: int) -> DataFrame:
+    """(at, key, other, home): the look-ups, of which those ``home`` are the tables' rows; ``at`` holds the segment and its
+    value, ``other`` a word that the segment is not cut from.  No segment spans two words."""
     each = []
     for i, (first, width, deep) in enumerate(cuts(segments, radius, BITS * len(WORDS))):
         word, bit = divmod(first, BITS)
         if bit + width > BITS:
             raise ValueError("segments must not span two words")
         value = f"({i}L << 48) | (shiftrightunsigned({WORDS[word]}, {bit}) & {(1 << width) - 1}L)"
-        points = ", ".join(f"{x}L" for x in ball(width, deep if around else 0))
-        each.append(f"transform(array({points}), x -> named_struct('at', ({value}) ^ x, 'other', {WORDS[(word + 1) % len(WORDS)]}))")
-    return fps.select("key", F.expr(f"explode(concat({', '.join(each)}))").alias("of")).select("of.at", "key", "of.other")
-
-
-def wide_links(fps: DataFrame, radius: int = 12, reach: int = 64, segments: int = 12, bucket: int = BUCKET) -> DataFrame:
+        points = ", ".join(f"{x}L" for x in ball(width, deep))
+        each.append(f"transform(array({points}), x -> named_struct('at', ({value}) ^ x, 'other', {WORDS[(word + 1) % len(WORDS)]}, 'home', x = 0))")
+    return fps.select("key", F.expr(f"explode(concat({', '.join(each)}))").alias("of")).select("of.at", "key", "of.other", "of.home")
+
+
+def bucket_pairs(at: np.ndarray, key: np.ndarray, other: np.ndarray, home: np.ndarray, bucket: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b), a > b, of the keys that meet under each value of ``at``; rows lie by at, residents (home) first, then by
+    other.  Up to ``bucket`` residents meet each other and all who look in, if ``other`` allows; of more each meets the
+    one before it and the first.  So a row makes at most ``bucket`` pairs, whatever the size of its group."""
+    start = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))[np.cumsum(np.concatenate(([0], at[1:] != at[:-1])))]
+    place = np.arange(len(at)) - start
+    held = np.concatenate(([0], np.cumsum(home)))[np.append(start[1:][start[1:] != start[:-1]], len(at))]
+    held = np.diff(held, prepend=0)[np.cumsum(np.concatenate(([0], at[1:] != at[:-1])))]
+    few, one, two = held <= bucket, [], []
+    for k in range(bucket):  # each row and the resident at place k
+        i = np.flatnonzero(few & (place > k) & (held > k))
+        j = start[i] + k
+        close = np.bitwise_count((other[i] ^ other[j]).view(np.uint64)) <= 20
+        one.append(i[close]), two.append(j[close])
+    i = np.flatnonzero(~few & home & (place > 0))
+    one.extend((i, i)), two.extend((i - 1, start[i]))
+    a, b = key[np.concatenate(one)], key[np.concatenate(two)]
+    return np.maximum(a, b)[a != b], np.minimum(a, b)[a != b]
+
+
+def wide_links(fps: DataFrame, radius: int = 12, reach: int = 64, segments: int = 12, bucket: int = WIDE_BUCKET) -> DataFrame:
     """Pairs (a, b), a > b, of keys whose wide fingerprints (key, WORDS) meet in a segment's table and differ in ``reach``
     bits or fewer: all within ``radius`` and part of the others.
 
-    Of a segment value that more than ``bucket`` keys share only neighbours and the first are paired: the caller must
-    have an exact way for the rest, as ``set_join`` has.  A pair that differs in more than 20 of the 64 bits of the word
-    carried along goes at once (at the reach of 64 in 256 bits 16 are expected)."""
-    table, looks = wide_rows(fps, segments, radius, False), wide_rows(fps, segments, radius, True)
-    hot, _ = stage(table.groupBy("at").agg(F.count("*").alias("n")).where(F.col("n") > bucket).drop("n"), "hot")
-    n = hot.count()
-    pair = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
-    chain = None
-    if n:
-        few = broadcast_if_small(hot, n, 24)
-        order = "over (partition by at order by other, key)"
-        near = table.join(few, "at", "left_semi").select(F.col("key").alias("a"), F.expr(f"array(lag(key) {order}, first(key) {order})").alias("bs"))
-        chain = near.select("a", F.explode("bs").alias("b")).where("b is not null and a <> b").select(*pair)
-        table, looks = (x.join(few, "at", "left_anti") for x in (table, looks))
-    met = looks.select("at", F.col("key").alias("a"), F.col("other").alias("x")).join(table.select("at", F.col("key").alias("b"), F.col("other").alias("y")), "at")
-    met = met.where("a <> b and bit_count(x ^ y) <= 20").select(*pair)
-    met = (met if chain is None else met.unionByName(chain)).distinct()
+    Of a segment value that more than ``bucket`` keys share only neighbours and the first are paired, so pairs are in
+    proportion to the fingerprints: the caller must have an exact way for the rest, as ``set_join`` has.  A pair that
+    differs in more than 20 of the 64 bits of the word carried along goes at once (at the reach of 64 in 256 bits 16 are
+    expected)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None  # the last value's rows, which may go on in the next batch
+        for batch in itertools.chain(batches, [None]):
+            now = left if batch is None else [x.to_numpy(zero_copy_only=False) for x in batch.columns]
+            if batch is not None and left is not None:
+                now = [np.concatenate(x) for x in zip(left, now)]
+            if now is None or not len(now[0]):
+                continue
+            cut = len(now[0]) if batch is None else int(np.searchsorted(now[0], now[0][-1]))
+            left = [x[cut:] for x in now]
+            if cut:
+                a, b = bucket_pairs(*[x[:cut] for x in now], bucket)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    ship(fps.sparkSession)
+    rows = wide_rows(fps, segments, radius).repartition("at").sortWithinPartitions("at", F.desc("home"), "other", "key")
+    met = rows.mapInArrow(tidy(run), "a bigint, b bigint").distinct()
     a, b = (fps.select(F.col("key").alias(k), *[F.col(w).alias(k + w) for w in WORDS]) for k in ("a", "b"))
     distance = " + ".join(f"bit_count(a{w} ^ b{w})" for w in WORDS)
     return met.join(a, "a").join(b, "b").where(f"{distance} <= {reach}").select("a", "b")
