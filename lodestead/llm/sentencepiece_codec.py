@@ -6,8 +6,10 @@ get the merges that their scores imply.  Where no piece carries the marker after
 each word first, which changes no result and makes long texts linear in time.
 
 Parity is verified, not assumed: every word that enters a worker's memory is encoded by the sentencepiece library too,
-and one whole text in ``PARITY`` besides; every whole text of a model that normalises more than spaces.  The rebuilt BPE ranks the ways to merge one piece, where the original takes
-the leftmost; where that shows, the original's ids are taken, and the row says so.
+in runs of ``RUN`` words (no piece reaches from one word into the next, so equal ids of a run are equal ids of its words;
+where a run's differ, word by word), and one whole text in ``PARITY`` besides; every whole text of a model that
+normalises more than spaces.  The rebuilt BPE ranks the ways to merge one piece, where the original takes the leftmost;
+where that shows, the original's ids are taken, and the row says so.
 
 Defined results: a null or empty text has no tokens and decodes to itself (null: empty); line ends and control
 characters are kept as the model's normaliser keeps them; text that the vocabulary lacks becomes bytes; very long texts
@@ -40,8 +42,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Characters cut at a time, new words encoded at a time, words remembered, and one text in how many is checked whole.
-BATCH_CHARS, WORDS, MEMO, PARITY = 1 << 18, 4096, 125_000, 64
+#: Characters cut at a time, new words encoded at a time, words that make one input of either library, words remembered,
+#: and one text in how many is checked whole.
+BATCH_CHARS, WORDS, RUN, MEMO, PARITY = 1 << 18, 4096, 64, 160_000, 64
 
 
 @dataclass
@@ -134,7 +137,8 @@ def build(spec: Spec):
     unknown = next((i for i, (_, _, kind) in enumerate(spec.pieces) if kind == UNKNOWN), 0)
     if spec.kind == BPE:
         vocab = {p: i for i, (p, _, _) in enumerate(spec.pieces)}
-        model = models.BPE(vocab, merges(spec), unk_token=spec.pieces[unknown][0], fuse_unk=True, byte_fallback=spec.byte_fallback)
+        # words are remembered by the codec, so the model's own cache would only be missed
+        model = models.BPE(vocab, merges(spec), cache_capacity=0, unk_token=spec.pieces[unknown][0], fuse_unk=True, byte_fallback=spec.byte_fallback)
     elif spec.kind == UNIGRAM:
         model = models.Unigram([(p, s) for p, s, _ in spec.pieces], unknown, spec.byte_fallback)
     else:
@@ -160,7 +164,9 @@ class Codec:
     """A model file ready to encode and decode; one to a Python worker.
 
     Where texts may be cut before each word, a batch's distinct new words are encoded together, on several threads, and
-    remembered as packed ids (at most ``MEMO`` words, emptied when full); a text is then a join of packed ids.
+    remembered as packed ids; a text is then a join of packed ids.  Of at most ``MEMO`` words, those stay when the memory
+    is full that came again since it last was.  A word is known by its text without the first marker; one without a
+    marker, as a text may begin with, by itself behind a space, which no word holds.
     """
 
     def __init__(self, path: str, threads: int = 2):
@@ -178,6 +184,8 @@ class Codec:
         if self.by_word:  # texts are normalised and cut here; the pipeline then sees single words
             self.tokenizer.normalizer = self.tokenizer.pre_tokenizer = None
         self.memo: dict[str, bytes] = {}
+        self.again: set[str] = set()
+        self.marked = np.array([p.startswith(MARK) for p, *_ in self.spec.pieces])
         self.differ: set[str] = set()
         self.said = pa.array([bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " \u2047 ".encode() if kind == UNKNOWN else p.replace(MARK, " ").encode() for p, _, kind in self.spec.pieces], pa.binary())
 
@@ -197,12 +205,13 @@ class Codec:
             return out, [False] * len(out)
         out, own = [], []
         for part in batches_of(texts):
-            cut = [[_CHUNK.findall(w) for w in windows(self.normalise(t))] for t in part]
+            cut = [self._cut(t) for t in part]
             words = set().union(*(window for text in cut for window in text))
             new = list(words.difference(self.memo))
+            words.difference_update(new)
+            self.again |= words
             if len(self.memo) + len(new) > MEMO:
-                self.memo.clear()
-                new = list(words)
+                self._sweep(words, MEMO - len(new))
             for at in range(0, len(new), WORDS):
                 self._remember(new[at : at + WORDS])
             known = self.memo.__getitem__
@@ -210,22 +219,45 @@ class Codec:
             own += [not all(map(self.differ.isdisjoint, text)) for text in cut] if self.differ else [False] * len(cut)
         return out, own
 
+    def _cut(self, text: str) -> list[list[str]]:
+        """The words of each window of a text, as they are known."""
+        if self.plain and len(text) <= BATCH_CHARS and not text.startswith(" ") and "  " not in text and MARK not in text:
+            return [text.split(" ")] if text else []  # each word has one marker, its own
+        return [[w[1:] if w[0] == MARK else " " + w for w in _CHUNK.findall(window)] for window in windows(self.normalise(text))]
+
+    def _sweep(self, needed: set[str], room: int) -> None:
+        """Forget words that did not come again; all that are not needed now if there is no room for the others."""
+        self.memo = {w: self.memo[w] for w in (self.again if len(self.again) <= room else needed)}
+        self.again = set()
+
     def _remember(self, new: list[str]) -> None:
         """Encode words by both libraries; where they differ the original's ids are kept."""
-        # a word's own marker is the space that the original puts in front; without that rule it stands as a space
-        lead = 1 if self.spec.dummy_prefix else 0
-        right = self.original.encode([w[lead:].replace(MARK, " ") if w[:1] == MARK else w for w in new], num_threads=1)
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        if found != right:
-            for i, word in enumerate(new):
-                if found[i] != right[i] and self.plain and word[:1] == MARK and word != MARK:  # nothing is put in front of an empty text
-                    self.differ.add(word)
-                    found[i] = right[i]
-        flat, at = np.fromiter(itertools.chain.from_iterable(found), np.int32).tobytes(), 0
-        for word, ids in zip(new, found):
-            end = at + 4 * len(ids)
-            self.memo[word] = flat[at:end]
-            at = end
+        if self.spec.kind != BPE:
+            return self._one_by_one(new)
+        text = " ".join(new)
+        if MARK in text or "" in new or text.count(" ") >= len(new):  # words with more or fewer markers than the one in front
+            odd = [w for w in new if not w or w[0] == " " or MARK in w]
+            self._one_by_one(odd)
+            new = list(set(new).difference(odd))
+        runs = [new[at : at + RUN] for at in range(0, len(new), RUN)]
+        texts = [" ".join(run) for run in runs]
+        found = self.tokenizer.encode_batch_fast([MARK + text.replace(" ", MARK) for text in texts], add_special_tokens=False)
+        for run, text, ids in zip(runs, texts, (e.ids for e in found)):
+            packed = np.array(ids, np.int32)
+            starts = (4 * np.flatnonzero(self.marked[packed])).tolist()
+            if len(starts) != len(run) or self.plain and self.original.encode(text) != ids:
+                self._one_by_one(run)
+                continue
+            self.memo.update(zip(run, map(packed.tobytes().__getitem__, map(slice, starts, [*starts[1:], None]))))
+
+    def _one_by_one(self, words: list[str]) -> None:
+        found = self.tokenizer.encode_batch_fast([w[1:] if w[:1] == " " else MARK + w for w in words], add_special_tokens=False)
+        right = self.original.encode([w.replace(MARK, " ") for w in words], num_threads=1) if self.plain else itertools.repeat(None)
+        for word, ids, theirs in zip(words, (e.ids for e in found), right):
+            if self.plain and word and ids != theirs:  # nothing is put in front of an empty text
+                self.differ.add(word)
+                ids = theirs
+            self.memo[word] = struct.pack(f"={len(ids)}i", *ids)
 
     def decode(self, ids: np.ndarray | list[int]) -> str:
         """The text of ids: pieces with markers as spaces, bytes as they are, without the space put in front."""
@@ -291,8 +323,8 @@ def encode_documents(docs: DataFrame, model: str = MODEL, threads: int = 2, pari
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                texts = [t.as_py() or "" for t in batch.column(1)]
-                check = [bool(x.as_py()) for x in batch.column(2)]
+                texts = [t or "" for t in batch.column(1).to_pylist()]
+                check = [bool(x) for x in batch.column(2).to_pylist()]
                 (packed, own), same = codec.encode_told(texts), []
                 for i, text in enumerate(texts):
                     check[i] |= not codec.plain

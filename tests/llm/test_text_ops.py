@@ -1,3 +1,4 @@
+import dataclasses
 import hashlib
 import math
 import re
@@ -190,6 +191,78 @@ def test_encode_documents(make_docs, odd_docs):
     assert S.token_digests(make_docs((1, "a", None, None)).where("false")).count() == 0
 
 
+def tapped(codec, name):
+    """Calls of a method of the codec, as they are made."""
+    made, was = [], getattr(codec, name)
+    setattr(codec, name, lambda *a, **k: made.append(a) or was(*a, **k))
+    return made
+
+
+def ids_of(codec, texts):
+    return [np.frombuffer(p, np.int32).tolist() for p in codec.encode(texts)]
+
+
+def test_words_that_come_again_stay_in_memory(monkeypatch):
+    monkeypatch.setattr(S, "MEMO", 60)
+    codec = S.Codec(S.MODEL, 1)
+    told = tapped(codec, "_remember")
+    for i in range(20):
+        text = f"the quick brown fox {' '.join(f'w{i}x{k}' for k in range(20))} the lazy dog"
+        assert ids_of(codec, [text]) == [codec.original.encode(text)] and len(codec.memo) <= 60
+    times = Counter(w.lstrip(S.MARK) for (new,) in told for w in new)
+    assert [times[w] for w in ("the", "quick", "lazy", "dog", "w3x5")] == [1] * 5
+
+
+def test_new_words_are_encoded_in_runs():
+    codec = S.Codec(S.MODEL, 1)
+    inputs, was = [], codec.tokenizer.encode_batch_fast
+
+    class Counted:
+        def encode_batch_fast(self, texts, **how):
+            inputs.extend(texts)
+            return was(texts, **how)
+
+    codec.tokenizer = Counted()
+    text = " ".join(f"word{i}." for i in range(1000))
+    assert ids_of(codec, [text]) == [codec.original.encode(text)] and len(inputs) <= 1000 // 16
+
+
+SPACES = ["a  b", " a", "a ", "a   ", "  ", " ", "", "▁", "▁a", "a▁▁b ", "▁▁", "a \n b", "\n", "a\u0000 b", "\t a  ▁ b", "\u00a0 a\u2003b", "é ☃☃ ☃", "a" * 300]
+
+
+@pytest.mark.parametrize("memo, run", [(160_000, 64), (4, 2), (1, 1)])
+def test_spaces_and_markers_keep_parity(monkeypatch, memo, run):
+    monkeypatch.setattr(S, "MEMO", memo)
+    monkeypatch.setattr(S, "RUN", run)
+    codec = S.Codec(S.MODEL, 1)
+    for texts in (SPACES, SPACES[::-1], [a + b for a in SPACES for b in SPACES], [f"{a} x{b}" for a in SPACES for b in SPACES]):
+        assert ids_of(codec, texts) == [codec.original.encode(t) for t in texts]
+
+
+def test_a_wrong_rebuild_is_found_out_in_runs():
+    """Merges in the wrong order: each word that they change takes the original's ids, and its texts say so."""
+    codec = S.Codec(S.MODEL, 1)
+    codec.tokenizer = S.build(dataclasses.replace(codec.spec, pieces=[(p, -score, kind) for p, score, kind in codec.spec.pieces]))
+    codec.tokenizer.normalizer = codec.tokenizer.pre_tokenizer = None
+    texts = ["a b", "international cooperation", "a cooperation b", "a"]
+    packed, own = codec.encode_told(texts)
+    assert [np.frombuffer(p, np.int32).tolist() for p in packed] == [codec.original.encode(t) for t in texts] and own == [False, True, True, False]
+
+
+@pytest.mark.parametrize("kind, more", [("bpe", {}), ("bpe", {"byte_fallback": True}), ("unigram", {"byte_fallback": True})])
+def test_other_plain_models(tmp_path, kind, more):
+    import io
+
+    import sentencepiece
+
+    made, lines = io.BytesIO(), [f"the cat number {i} sat on mat {i * 7} and the dog barked at rat {i * 13}" for i in range(300)]
+    sentencepiece.SentencePieceTrainer.train(sentence_iterator=iter(lines), model_writer=made, vocab_size=340, hard_vocab_limit=False, model_type=kind, normalization_rule_name="identity", remove_extra_whitespaces=False, minloglevel=2, **more)
+    (tmp_path / "m.model").write_bytes(made.getvalue())
+    codec = S.Codec(str(tmp_path / "m.model"), 1)
+    texts = [*lines, "the cat", "cats and  dogs zzz", "é ☃ the", "mat "]
+    assert codec.plain and codec.by_word and ids_of(codec, texts) == [codec.original.encode(t) for t in texts]
+
+
 # licences
 
 
