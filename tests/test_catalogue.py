@@ -46,3 +46,13 @@ def test_drop_constants_where_every_site_reaches_the_cap(spark, sf, tmp_path):
     assert {r[names.index("pages_crawled")] for r in rows} == {25}
     got = catalogue.QUERIES["drop_constants"](spark, str(tmp_path))
     assert got.columns == names and sorted(map(tuple, got.collect())) == sorted(rows)
+
+
+def test_shared_trackers_of_events_with_gaps(spark, tmp_path):
+    """Users, kinds and values that are missing share nothing, as in the SQL."""
+    events = [(1, "a", 1.0), (2, "a", 1.0), (2, None, 2.5), (3, "b", 2.5), (None, "a", 1.0), (4, "a", None), (5, None, None), (6, "b", 9.0), (6, "b", 9.0)]
+    spark.createDataFrame(events, "user_id bigint, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    expected = c.execute(catalogue.ORACLES["shared_tracker_union"]).fetchall()
+    assert sorted(map(tuple, catalogue.QUERIES["shared_tracker_union"](spark, str(tmp_path)).collect()), key=str) == sorted(expected, key=str)

@@ -279,3 +279,31 @@ def test_common_tokens_make_no_pairs(spark, monkeypatch, light, block, bits):
     best = {k: max((len(v & w) / len(v | w) for j, w in sets.items() if j != k and v | w), default=0.0) for k, v in sets.items()}
     assert {r[0]: r[1] for r in cross_site.sharing_sites(df, "site", "t", "n").collect()} == share
     assert {r[0]: r[1] for r in cross_site.max_similarity(df, "site", "t").collect()} == pytest.approx(best)
+
+
+@pytest.mark.parametrize(("light", "bits", "kept"), [(32, 1 << 13, 2), (1, 1 << 12, 3), (3, 1 << 15, 16)])
+def test_sharing_shuffles_in_proportion_to_the_sites(spark, monkeypatch, light, bits, kept):
+    """Many tokens, each on a fourth of the sites, in several blocks: right, and four times the sites shuffle about four times as much."""
+    monkeypatch.setattr(cross_site, "LIGHT", light)
+    monkeypatch.setattr(cross_site, "BLOCK_BYTES", bits)
+    monkeypatch.setattr(cross_site, "KEPT", kept, raising=False)
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    rng, took = random.Random(11), []
+    for n in (300, 1200):
+        sets = [set(rng.sample(range(40), 10)) for _ in range(n - 20)] + [{1000 + i} for i in range(10)] + [set(range(10))] * 10
+        df = spark.createDataFrame([(i, sorted(f"t{x}" for x in v)) for i, v in enumerate(sets)], "site bigint, t array<string>")
+        masks = [sum(1 << x for x in v) for v in sets]
+        before = written()
+        got = {r[0]: r[1] for r in cross_site.sharing_sites(df, "site", "t", "n").collect()}
+        took.append(written() - before)
+        assert got == {i: sum(bool(m & o) for o in masks) - 1 for i, m in enumerate(masks)}
+    assert took[1] < 6 * took[0]
+    best = {i: max((m & o).bit_count() / (m | o).bit_count() for j, o in enumerate(masks) if j != i) for i, m in enumerate(masks[:50])}
+    alike = {r[0]: r[1] for r in cross_site.max_similarity(df, "site", "t").collect()}
+    assert {i: alike[i] for i in best} == pytest.approx(best)
+
+
+def test_wide_tables_are_joined_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(cross_site, "SMALL", 0, raising=False)
+    df = rows(spark, "site string, t array<string>", ("A", ["x", "y"]), ("B", ["y", None]), ("C", ["x"]), ("D", ["x"]), ("E", []), ("F", None), (None, ["x"]))
+    assert {r[0]: r[1] for r in cross_site.sharing_sites(df, "site", "t", "n").collect()} == {"A": 3, "B": 1, "C": 2, "D": 2, "E": 0, "F": 0, None: 0}
